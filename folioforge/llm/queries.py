@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from folioforge.llm import line_dedup, simhash
+from folioforge.llm import bpe, decontaminate, line_dedup, simhash, toxicity
 
 QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash": simhash.op7_simhash,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 ORACLE = {
     "op5_line_dedup": line_dedup.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
 }
