@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from folioforge.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from folioforge.llm import bpe, decontaminate, imatch, line_dedup, simhash, toxicity, warc
 
 QUERIES = {
+    "op2_imatch": imatch.op2_imatch,
+    "op3_warc": warc.op3_warc,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash": simhash.op7_simhash,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_warc": warc.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
 }
