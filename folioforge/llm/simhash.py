@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import connected, cut, prepare, table, texts_of
@@ -226,6 +226,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(labels, "fp").select("id", "fp", "component_id")
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
+    """docs with one row of each component: that with the smallest id; all columns stay as they are.
+
+    Of rows that repeat an id and a text one stays; rows that share an id but not their text
+    stay or go by their own components. Rows with null ids go where a row with an id is in
+    their component.
+    """
+    stay = simhash_components(docs, id_col, text_col, words, max_bits).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__stay")).distinct()
+    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stay")), "left_semi")
+    same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
+    return kept.withColumn("__nth", F.row_number().over(same)).where("__nth = 1").drop("__nth")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"), words=3, max_bits=2)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
