@@ -1,4 +1,4 @@
-"""All queries over the reference tables, with DuckDB SQL for the same rows."""
+"""All queries of the reference's own operators, with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from folioforge.plans import native_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(native_queries.QUERIES)
+ORACLE: dict[str, str] = dict(native_queries.ORACLE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return QUERIES["quality_garbled_pages"](spark, sf_dir)
