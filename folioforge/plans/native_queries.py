@@ -441,7 +441,7 @@ def _models(spark):
 CELLS = """SELECT o_custkey AS table_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS r, o_orderkey, o_totalprice, o_orderpriority FROM orders"""
 LONG_CELLS = f"""SELECT table_id, r, 0 AS c, CASE WHEN r = 0 AND table_id % 3 > 0 THEN 'Order' ELSE CAST(o_orderkey AS STRING) END AS text FROM ({CELLS})
 UNION ALL SELECT table_id, r, 1 AS c, CASE WHEN r = 0 AND table_id % 5 > 0 THEN 'Priority' ELSE o_orderpriority END FROM ({CELLS})
-UNION ALL SELECT table_id, r, 2 AS c, CASE WHEN r = 0 AND table_id % 3 > 0 THEN CASE WHEN table_id % 7 = 0 THEN 'order' ELSE 'Total' END ELSE CAST(CAST(o_totalprice AS BIGINT) AS STRING) END FROM ({CELLS})
+UNION ALL SELECT table_id, r, 2 AS c, CASE WHEN r = 0 AND table_id % 3 > 0 THEN CASE WHEN table_id % 7 = 0 THEN 'order' ELSE 'Total' END ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) END FROM ({CELLS})
 UNION ALL SELECT table_id, r, 3 AS c, 'x|y' FROM ({CELLS}) WHERE r % 4 > 0 AND table_id % 2 = 0"""
 _long = LONG_CELLS.replace("STRING", "VARCHAR")
 
