@@ -1,16 +1,16 @@
 """Operator 10: byte-level BPE encoding and decoding.
 
 A piece (a match of the pattern) is merged with a hierarchical-bitmap rank queue: each merge
-rank has a bucket of positions in the piece's linked list; a bitmap of several levels tells
-which buckets hold something; find-first-set gives the lowest rank; entries whose pair has
-since changed are stale and skipped. Each merge costs a few word operations, whatever the
+rank has a bucket of positions in the piece's linked list; a bitmap of two levels (words of
+256 ranks, and a summary of words) tells which buckets hold something; find-first-set gives
+the lowest rank; entries whose pair has since changed are stale and skipped. Each merge costs a few word operations, whatever the
 length of the piece, so that a piece of a million bytes without a space takes linear time.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,61 +18,12 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import prepare, table, texts_of
 
-#: Pieces whose ids a task remembers, and the longest that it remembers.
-MOST_PIECES, LONGEST = 150_000, 64
-#: Bits in a word of the bitmap.
-WORD_BITS = 64
-
-
-class RankQueue:
-    """Buckets of positions by rank; the lowest rank first, in a bucket the leftmost position first."""
-
-    __slots__ = ("buckets", "levels")
-
-    def __init__(self, levels: int):
-        self.levels: list[dict[int, int]] = [{} for _ in range(levels)]
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        i = rank
-        for level in self.levels:
-            word, bit = i >> 6, 1 << (i & 63)
-            old = level.get(word, 0)
-            level[word] = old | bit
-            if old:
-                return
-            i = word
-
-    def lowest(self) -> int:
-        """The lowest rank with a position, or -1: find-first-set from the top level down."""
-        i = 0
-        for level in reversed(self.levels):
-            word = level.get(i, 0)
-            if not word:
-                return -1
-            i = (i << 6) | ((word & -word).bit_length() - 1)
-        return i
-
-    def pop(self, rank: int) -> int:
-        bucket = self.buckets[rank]
-        at = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            i = rank
-            for level in self.levels:
-                word = i >> 6
-                left = level[word] & ~(1 << (i & 63))
-                if left:
-                    level[word] = left
-                    break
-                del level[word]
-                i = word
-        return at
+#: Pieces whose ids a task remembers (twice as many at most), and the longest that it remembers.
+MOST_PIECES, LONGEST = 400_000, 64
+#: Bytes of a piece whose bucket's positions are kept as the bits of one number.
+SHORT = 128
+BITS = [1 << i for i in range(256)]
+BYTES = [bytes([i]) for i in range(256)]
 
 
 class BytePairs:
@@ -83,54 +34,150 @@ class BytePairs:
 
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.tokens = {i: t for t, i in ranks.items()}
-        top, self.levels = max(ranks.values(), default=0), 1
-        while WORD_BITS**self.levels <= top:
-            self.levels += 1
-        self.pieces: dict[str, str] = {}
+        self.pieces = Pieces(self)
+        top = max(ranks.values(), default=0)
+        self.buckets, self.words = [0] * (top + 1), [0] * ((top >> 8) + 1)
+        if top >> 8 >= len(BITS):
+            BITS.extend(1 << i for i in range(len(BITS), (top >> 8) + 1))
         self.texts = {str(i): t for i, t in self.tokens.items()}
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one piece."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        """The ids of one piece.
+
+        The queue: buckets[rank] holds positions, leftmost first; bit r & 255 of words[r >> 8]
+        is set while bucket r holds any, and bit w of summary while words[w] isn't 0.
+        """
+        get = self.ranks.get
+        whole = get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
-        part = [piece[i : i + 1] for i in range(n)]
+        if n <= SHORT:
+            return self._merge_short(piece)
+        part: list = [piece[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        at_rank = [-1] * n
-        queue = RankQueue(self.levels)
-        push, get = queue.push, ranks.get
+        at_rank = [-1] * n  # the rank of the pair that starts here, as it is now
+        buckets: dict[int, list[int]] = {}
+        words: dict[int, int] = {}
+        summary = 0
         for i in range(n - 1):
             r = get(piece[i : i + 2])
             if r is not None:
                 at_rank[i] = r
-                push(r, i)
-        while (rank := queue.lowest()) >= 0:
-            i = queue.pop(rank)
+                if r in buckets:
+                    buckets[r].append(i)  # in order, which is a heap
+                else:
+                    buckets[r] = [i]
+                    w = r >> 8
+                    words[w] = words.get(w, 0) | 1 << (r & 255)
+                    summary |= 1 << w
+        while summary:
+            w = (summary & -summary).bit_length() - 1
+            word = words[w]
+            low = word & -word
+            rank = w << 8 | low.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                word ^= low
+                words[w] = word
+                if not word:
+                    summary ^= 1 << w
             if at_rank[i] != rank:
                 continue  # stale: its pair has changed, or it is part of another token by now
             j = after[i]
-            part[i] += part[j]
+            own = part[i] = part[i] + part[j]
             k = after[i] = after[j]
-            at_rank[j] = -1
+            at_rank[j] = at_rank[i] = -1
             if k < n:
                 before[k] = i
-                r = get(part[i] + part[k])
-            else:
-                r = None
-            at_rank[i] = -1 if r is None else r
-            if r is not None:
-                push(r, i)
+                r = get(own + part[k])
+                if r is not None:
+                    at_rank[i] = r
+                    if r in buckets:
+                        heappush(buckets[r], i)
+                    else:
+                        buckets[r] = [i]
+                        w = r >> 8
+                        words[w] = words.get(w, 0) | 1 << (r & 255)
+                        summary |= 1 << w
             h = before[i]
             if h >= 0:
-                r = get(part[h] + part[i])
+                r = get(part[h] + own)
                 if r is None:
                     at_rank[h] = -1
                 elif at_rank[h] != r:
                     at_rank[h] = r
-                    push(r, h)
-        out, i = [], 0
+                    if r in buckets:
+                        heappush(buckets[r], h)
+                    else:
+                        buckets[r] = [h]
+                        w = r >> 8
+                        words[w] = words.get(w, 0) | 1 << (r & 255)
+                        summary |= 1 << w
+        ranks, out, i = self.ranks, [], 0
+        while i < n:
+            out.append(ranks[part[i]])
+            i = after[i]
+        return out
+
+    def _merge_short(self, piece: bytes) -> list[int]:
+        """merge() for a few bytes: a bucket's positions are the bits of a number, and the queue, empty at the end, is kept."""
+        get, words, buckets, bits = self.ranks.get, self.words, self.buckets, BITS
+        n, summary = len(piece), 0
+        part = list(map(BYTES.__getitem__, piece))
+        at_rank = [get(piece[i : i + 2], -1) for i in range(n)]
+        at_rank[-1] = -1
+        for i, r in enumerate(at_rank):
+            if r >= 0:
+                buckets[r] |= bits[i]
+                w = r >> 8
+                words[w] |= bits[r & 255]
+                summary |= bits[w]
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        while summary:
+            first = summary & -summary
+            w = first.bit_length() - 1
+            word = words[w]
+            low = word & -word
+            rank = (w << 8) + low.bit_length() - 1
+            places = buckets[rank]
+            i = (places & -places).bit_length() - 1
+            places &= places - 1
+            buckets[rank] = places
+            if not places:
+                word ^= low
+                words[w] = word
+                if not word:
+                    summary ^= first
+            if at_rank[i] != rank:
+                continue
+            j = after[i]
+            own = part[i] = part[i] + part[j]
+            k = after[i] = after[j]
+            at_rank[j] = -1
+            if k < n:
+                before[k] = i
+                r = at_rank[i] = get(own + part[k], -1)
+                if r >= 0:
+                    buckets[r] |= bits[i]
+                    w = r >> 8
+                    words[w] |= bits[r & 255]
+                    summary |= bits[w]
+            else:
+                at_rank[i] = -1
+            h = before[i]
+            if h >= 0:
+                r = at_rank[h] = get(part[h] + own, -1)
+                if r >= 0:
+                    buckets[r] |= bits[h]
+                    w = r >> 8
+                    words[w] |= bits[r & 255]
+                    summary |= bits[w]
+        ranks, out, i = self.ranks, [], 0
         while i < n:
             out.append(ranks[part[i]])
             i = after[i]
@@ -138,17 +185,8 @@ class BytePairs:
 
     def encode_joined(self, text: str) -> str:
         """The ids of a text in decimal, joined by commas."""
-        known, out = self.pieces, []
-        for piece in self.find(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = ",".join(map(str, self.merge(piece.encode())))
-                if len(piece) <= LONGEST:
-                    if len(known) >= MOST_PIECES:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return ",".join(out)
+        known = self.pieces
+        return ",".join([known[p] for p in self.find(text)])
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.encode_joined(text).split(",") if x]
@@ -160,6 +198,27 @@ class BytePairs:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class Pieces(dict):
+    """Pieces' ids in decimal. Full, it becomes the older half; what isn't used again is forgotten with that."""
+
+    def __init__(self, pairs: BytePairs):
+        super().__init__()
+        self.pairs = pairs
+        self.older: dict[str, str] = {}
+
+    def __missing__(self, piece: str) -> str:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = ",".join(map(str, self.pairs.merge(piece.encode())))
+            if len(piece) > LONGEST:
+                return ids
+        if len(self) >= MOST_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 def load_ranks(data: bytes) -> dict[bytes, int]:
     """A rank file: a token in base64 and its rank on each line."""
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line.strip())}
@@ -206,11 +265,23 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("id", "ids").mapInArrow(_mapped(run, _vocabulary(spark, path), pattern), "id long, ids string, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, n_tokens, ids, decoded): encode() and decode() in one pass over the texts."""
+    spark = prepare(docs.sparkSession)
+
+    def run(pairs, batch):
+        ids = [pairs.encode_joined(t.decode()) for t in texts_of(batch.column("text"))]
+        out = [pairs.decode_joined(x) for x in ids]
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64()), pa.array(ids, pa.string()), pa.array(out, pa.binary())], names=["id", "n_tokens", "ids", "decoded"])
+
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(_mapped(run, _vocabulary(spark, path), pattern), "id long, n_tokens long, ids string, decoded binary")
+
+
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """encode, then decode; the ids and the decoded bytes as digests."""
-    both = decode(encode(docs, path, pattern, id_col, text_col), path, pattern)
-    count = F.when(F.col("ids") == "", 0).otherwise(F.length("ids") - F.length(F.translate("ids", ",", "")) + 1)
-    return both.select(F.col("id").alias(id_col), count.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """round_trip() with digests in place of the ids and the bytes."""
+    both = round_trip(docs, path, pattern, id_col, text_col)
+    return both.select(F.col("id").alias(id_col), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
