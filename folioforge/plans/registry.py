@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.plans import native_queries
+from folioforge.plans import native_queries, round_trips
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(native_queries.QUERIES)
-ORACLE: dict[str, str] = dict(native_queries.ORACLE)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = native_queries.QUERIES | round_trips.QUERIES
+ORACLE: dict[str, str] = native_queries.ORACLE | round_trips.ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["quality_garbled_pages"](spark, sf_dir)
+    """Conversations as PDFs, converted."""
+    return QUERIES["round_trip_pdf"](spark, sf_dir)
