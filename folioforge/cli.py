@@ -92,7 +92,7 @@ def run(argv: list[str], spark=None, out=None) -> int:
     out = out or sys.stdout
     p = parser()
     try:
-        args = p.parse_intermixed_args(argv) if argv[:1] not in (["convert"], ["detect"], ["items"], ["models"]) else p.parse_args(argv)
+        args = p.parse_args(argv)
     except SystemExit as e:
         return 1 if e.code else 0
     if args.command is None:

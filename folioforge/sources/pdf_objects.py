@@ -165,6 +165,8 @@ class Pdf:
         if self.trailer.get("Encrypt") is not None:
             raise DocumentError("encrypted", "the PDF is encrypted")
         self.pages = self.page_tree()
+        if not self.pages:
+            raise DocumentError("malformed", "the PDF has no pages")
 
     # --- cross references -----------------------------------------------------------
 
