@@ -88,11 +88,12 @@ def ordered_bits(fp, order: list[int]):
     return out
 
 
-def trie_pairs(codes: np.ndarray, tree: np.ndarray, fixed: int, budget: int):
-    """Index pairs of the sorted codes (uint64) whose bits after the first `fixed` differ in at most budget.
+def trie_pairs(codes: np.ndarray, tree: np.ndarray, fixed: int, budget: int, depth_end: int = 64):
+    """Index pairs of the sorted codes (uint64) whose bits from `fixed` to depth_end differ in at most budget.
 
     tree says of each code which trie of the forest it is in. The first bits are equal in a
-    trie, so that it is joined from below them. Yields (left, right).
+    trie, so that it is joined from below them. Codes that are equal up to depth_end make
+    pairs as well. Yields (left, right).
     """
     n = len(codes)
     edges = np.flatnonzero(np.concatenate(([True], (tree[1:] != tree[:-1]) | ((codes[1:] ^ codes[:-1]) >> np.uint64(64 - fixed) != 0), [True])))
@@ -120,7 +121,10 @@ def trie_pairs(codes: np.ndarray, tree: np.ndarray, fixed: int, budget: int):
             if near.any():
                 yield i[near], j[near]
             al, ah, bl, bh, used = (x[~single] for x in (al, ah, bl, bh, used))
-        if depth == 64 or not len(al):
+        if not len(al):
+            continue
+        if depth == depth_end:
+            yield from leaf_pairs(al, ah, bl, bh)
             continue
         if len(al) > FRONTIER:
             half = len(al) // 2
@@ -139,10 +143,25 @@ def trie_pairs(codes: np.ndarray, tree: np.ndarray, fixed: int, budget: int):
         stack.append((depth + 1, *(np.concatenate(x) for x in zip(*parts, strict=True))))
 
 
+def leaf_pairs(al, ah, bl, bh):
+    """All index pairs of node pairs at the leaves, whose codes are equal within a node, some FRONTIER at a time."""
+    for a0, a1, b0, b1 in zip(al.tolist(), ah.tolist(), bl.tolist(), bh.tolist(), strict=True):
+        step = max(1, FRONTIER // (b1 - b0))
+        for k in range(a0, a1, step):
+            i = np.repeat(np.arange(k, min(a1, k + step)), b1 - b0)
+            j = np.tile(np.arange(b0, b1), min(a1, k + step) - k)
+            later = (i < j) if a0 == b0 else np.ones(len(i), bool)
+            yield i[later], j[later]
+
+
 def forest_of(n: int, pairs) -> np.ndarray:
-    """For each of n items the smallest item it is linked with, over all pairs."""
+    """For each of n items the smallest item it is linked with, over all pairs.
+
+    pairs: index arrays, or a function that yields them and is given the labels so far, so
+    that it can leave out what is tied already.
+    """
     label = np.arange(n)
-    for i, j in pairs:
+    for i, j in pairs(label) if callable(pairs) else pairs:
         while True:
             a, b = label[i], label[j]
             low, high = np.minimum(a, b), np.maximum(a, b)
@@ -151,7 +170,7 @@ def forest_of(n: int, pairs) -> np.ndarray:
                 break
             np.minimum.at(label, high[apart], low[apart])
             while not np.array_equal(up := label[label], label):
-                label = up
+                label[:] = up
     return label
 
 
@@ -226,19 +245,24 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(labels, "fp").select("id", "fp", "component_id")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
-    """docs with one row of each component: that with the smallest id; all columns stay as they are.
+def keep_least(docs: DataFrame, components: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each component (id, component_id): that with the smallest id; all columns stay as they are.
 
     Of rows that repeat an id and a text one stays; rows that share an id but not their text
     stay or go by their own components. Rows with null ids go where a row with an id is in
     their component.
     """
-    stay = simhash_components(docs, id_col, text_col, words, max_bits).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__stay")).distinct()
+    stay = components.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__stay")).distinct()
     kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stay")), "left_semi")
     same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
     return kept.withColumn("__nth", F.row_number().over(same)).where("__nth = 1").drop("__nth")
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
+    """docs with one row of each component of simhash_components()."""
+    return keep_least(docs, simhash_components(docs, id_col, text_col, words, max_bits), id_col, text_col)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"), words=3, max_bits=2)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
