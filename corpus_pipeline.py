@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from folioforge.llm import bpe, decontaminate, line_dedup, near_copies, toxicity
 from folioforge.llm.common import new_table, prepare, table
 
 
@@ -25,8 +25,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
-    return simhash.drop_copies(docs)
+    """One document of each group of near copies stays, that with the smallest id: five words a shingle, similarity 0.8."""
+    return near_copies.drop_near_copies(docs, words=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
