@@ -75,23 +75,41 @@ def same_style(a: Item, b: Item) -> bool:
 
 
 def scripts(items: list[Item]) -> list[Item]:
-    """Small raised or lowered runs right after a larger one become Unicode digits, or are marked super or sub."""
+    """Small raised or lowered runs beside a larger one: digits become Unicode scripts, others are marked super or sub.
+
+    Small runs that touch are one chain; it belongs to the larger run that it touches, before
+    it rather than after it.
+    """
+    if not items or max(i.font_size for i in items) <= 1.2 * min(i.font_size for i in items):
+        return items
+    order = sorted(items, key=lambda i: i.x)
+    band = max(i.font_size for i in items) + 1
+    bands: dict[int, list[Item]] = {}
+    for i in order:
+        bands.setdefault(int(i.y // band), []).append(i)
+    done: set[int] = set()
     out: list[Item] = []
-    for i in items:
-        anchors = [a for a in items if a is not i and a.font_size > i.font_size * 1.2 and abs(a.y - i.y) < a.font_size and -0.2 * a.font_size <= i.x - (a.x + a.width) <= 3.5 * a.font_size]
-        if not anchors or len(i.text.strip()) > 12:
-            out.append(i)
+    for i in order:
+        if id(i) in done:
             continue
-        a = min(anchors, key=lambda a: abs(i.x - a.x - a.width))
-        rise = i.y - a.y
-        if rise > 0.15 * a.font_size:
-            t = i.text.translate(SUPER) if re.fullmatch(r"[0-9+\-=()]+", i.text) else i.text
-            out.append(replace(i, text=t if t != i.text else f"<sup>{i.text}</sup>" if i.text.strip() not in (",", ".") else i.text, y=a.y, baseline_shift=rise))
-        elif rise < -0.05 * a.font_size:
-            t = i.text.translate(SUB) if re.fullmatch(r"[0-9+\-=()]+", i.text) else i.text
-            out.append(replace(i, text=t if t != i.text else f"<sub>{i.text}</sub>", y=a.y, baseline_shift=rise))
-        else:
+        near = [k for b in (-1, 0, 1) for k in bands.get(int(i.y // band) + b, ())]
+        chain = [i]
+        while nxt := next((k for k in near if id(k) not in done and all(k is not c for c in chain) and abs(k.font_size - i.font_size) < 0.2 * i.font_size and abs(k.y - i.y) < 0.35 * i.font_size and -0.3 * i.font_size <= k.x - chain[-1].x - chain[-1].width <= 0.6 * i.font_size), None):
+            chain.append(nxt)
+        end = chain[-1].x + chain[-1].width
+        large = [a for a in near if a.font_size > i.font_size * 1.2 and abs(a.y - i.y) < a.font_size and 0.02 * a.font_size < abs(a.y - i.y)]
+        left = [a for a in large if -0.2 * a.font_size <= i.x - a.x - a.width <= 0.6 * a.font_size]
+        right = [a for a in large if -0.2 * a.font_size <= a.x - end <= 0.3 * a.font_size]
+        anchor = min(left, key=lambda a: abs(i.x - a.x - a.width), default=None) or min(right, key=lambda a: abs(a.x - end), default=None)
+        text = "".join(c.text for c in chain).strip()
+        if anchor is None or not text or len(text) > 12:
             out.append(i)
+            continue
+        done |= {id(c) for c in chain}
+        rise = i.y - anchor.y
+        table, tag = (SUPER, "sup") if rise > 0 else (SUB, "sub")
+        shown = text.translate(table) if re.fullmatch(r"[0-9+\-=()]+", text) else f"<{tag}>{text}</{tag}>"
+        out.append(replace(i, text=shown, width=end - i.x, y=anchor.y, baseline_shift=rise))
     return out
 
 
@@ -224,7 +242,7 @@ def lines_of(items: list[Item], page: int) -> list[Line]:
 def joined(parts: list[tuple[Item, str]]) -> str:
     out, before = "", None
     for i, t in parts:
-        if before is not None and out and not out.endswith(" ") and not t.startswith(" ") and i.x - before.x - before.width > 0.12 * max(i.font_size, 1) and not i.baseline_shift:
+        if before is not None and out and not out.endswith(" ") and not t.startswith(" ") and i.x - before.x - before.width > (0.3 if i.baseline_shift else 0.12) * max(i.font_size, 1):
             out += " "
         out += t
         before = i
