@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import WORD_BYTES, WordHashes, cut, mix64, prepare, table, texts_of
+from folioforge.llm.common import WORD_BYTES, WordHashes, blocks, cut, mix64, new_table, prepare, table, texts_of
 
 LEAST_IDF, MOST_IDF = 3.0, 13.0
 #: Subsets of each size; a subset of size i has each term of the lexicon with probability 2^-SHARES[i].
@@ -170,8 +170,6 @@ def _fingerprints(lexicon):
     def run(batches):
         lex, hashes = Lexicon(np.frombuffer(lexicon.value, np.uint64)), WordHashes()
         rows = (r for b in batches for r in zip(b.column("part").to_pylist(), b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("lead").to_pylist(), strict=True))
-        from folioforge.llm.common import blocks
-
         for block in blocks(_chain(rows), 256):
             edited = [edited_text(r[2], nxt) for r, nxt in block]
             trio = []
@@ -238,17 +236,46 @@ def _sorted_hashes(lexicon: DataFrame) -> bytes:
     return np.sort(np.array([r.h for r in lexicon.select("h").toLocalIterator()], np.int64).view(np.uint64)).tobytes()
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _texts_in_chain(batches):
+    rows = (r for b in batches for r in zip(b.column("part").to_pylist(), b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("lead").to_pylist(), strict=True))
+    for block in blocks(_chain(rows), 256):
+        columns = [[r[1] for r, _ in block], [len(r[2]) for r, _ in block], [r[2] for r, _ in block], [edited_text(r[2], nxt) for r, nxt in block], [nxt for _, nxt in block]]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.string()) for c in columns[2:])], names=["id", "n_chars", "text", "edited", "next"])
+
+
+def _likenesses(batches):
+    numbers = lambda column: np.frombuffer(bytes.fromhex("".join(column.to_pylist())), ">u2").reshape(-1, SUBSETS)
+    for b in batches:
+        own, ed, nx = (numbers(b.column(c)) for c in ("fp0", "fp1", "fp2"))
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_chars"), b.column("edited"), b.column("fp0"), b.column("fp1"), pa.array(likeness(own, ed)), pa.array(likeness(own, nx))], names=["id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
+
+def _edits_by_join(docs: DataFrame, lexicon: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """fingerprint_edits() for a lexicon too large to send: all distinct texts are fingerprinted by the join, and joined back."""
+    spark = docs.sparkSession
+    path = new_table(spark, "edits")
+    in_order(docs, id_col, text_col).mapInArrow(_texts_in_chain, "id long, n_chars long, text string, edited string, next string").write.parquet(path)
+    rows = spark.read.parquet(path).withColumns({f"k{i}": F.xxhash64(c) for i, c in enumerate(("text", "edited", "next"))})
+    texts = rows.select(F.col("k0").alias("key"), "text").union(rows.select("k1", "edited")).dropDuplicates(["key"])
+    prints = cut(_joined_lexicon(texts, lexicon).mapInArrow(_hash_lists, "key long, fingerprint string"))
+    out = rows.select("id", "n_chars", "edited", "k0", "k1", "k2")
+    for i in range(3):
+        out = out.join(prints.select(F.col("key").alias(f"k{i}"), F.col("fingerprint").alias(f"f{i}")), f"k{i}", "left").withColumn(f"fp{i}", F.coalesce(f"f{i}", F.lit("0" * 4 * SUBSETS))).drop(f"f{i}", f"k{i}")
+    return out.select("id", "n_chars", "edited", "fp0", "fp1", "fp2").mapInArrow(_likenesses, FIELDS)
+
+
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon_rows: int = LEXICON_ROWS) -> DataFrame:
     """FIELDS of each row: its fingerprint, its edited text's, and its likeness to the edited and to the next text.
 
     The next row is the next lower id (rows that repeat an id: by their texts' hashes; null
     ids come last); after the last row comes the first. Null text counts as empty; a single
-    row is its own next. No rows give no rows.
+    row is its own next. No rows give no rows. A lexicon of over lexicon_rows terms is joined
+    with the terms of the texts instead of being sent to the tasks.
     """
     spark = prepare(docs.sparkSession)
     lexicon = cut(lexicon_of(docs, text_col))
-    if lexicon.count() > LEXICON_ROWS:
-        raise ValueError(f"the band has over {LEXICON_ROWS} terms: use fingerprint() on a table of both texts")
+    if lexicon.count() > lexicon_rows:
+        return _edits_by_join(docs, lexicon, id_col, text_col)
     shared = spark.sparkContext.broadcast(_sorted_hashes(lexicon))
     return in_order(docs, id_col, text_col).mapInArrow(_fingerprints(shared), FIELDS)
 

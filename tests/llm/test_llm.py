@@ -96,6 +96,12 @@ def test_imatch_lexicon_by_join_is_the_same(spark, words):
     assert a == sorted(map(tuple, imatch.fingerprint(df, lexicon, lexicon_rows=0).collect()))
 
 
+def test_imatch_edits_by_join_are_the_same(spark, words):
+    df = frame(spark, [words(60, s) for s in range(12)] + ["", None, words(60, 2)])
+    plain = lambda rows: sorted((r.id, r.n_chars, r.edited, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in rows)
+    assert plain(imatch.fingerprint_edits(df).collect()) == plain(imatch.fingerprint_edits(df, lexicon_rows=0).collect())
+
+
 def test_imatch_order_over_parts(spark):
     rows = [(i, str(i)) for i in range(50)] + [(None, "n"), (None, "m")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
@@ -126,7 +132,7 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_errors():
     good = warc.member(warc.record("response", "u", b"abc", warc.digest_of(b"abc")))
-    assert [r.payload for r in warc.read_records([good[i : i + 7] for i in range(0, 2 * len(good), 7)] if False else [good, good])] == [b"abc", b"abc"]
+    assert [r.payload for r in warc.read_records([good, good])] == [b"abc", b"abc"]
     assert [r.payload for r in warc.read_records(good[i : i + 3] for i in range(0, len(good), 3))] == [b"abc"]
     with pytest.raises(warc.WarcError):
         list(warc.read_records([good[:-9]]))
@@ -229,7 +235,7 @@ def test_trie_join_against_all_pairs(spark):
         roots = {r.u & (1 << 64) - 1: r.root for r in common.connected(simhash.link_edges(df, bits)).collect()}
         got = [roots.get(f, simhash.signed(f)) for f in fps]
         want = brute_components(fps, bits)
-        assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got)) or {(got[i] == got[j]) == (want[i] == want[j]) for i in range(len(fps)) for j in range(i)} <= {True}
+        assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got))  # the same partition
 
 
 def test_simhash(spark, words):
@@ -326,7 +332,8 @@ def test_license_windows_against_all_windows(words):
     t = scanner.templates[k]
     for s in range(60):
         w = words(30, s).split() + [x for x in template if rng.random() < 0.85] + words(30, s + 99).split()
-        rng.random() < 0.3 and w.insert(34, "extra")
+        if rng.random() < 0.3:
+            w.insert(34, "extra")
         data = [x.encode() for x in w]
         best = 0
         for a in range(len(data)):
