@@ -14,8 +14,8 @@ MEDIA_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "g
 
 
 def count_of(text: Column, chars: str) -> Column:
-    """How many characters of a class the text has."""
-    return F.char_length(F.regexp_replace(text, f"[^{chars}]", ""))
+    """How many characters of a class the text has; all others go in runs, not one by one."""
+    return F.char_length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
 def trimmed(text: Column) -> Column:

@@ -26,21 +26,24 @@ def capped(pages: DataFrame, per_doc: int = 0, per_run: int = 0) -> DataFrame:
     """Adds billed: whether the page is within per_doc pages of its document and per_run of the run.
 
     Documents are billed in the order of ord (rows: run_id, ord, doc_id, page), each by
-    ascending pages; 0 is no cap. The run's budget is a running sum over documents: one row a
-    document is windowed, not one a page, so that the budget's single order stays small.
+    ascending pages; 0 is no cap. Each document asks for a page at least, so that a run's
+    budget is used up by its first per_run documents: only those are ordered in one task (each
+    task sends on its own first ones), whatever the number of documents.
     """
     nth = F.row_number().over(Window.partitionBy("run_id", "doc_id").orderBy("page"))
     ranked = pages.withColumn("nth", nth)
     want = ranked.groupBy("run_id", "ord", "doc_id").agg(F.max("nth").alias("asked"))
     want = want.withColumn("asked", F.least("asked", F.lit(per_doc)) if per_doc > 0 else F.col("asked"))
-    before = Window.partitionBy("run_id").orderBy("ord", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     if per_run > 0:
+        order = Window.partitionBy("run_id").orderBy("ord", "doc_id")
+        want = want.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_run)
+        before = F.sum("asked").over(order.rowsBetween(Window.unboundedPreceding, -1))
         # what is asked for is billed until the budget is used up, so that the sum asked before tells what is left
-        left = F.greatest(F.lit(0), F.lit(per_run) - F.coalesce(F.sum("asked").over(before), F.lit(0)))
-        want = want.withColumn("allowed", F.least(F.col("asked"), left))
+        want = want.withColumn("allowed", F.least(F.col("asked"), F.greatest(F.lit(0), F.lit(per_run) - F.coalesce(before, F.lit(0)))))
     else:
         want = want.withColumn("allowed", F.col("asked"))
-    return ranked.join(want.select("run_id", "doc_id", "allowed"), ["run_id", "doc_id"]).withColumn("billed", F.col("nth") <= F.col("allowed")).drop("nth", "allowed")
+    joined = ranked.join(want.select("run_id", "doc_id", "allowed"), ["run_id", "doc_id"], "left")
+    return joined.withColumn("billed", F.col("nth") <= F.coalesce("allowed", F.lit(0))).drop("nth", "allowed")
 
 
 def cost_report(billed: DataFrame, price: float, provider: str, local: bool = False, dry_run: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ def has_replacement_run(text: Column) -> Column:
 
 
 def has_private_use(text: Column) -> Column:
-    private, total = count_of(text, PRIVATE), F.char_length(F.regexp_replace(text, f"[{SPACE}]", ""))
+    private, total = count_of(text, PRIVATE), F.char_length(F.regexp_replace(text, f"[{SPACE}]+", ""))
     return (longest_run(text, PRIVATE) >= 3) | ((total >= 5) & (private >= 2) & (private * 2 >= total))
 
 
@@ -48,56 +48,52 @@ def has_dollars_for_spaces(text: Column) -> Column:
 def is_mostly_symbols(text: Column) -> Column:
     """Fifty characters or more, under half of them letters or digits; leaders and Markdown marks don't count."""
     plain = F.regexp_replace(text, r"\.{3,}|_{3,}|·{3,}|\.(?: \.){2,}|_(?: _){2,}|·(?: ·){2,}", "")
-    counted = F.regexp_replace(plain, rf"[{SPACE}#*|\-]", "")
+    counted = F.regexp_replace(plain, rf"[{SPACE}#*|\-]+", "")
     letters = count_of(counted, r"\p{L}\p{Nd}")
     return (F.char_length(counted) >= 50) & (letters * 2 < F.char_length(counted))
 
 
 def is_font_garbage(text: Column) -> Column:
-    plain = F.regexp_replace(text, f"[{SPACE}·]", "")
+    plain = F.regexp_replace(text, f"[{SPACE}·]+", "")
     total, c1, high, ascii_ = F.char_length(plain), count_of(plain, C1), count_of(plain, r"\x{A0}-\x{FF}"), count_of(plain, "A-Za-z")
     return is_mostly_symbols(text) | ((total >= 5) & (((c1 >= 2) & (c1 * 20 >= total)) | ((total >= 20) & (high * 5 >= total * 2) & (ascii_ * 3 < total))))
 
 
 def span_kind(text: Column) -> Column:
     """strong, replacement or none."""
-    t = trimmed(text)
+    return trimmed_kind(trimmed(text))
+
+
+def trimmed_kind(t: Column) -> Column:
     strong = has_dollars_for_spaces(t) | has_private_use(t) | is_font_garbage(t) | has_control_token(t)
     return F.when(t == "", "none").when(strong, "strong").when(has_replacement_run(t), "replacement").otherwise("none")
 
 
 def page_evidence(items: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
-    """One row a page of the sums that the verdict needs."""
+    """One row a page of the sums that the verdict needs.
+
+    What several measures share (the trimmed text, its letters) is generated as columns of
+    its own first: as plain expressions Catalyst would copy it into each of them.
+    """
     t = F.col(text)
-    kind = span_kind(t)
-    lower = F.lower(F.regexp_replace(t, "[^A-Za-z]", ""))
-    letters = [count_of(lower, chr(97 + i)) for i in range(26)]
+    shared = F.struct(t.alias("t"), trimmed(t).alias("s"), F.lower(F.regexp_replace(t, "[^A-Za-z]+", "")).alias("l"), F.regexp_replace(t, r"[^\p{L}]+", "").alias("u"))
+    parts = items.select(*keys, F.inline(F.array(shared)))
+    kind = F.struct(trimmed_kind(F.col("s")).alias("kind"), replacement_count(F.col("t")).alias("replaced"), longest_run(F.col("t"), r"\x{FFFD}").alias("run"))
+    measured = parts.select(*keys, "t", "l", "u", F.inline(F.array(kind)))
     bad = F.col("kind") == "replacement"
-    # a letter counts as a pair's second if a letter stands right before it
-    pairs = F.char_length(t) - F.char_length(F.regexp_replace(t, "(?<=[A-Za-z])[A-Za-z]", ""))
-    shifts = F.char_length(t) - F.char_length(F.regexp_replace(t, "(?<=[a-z])[A-Z]", ""))
-    measured = items.select(
-        *keys,
-        F.char_length(F.regexp_replace(t, f"[{SPACE}]", "")).alias("chars"),
-        kind.alias("kind"),
-        replacement_count(t).alias("replaced"),
-        longest_run(t, r"\x{FFFD}").alias("run"),
-        F.array(*letters).alias("letters"),
-        count_of(lower, "aeiou").alias("vowels"),
-        pairs.alias("pairs"),
-        shifts.alias("shifts"),
-        count_of(F.regexp_replace(t, r"[^\p{L}]", ""), LATIN_MORE).alias("latin_more"),
-        F.char_length(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}]", ""), f"[A-Za-z{LATIN_MORE}]", "")).alias("non_latin"),
-    )
-    sums = [F.sum(F.col("letters")[i]) for i in range(26)]
+    gone = lambda c, pattern: F.char_length(c) - F.char_length(F.regexp_replace(c, pattern, ""))
     return measured.groupBy(*keys).agg(
-        F.sum("chars").alias("chars"),
+        F.sum(F.char_length(F.regexp_replace("t", f"[{SPACE}]+", ""))).alias("chars"),
         F.bool_or(F.col("kind") == "strong").alias("strong"),
         F.sum(F.when(bad, F.col("replaced")).otherwise(0)).alias("replaced"),
         F.sum(F.when(bad, 1).otherwise(0)).alias("spans"),
         F.max(F.when(bad, F.col("run")).otherwise(0)).alias("run"),
-        F.array(*sums).alias("letters"),
-        *(F.sum(c).alias(c) for c in ("vowels", "pairs", "shifts", "latin_more", "non_latin")),
+        F.array(*[F.sum(F.length("l") - F.length(F.translate("l", chr(97 + i), ""))) for i in range(26)]).alias("letters"),
+        F.sum(count_of(F.col("l"), "aeiou")).alias("vowels"),
+        F.sum(gone("t", "(?<=[A-Za-z])[A-Za-z]")).alias("pairs"),  # a letter that a letter stands right before
+        F.sum(gone("t", "(?<=[a-z])[A-Z]")).alias("shifts"),
+        F.sum(count_of(F.col("u"), LATIN_MORE)).alias("latin_more"),
+        F.sum(F.char_length(F.regexp_replace("u", f"[A-Za-z{LATIN_MORE}]+", ""))).alias("non_latin"),
     )
 
 
