@@ -126,3 +126,21 @@ def quality_delta(scores: DataFrame) -> DataFrame:
     return scores.groupBy("doc_id").pivot("engine", ["auto", "force"]).agg(F.max("score")).where("auto is not null and force is not null").select("doc_id", (F.col("auto") - F.col("force")).alias("delta"))
 
 
+
+
+def routing_gate(rows: DataFrame, least_and_most: DataFrame) -> DataFrame:
+    """Rows (document, failure) of (document, pages, routed) whose share is outside of (document, least, most); a document that is missing fails."""
+    share = F.when(F.col("pages") > 0, F.col("routed") / F.col("pages")).otherwise(0.0)
+    told = least_and_most.join(rows, "document", "left")
+    failure = F.when(F.col("pages").isNull(), "missing").when(share > F.col("most"), "over").when(share < F.col("least"), "under")
+    return told.select("document", failure.alias("failure")).where("failure is not null")
+
+
+def format_gate(baseline: DataFrame, candidate: DataFrame, target: float = 0.99, regression: float = 0.0) -> DataFrame:
+    """Rows (format, doc_id, failures) of two tables (format, doc_id, digest, contained): below target, worse than the baseline, or of another file."""
+    both = baseline.select("format", "doc_id", F.col("digest").alias("was"), F.col("contained").alias("before")).join(candidate, ["format", "doc_id"], "full")
+    wrong = F.array_compact(F.array(
+        F.when(F.col("was").isNull() | F.col("digest").isNull(), F.lit("missing")), F.when(F.col("was") != F.col("digest"), F.lit("digest")),
+        F.when(F.col("contained") < target, F.lit("target")), F.when(F.col("contained") < F.col("before") - regression, F.lit("regression")),
+    ))
+    return both.select("format", "doc_id", wrong.alias("failures")).where(F.size("failures") > 0)
