@@ -256,7 +256,7 @@ _sorted = ", ".join(map(str, sorted(quality.ENGLISH, reverse=True)))
 CIPHER_SQL = rf"""SELECT doc_id, n, vowels, pairs, shifts, latin_more, non_latin, CASE WHEN n = 0 THEN 1.0 ELSE list_cosine_similarity(s, [{_english}]::DOUBLE[]) END AS english, CASE WHEN n = 0 THEN 1.0 ELSE list_cosine_similarity(list_reverse_sort(s), [{_sorted}]::DOUBLE[]) END AS shape
  FROM (SELECT *, list_transform(letters, lambda x: CASE WHEN n = 0 THEN 0.0 ELSE x / n END)::DOUBLE[] AS s FROM (SELECT *, list_sum(letters)::BIGINT AS n FROM (
   SELECT doc_id, [{_letters}] AS letters, length(regexp_replace(l, '[^aeiou]', '', 'g')) AS vowels, length(l) - len(regexp_extract_all(text, '[A-Za-z]+')) AS pairs,
-   len(list_filter(generate_series(2, length(text)), lambda i: regexp_matches(text[i-1], '[a-z]') AND regexp_matches(text[i], '[A-Z]'))) AS shifts,
+   len(regexp_extract_all(text, '[a-z][A-Z]')) AS shifts,
    length(regexp_replace(u, '[^\x{{C0}}-\x{{24F}}\x{{1E00}}-\x{{1EFF}}]', '', 'g')) AS latin_more, length(regexp_replace(u, '[A-Za-z\x{{C0}}-\x{{24F}}\x{{1E00}}-\x{{1EFF}}]', '', 'g')) AS non_latin
   FROM (SELECT *, lower(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l, regexp_replace(text, '[^\p{{L}}]', '', 'g') AS u FROM ({DAMAGED}))))) """
 
