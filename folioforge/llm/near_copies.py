@@ -1,14 +1,15 @@
-"""Operator 7 at a similarity: near copies by wide SimHash fingerprints, for texts that share 0.8 of their shingles.
-
-Two texts with that similarity differ in some ten of 64 bits, too many for one trie. So a
-fingerprint has WORDS64 words of 64 bits, cut into segments of SEGMENT bits. Each segment is a
-trie forest, joined with itself for at most SEGMENT_BITS differing bits; a pair that any
-segment finds is verified by the differing bits of the whole fingerprint, whose share is the
-angle between the two sets of shingles. With 20 segments of 32 bits and 2 bits each, a pair
-at similarity 0.8 is found with probability 0.93, one at 0.85 with 0.99.
-
-Equal fingerprints are one class before any pair is made, and a task sends on a spanning
-forest of the links it verifies.
+"""Operator 7 at a similarity: near copies by an exact set-similarity join, for texts that share 0.8 of their shingles.
+
+At that similarity a fingerprint's bits only estimate which pairs are meant, and those of a
+short text don't even do that. So shingles are put in one order, and a text of n shingles
+shows its first n - ceil(s n) + 1: two texts at similarity s share one of these (prefix
+filter), and at the first they share enough must be left of both (positional filter). A
+pair's shingle parities then bound how much it can share, and what is left is verified by the
+sets themselves. Nothing is lost at any size, and nothing below s passes.
+
+The order puts shingles that a sample of the texts often has last, so that few texts show
+them. Any order gives the same pairs; this one keeps candidates few. Texts with equal sets
+are one class before any pair is made.
 """
 
 from __future__ import annotations
@@ -17,107 +18,186 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import WordHashes, connected, cut, mix64, prepare, texts_of
-from folioforge.llm.decontaminate import shingle_hashes
-from folioforge.llm.simhash import CHUNK, forest_of, keep_least, trie_pairs
+from folioforge.llm.common import WordHashes, connected, cut, prepare, ranges, texts_of
+from folioforge.llm.decontaminate import needed, shingle_hashes
+from folioforge.llm.simhash import CHUNK, keep_least
+
+#: One text of so many is sampled for the order of shingles; those it has so often are frequent, and the most frequent are ordered.
+SAMPLE, OFTEN, FREQUENT = 16, 3, 500_000
+#: Pairs compared at once.
+PAIRS = 500_000
 
-WORDS64, SEGMENT, SEGMENT_BITS = 10, 32, 2
-#: Where a segment's blocks start; two codes with at most SEGMENT_BITS differing bits agree in one of them.
-BLOCKS = (0, 11, 22)
-FIXED = (11, 11, 10)
-SEEDS = np.array([(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(WORDS64)], np.uint64)
-VERIFY = 100_000
 
+def shingle_set(text: bytes, hashes: WordHashes, words: int) -> np.ndarray:
+    """The text's distinct shingles in order; one of fewer words is one shingle."""
+    parts = text.lower().split()
+    return np.unique(shingle_hashes(hashes.of(parts), min(words, len(parts)))) if parts else np.zeros(0, np.uint64)
 
-def most_bits(similarity: float) -> int:
-    """Differing bits of two sets of one size with that Jaccard similarity, on average."""
-    return round(64 * WORDS64 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
+def node_of(own: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).astype(np.int64))
 
-def wide_fingerprint(text: bytes, hashes: WordHashes, words: int) -> bytes:
-    parts = text.lower().split()
-    if not parts:
-        return bytes(8 * WORDS64)
-    ids = hashes.of(parts)
-    own = np.unique(shingle_hashes(ids, min(words, len(ids))))
-    ones = np.zeros(64 * WORDS64, np.int64)
-    for a in range(0, len(own), 4096):
-        mixed = mix64(own[a : a + 4096, None] ^ SEEDS[None, :])
-        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.int32)
-    return np.packbits(2 * ones > len(own)).tobytes()
-
-
-def _fingerprints(words: int):
+
+def prefix_of(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in the order: rare ones by hash, then frequent ones by count."""
+    if not len(own):
+        return own
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+        own = own[np.lexsort((own, np.where(frequent[at] == own, counts[at], 0)))]
+    return own[: len(own) - needed(len(own), similarity) + 1]
+
+
+def parities(own: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes: whether an odd number of shingles has it. Two or more bits a shingle."""
+    size = max(64, 1 << math.ceil(math.log2(2 * len(own) + 1)))
+    return np.packbits(np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """Shingles that at least stand in only one of two sets with these parities."""
+    if len(a) < len(b):
+        a, b = b, a
+    x = np.frombuffer(a, np.uint64).reshape(-1, len(b) // 8)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x, axis=0) ^ np.frombuffer(b, np.uint64)).sum())
+
+
+def alike(shared, sizes, similarity: float):
+    """Whether sets of `sizes` shingles together, with so many shared, have that Jaccard similarity."""
+    return shared * (1 + similarity) >= similarity * sizes - 1e-9 * sizes
+
+
+def _shingles(words: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            fps = [wide_fingerprint(t, hashes, words) for t in texts_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.binary())], names=["id", "fp"])
+            own = [shingle_set(t, hashes, words) for t in texts_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], names=["shingle"])
 
     return run
 
 
-def _segments(batches):
-    """Rows (node, fp) -> a row for each segment and block: (tree, trie, code, node, fp); the code is turned so that the block is first."""
+def _rows(words: int, similarity: float, shared):
+    def run(batches):
+        frequent, counts = shared.value
+        hashes, seen = WordHashes(), set()
+        for batch in batches:
+            nodes, sizes, prefixes, bits = [], [], [], []
+            for t in texts_of(batch.column("text")):
+                own = shingle_set(t, hashes, words)
+                nodes.append(node_of(own))
+                sizes.append(len(own))
+                known = nodes[-1] in seen  # a task tells a class once
+                seen.add(nodes[-1])
+                prefixes.append(None if known else prefix_of(own, frequent, counts, similarity).tobytes())
+                bits.append(None if known else parities(own))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary())], names=["id", "node", "size", "prefix", "bits"])
+
+    return run
+
+
+def _tokens(batches):
+    """Rows (node, size, prefix) -> a row for each shingle of the prefix: (token, place, size, node)."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 512):
-            part = batch.slice(a, 512)
-            n = part.num_rows
-            codes = np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint32).reshape(n, -1).astype(np.uint64)
-            turned = np.stack([((codes << np.uint64(s)) | (codes >> np.uint64(SEGMENT - s))) & np.uint64(0xFFFFFFFF) for s in BLOCKS], axis=2)  # n, segments, blocks
-            tries = np.stack([turned[:, :, b] >> np.uint64(SEGMENT - f) for b, f in enumerate(FIXED)], axis=2)
-            each = turned.shape[1] * turned.shape[2]
-            at = pa.array(np.repeat(np.arange(n), each))
-            tree = np.tile(np.arange(each, dtype=np.int32), n)
-            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(tries.reshape(-1).astype(np.int32)), pa.array(turned.reshape(-1).astype(np.int64)), part.column("node").take(at), part.column("fp").take(at)], names=["tree", "trie", "code", "node", "fp"])
-
-
-def _links(most: int):
-    def edges(tree, code, node, fp):
-        a, b = [], []
-        for t in np.unique(tree):
-            own = np.flatnonzero(tree == t)
-            codes, wide = code[own] << np.uint64(SEGMENT), np.frombuffer(b"".join(fp[i] for i in own.tolist()), np.uint64).reshape(len(own), -1)
-
-            def verified(label, codes=codes, wide=wide, fixed=FIXED[int(t) % len(BLOCKS)]):
-                for i, j in trie_pairs(codes, np.zeros(len(codes), np.int64), fixed, SEGMENT_BITS, SEGMENT):
-                    for k in range(0, len(i), VERIFY):
-                        x, y = i[k : k + VERIFY], j[k : k + VERIFY]
-                        apart = label[x] != label[y]  # what is tied already needs no look
-                        x, y = x[apart], y[apart]
-                        near = np.bitwise_count(wide[x] ^ wide[y]).sum(1) <= most
-                        if near.any():
-                            yield x[near], y[near]
-
-            label = forest_of(len(codes), verified)
-            tied = np.flatnonzero(label != np.arange(len(codes)))
-            a.append(node[own[tied]])
-            b.append(node[own[label[tied]]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["u", "v"])
+        prefixes = batch.column("prefix").to_pylist()
+        many = np.array([len(p) // 8 for p in prefixes], np.int64)
+        at = pa.array(np.repeat(np.arange(len(many)), many))
+        token = np.frombuffer(b"".join(prefixes), np.int64)
+        place = ranges(np.zeros(len(many), np.int64), many).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(place), batch.column("size").take(at), batch.column("node").take(at)], names=["token", "place", "size", "node"])
+
+
+def _candidates(similarity: float):
+    def pairs(token, place, size, node):
+        """Pairs of one token that can be alike; rows come by token and size."""
+        n = len(token)
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        end = np.repeat(np.r_[first[1:], n], np.diff(np.r_[first, n]))
+        left = size - place
+        row, step = np.arange(n), 1
+        while True:
+            row = row[row + step < end[row]]
+            row = row[alike(size[row], size[row].astype(np.int64) + size[row + step], similarity)]  # those after it are larger still
+            if not len(row):
+                return
+            for k in range(0, len(row), PAIRS):
+                a = row[k : k + PAIRS]
+                b = a + step
+                a = a[alike(np.minimum(left[a], left[b]), size[a].astype(np.int64) + size[b], similarity)]
+                b = a + step
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["u", "v"])
+            step += 1
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp = np.empty(batch.num_rows, object)
-            fp[:] = batch.column("fp").to_pylist()
-            held.append((batch.column("tree").to_numpy(), batch.column("trie").to_numpy(), batch.column("code").to_numpy().astype(np.uint64), batch.column("node").to_numpy(), fp))
+            held.append(tuple(batch.column(c).to_numpy() for c in ("token", "place", "size", "node")))
             size += batch.num_rows
-            if size < CHUNK // 4:
+            if size < CHUNK:
                 continue
-            tree, trie, code, node, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = np.flatnonzero((trie != trie[-1]) | (tree != tree[-1]))
-            at = int(last[-1]) + 1 if len(last) else 0  # the last trie may go on
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = np.flatnonzero(columns[0] != columns[0][-1])
+            at = int(last[-1]) + 1 if len(last) else 0  # the last token may go on
             if at:
-                yield edges(tree[:at], code[:at], node[:at], fps[:at])
-            held, size = [(tree[at:], trie[at:], code[at:], node[at:], fps[at:])], size - at
+                yield from pairs(*(c[:at] for c in columns))
+            held, size = [tuple(c[at:] for c in columns)], size - at
         if held:
-            tree, _, code, node, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield edges(tree, code, node, fps)
+            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _possible(similarity: float):
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            sizes = batch.column("sizes").to_numpy()
+            apart = np.fromiter(map(least_apart, a, b), np.int64, len(a))
+            keep = pa.array(alike((sizes - apart) / 2, sizes, similarity))
+            yield batch.select(["u", "v"]).filter(keep)
+
+    return run
+
+
+def _named(words: int):
+    def run(batches):
+        hashes, seen = WordHashes(), set()
+        for batch in batches:
+            nodes = [node_of(shingle_set(t, hashes, words)) for t in texts_of(batch.column("text"))]
+            new = []
+            for x in nodes:
+                new.append(x not in seen)
+                seen.add(x)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("text")], names=["node", "text"]).filter(pa.array(new, pa.bool_()))
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            own = [shingle_set(t, hashes, words).tobytes() for t in texts_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], names=["node", "own"])
+
+    return run
+
+
+def _verified(similarity: float):
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                keep.append(bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y), similarity)))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -126,21 +206,34 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Rows (id, component_id), one for each row of docs: the smallest id among rows linked by that similarity, directly or through others.
 
     Similarity is Jaccard's over sets of shingles of `words` words (A-Z in lower case, split at
-    white space; a shorter text is one shingle), as the fingerprints tell it: within 0.03 or
-    so. Null text counts as empty, texts without words are alike; rows that repeat stay;
-    component_id is null only where a component has null ids alone.
+    white space; a shorter text is one shingle), and exact. Null text counts as empty, texts
+    without words are alike; rows that repeat stay; component_id is null only where a
+    component has null ids alone.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = cut(slim.mapInArrow(_fingerprints(words), "id long, fp binary"))
-    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.xxhash64("fp")))
-    spread = classes.select("node", "fp").mapInArrow(_segments, "tree int, trie int, code long, node long, fp binary")
-    links = spread.repartition("tree", "trie").sortWithinPartitions("tree", "trie", "code").mapInArrow(_links(most_bits(similarity)), "u long, v long")
+    sample = slim.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
+    often = sample.mapInArrow(_shingles(words), "shingle long").groupBy("shingle").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count")).limit(FREQUENT).toArrow()
+    frequent, counts = often.column("shingle").to_numpy().view(np.uint64), often.column("count").to_numpy()
+    by = np.argsort(frequent)
+    shared = spark.sparkContext.broadcast((frequent[by], counts[by]))
+    rows = cut(slim.mapInArrow(_rows(words, similarity, shared), "id long, node long, size int, prefix binary, bits binary"))
+    told = rows.where("prefix IS NOT NULL").dropDuplicates(["node"])
+    tokens = told.select("node", "size", "prefix").mapInArrow(_tokens, "token long, place int, size int, node long")
+    pairs = cut(tokens.repartition("token").sortWithinPartitions("token", "size").mapInArrow(_candidates(similarity), "u long, v long").distinct())
+    bits = told.select("node", "size", "bits")
+    both = pairs.join(bits.toDF("u", "n", "a"), "u").join(bits.toDF("v", "m", "b"), "v").select("u", "v", "a", "b", (F.col("n").cast("long") + F.col("m")).alias("sizes"))
+    possible = cut(both.mapInArrow(_possible(similarity), "u long, v long"))
+    asked = possible.select("u").union(possible.select("v")).distinct().toDF("node")
+    sets = slim.select("text").mapInArrow(_named(words), "node long, text string").join(asked, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets(words), "node long, own binary")
+    sets = cut(sets)
+    links = possible.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_verified(similarity), "u long, v long")
     roots = connected(links)
+    classes = rows.groupBy("node").agg(F.min("id").alias("least"))
     tied = roots.select(F.col("u").alias("node"), "root").union(roots.select("root", "root").distinct())
     rooted = classes.join(tied, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = classes.join(tied, "node", "left").join(rooted, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(labels, "fp").select("id", "component_id")
+    labels = classes.join(tied, "node", "left").join(rooted, "root", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    return rows.select("id", "node").join(labels, "node").select("id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -272,6 +272,44 @@ def test_near_copies(spark, words):
     assert kept >= {61, 63} and not kept & {62, 64}
 
 
+def brute_components(texts, similarity=0.8):
+    """The smallest place (from 1) of each text's component, by all pairs."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        k = min(5, len(w))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)})
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both * 1000 >= round(similarity * 1000) * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) + 1 for i in range(len(texts))]
+
+
+def test_near_copies_around_the_limit_against_brute_force(spark, words):
+    rng, texts = random.Random(12), []
+    shared = words(60, 5000)
+    for s in range(60):
+        base = words(300, 7000 + s).split()
+        cut = base[: 300 - 40 - s]  # prefixes: similarities from 0.87 to 0.66
+        texts += [" ".join(base), " ".join(cut), shared + " " + words(20 + s % 9, 8000 + s)]
+        w = list(base)
+        for k in rng.sample(range(300), 6 + s % 5):
+            w[k] = f"zz{s}{k}"
+        texts.append(" ".join(w))
+    got = {r.id: r.component_id for r in near_copies.near_components(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(1, len(texts) + 1)] == brute_components(texts)
+
+
 # --- 8 --------------------------------------------------------------------------------
 
 
