@@ -310,6 +310,18 @@ def test_near_copies_around_the_limit_against_brute_force(spark, words):
     assert [got[i] for i in range(1, len(texts) + 1)] == brute_components(texts)
 
 
+def test_near_copies_of_short_texts_against_brute_force(spark, words):
+    texts = []
+    for n in range(1, 24):
+        for s in range(4):
+            base = words(n, 100 * n + s)
+            texts += [base, base + " more", "less " + base]
+    got = {r.id: r.component_id for r in near_copies.near_components(frame(spark, texts)).collect()}
+    want = brute_components(texts)
+    assert [got[i] for i in range(1, len(texts) + 1)] == want
+    assert len(set(want)) < 0.6 * len(texts)  # from 8 words on, all three are one
+
+
 # --- 8 --------------------------------------------------------------------------------
 
 
