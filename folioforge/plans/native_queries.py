@@ -135,6 +135,38 @@ def _markers(spark):
     return spark.sql(MARKED).select("doc_id", text.list_marker(F.col("line")).alias("m")).select("doc_id", "m.marker", "m.rest")
 
 
+ALL_LINES = "SELECT doc_id, CAST(ord AS BIGINT) AS ord, line FROM (SELECT doc_id, posexplode(split(text, '\\n', -1)) AS (ord, line) FROM documents)"
+SQL_LINES = "SELECT doc_id, CAST(unnest(range(len(parts))) AS BIGINT) AS ord, unnest(parts) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)"
+
+
+@query(
+    "gfm_slug_unique_lines",
+    rf"""WITH s AS (SELECT doc_id, ord, regexp_replace(translate(lower(trim(line)), ' ', '-'), '[^\-\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]', '', 'g') AS k FROM ({SQL_LINES})),
+t AS (SELECT doc_id, ord, CASE WHEN k = '' THEN 'section' ELSE k END AS slug FROM s)
+SELECT doc_id, ord, slug, CASE WHEN n = 0 THEN slug ELSE slug || '-' || n END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY ord) - 1 AS n FROM t)""",
+    "documents",
+)
+def _slugs_of_lines(spark):
+    """Every line of every document as a heading of that document."""
+    return layout.unique_slugs(spark.sql(ALL_LINES).select("doc_id", "ord", text.slug(F.col("line")).alias("slug")))
+
+
+MARKS = "CASE (doc_id + ord) % 6 WHEN 0 THEN '• ' WHEN 1 THEN '12. ' WHEN 2 THEN '  3) ' WHEN 3 THEN '- ' WHEN 4 THEN '1234. ' ELSE '' END || line AS line"
+
+
+@query(
+    "list_markers_lines",
+    rf"""WITH l AS (SELECT doc_id, ord, regexp_replace(line, '^ +', '') AS t FROM (SELECT doc_id, ord, {MARKS} FROM ({SQL_LINES}))),
+m AS (SELECT doc_id, ord, t, regexp_extract(t, '^([•·◦○●\-*])(?: |$)', 1) AS b, regexp_extract(t, '^([0-9]{{1,3}})(?:\. |\) | )', 1) AS n FROM l)
+SELECT doc_id, ord, CASE WHEN b <> '' THEN '-' WHEN n <> '' THEN n || '.' END AS marker,
+ CASE WHEN b <> '' THEN regexp_replace(regexp_replace(t, '^[•·◦○●\-*]', ''), '^ +', '') WHEN n <> '' THEN regexp_replace(regexp_replace(t, '^[0-9]{{1,3}}(?:\. |\) | )', ''), '^ +', '') END AS rest FROM m""",
+    "documents",
+)
+def _markers_of_lines(spark):
+    """Every line of every document."""
+    return spark.sql(f"SELECT doc_id, ord, {MARKS} FROM ({ALL_LINES})").select("doc_id", "ord", text.list_marker(F.col("line")).alias("m")).select("doc_id", "ord", "m.marker", "m.rest")
+
+
 NUMBERS = "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CAST(o_custkey AS STRING) || '/' || CAST(o_orderkey AS STRING) WHEN 1 THEN ' - 12 - ' WHEN 2 THEN 'page 3' WHEN 3 THEN '' ELSE '1,234,567,890' END AS line FROM orders"
 
 

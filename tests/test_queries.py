@@ -29,3 +29,10 @@ def test_query(spark, duck, name):
 
 def test_every_oracle_has_its_query():
     assert set(registry.ORACLE) <= set(registry.QUERIES)
+
+
+@pytest.mark.parametrize("name", ["gfm_slug_unique_lines", "list_markers_lines"])
+def test_queries_of_all_lines(spark, duck, name):
+    test_query(spark, duck, name)
+    lines = duck.execute("SELECT sum(len(string_split(text, chr(10)))) FROM documents").fetchone()[0]
+    assert registry.QUERIES[name](spark, SF).count() == lines > duck.execute("SELECT count(*) FROM documents").fetchone()[0]
