@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -32,6 +33,9 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - {"body", "html", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"}
 CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("td", ("tr", "table"))}
+#: What an open p isn't looked for outside of: by a block that begins, and by its end tag.
+ENDS_P = ("article", "section", "body", "main", "table", "form", "div")
+ENDS_END_P = ("div", "article", "section", "body", "main", "td", "li")
 
 #: The classifier's weights: above 0 speaks for boilerplate.
 TAG_COST = {"nav": 7.0, "footer": 7.0, "aside": 7.0, "form": 7.0, "menu": 6.0, "dialog": 7.0, "search": 7.0, "header": 4.5, "address": 1.0, "article": -4.0, "main": -2.5}
@@ -79,6 +83,17 @@ class Reader:
     stack: list[Open] = field(default_factory=lambda: [Open("", 0, (0,), 0.0, False, False, False, False)])
     made: int = 0
     run: Block | None = None
+    #: Where the stack has each open tag.
+    places: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
+
+    def last(self, tags) -> int:
+        """The innermost place of any of these tags; -1 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def cut(self, at: int) -> None:
+        for o in self.stack[at:]:
+            self.places[o.tag].pop()
+        del self.stack[at:]
 
     def text(self, data: str) -> None:
         top = self.stack[-1]
@@ -99,13 +114,10 @@ class Reader:
 
     def close_to(self, tag: str, within: tuple[str, ...]) -> None:
         """Closes the innermost such element that isn't outside one of `within`."""
-        for i in range(len(self.stack) - 1, max(0, len(self.stack) - 65), -1):
-            t = self.stack[i].tag
-            if t == tag or (tag == "td" and t == "th") or (tag in ("dd", "dt") and t in ("dd", "dt")):
-                del self.stack[i:]
-                return
-            if t in within or t in ("article", "section", "body", "main", "table", "form", "div") and tag == "p":
-                return
+        own = ("td", "th") if tag == "td" else ("dd", "dt") if tag in ("dd", "dt") else (tag,)
+        at = self.last(own)
+        if at > self.last((*within, *ENDS_P) if tag == "p" else within):
+            self.cut(at)
 
     def start(self, tag: str, attributes: str, closed: bool) -> None:
         if tag in VOID:
@@ -152,18 +164,15 @@ class Reader:
         else:
             total = max(total, -4.0)
         self.made += 1
+        self.places[tag].append(len(self.stack))
         self.stack.append(Open(tag, self.made, (*above.path, self.made) if tag in BLOCK and len(above.path) < 64 else above.path, total, dropped, above.in_link or tag == "a", in_article, heading))
 
     def end(self, tag: str) -> None:
         if tag in BLOCK:
             self.boundary()
-        for i in range(len(self.stack) - 1, max(0, len(self.stack) - 257), -1):
-            t = self.stack[i].tag
-            if t == tag:
-                del self.stack[i:]
-                return
-            if tag not in BLOCK and t in BLOCK or tag == "p" and t in ("div", "article", "section", "body", "main", "td", "li"):
-                return
+        at = self.last((tag,))
+        if at > self.last(() if tag in BLOCK and tag != "p" else ENDS_END_P if tag == "p" else BLOCK):
+            self.cut(at)
 
 
 def read_blocks(page: str) -> list[Block]:

@@ -70,6 +70,13 @@ def test_html_hostile():
         html_text.main_text(s)
 
 
+def test_html_blocks_of_many_unclosed_tags_end():
+    article = "<article><p>" + "This is a sentence of the article, and it is rather long. " * 8 + "</p></article>"
+    for inner in ("<a href=x>", "<font>", "<b>"):
+        for opened, ended in (("<nav>", "</nav>"), ("<div style='display:none'>", "</div>"), ("<table><tr><td>", "</table>")):
+            assert "sentence of the article" in html_text.main_text(f"<body>{opened}{(inner + 'x ') * 400}{ended}{article}</body>"), (inner, opened)
+
+
 # --- 2 --------------------------------------------------------------------------------
 
 
