@@ -25,11 +25,11 @@ SEPARATOR = "\n\n"
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-HIDDEN = frozenset("head noscript template svg math select button option canvas object embed audio video map datalist".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+HIDDEN = frozenset("head noscript template svg select button option canvas object embed audio video datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 CLOSES_P = BLOCK - {"body", "html", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"}
 CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("td", ("tr", "table"))}
@@ -208,10 +208,14 @@ def read_blocks(page: str) -> list[Block]:
             tag = m[2].lower()
             if m[1]:
                 reader.end(tag)
-            elif tag in RAW:
+            elif tag in RAW or tag == "xmp":
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 if tag == "textarea" or tag == "iframe":
                     reader.boundary()
+                if tag == "xmp":  # a block of text as it stands
+                    reader.start(tag, attributes, False)
+                    reader.text(html.escape(page[at : n if close is None else close.start()]))
+                    reader.end(tag)
                 at = n if close is None else close.end()
             else:
                 reader.start(tag, attributes, attributes.endswith("/"))

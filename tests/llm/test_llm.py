@@ -77,6 +77,13 @@ def test_html_blocks_of_many_unclosed_tags_end():
             assert "sentence of the article" in html_text.main_text(f"<body>{opened}{(inner + 'x ') * 400}{ended}{article}</body>"), (inner, opened)
 
 
+def test_html_math_map_and_xmp_are_text():
+    long = "This is a sentence of the article, and it is rather long. " * 4
+    page = f"<article><p>{long} So <math><mi>x</mi><mo>=</mo><mn>42</mn></math> holds. {long}<map name=m>On the map. </map></p><xmp>if a < b: <i>raw</i> &amp; {long}</xmp><p>{long}</p></article>"
+    got = html_text.main_text(page)
+    assert "x=42 holds." in got and "On the map." in got and "if a < b: <i>raw</i> &amp; This" in got
+
+
 # --- 2 --------------------------------------------------------------------------------
 
 
