@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from folioforge.session import cut, new_table, prepare, shared_dir
 
-__all__ = ["WORD_BYTES", "WordHashes", "connected", "cut", "mix64", "new_table", "prepare", "ranges", "shared_dir", "table", "texts_of", "with_column"]
+__all__ = ["LOWER_BYTES", "WORD_BYTES", "WordHashes", "connected", "cut", "distinct_of", "free_name", "mix64", "new_table", "prepare", "ranges", "shared_dir", "table", "texts_of", "with_column", "word_hashes"]
 
 #: Upper to lower case, and what is neither a letter, a digit nor beyond ASCII to a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+#: Upper to lower case, and white space to a space.
+LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+#: Bytes whose words are hashed at once; a longer word than LONG_WORD is hashed by itself.
+SLICE, LONG_WORD = 1 << 18, 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +60,14 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose output bits all depend on all input bits."""
     x = x ^ (x >> np.uint64(32))
@@ -74,6 +86,79 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return offsets + np.arange(total)
 
 
+class _Powers:
+    """What word_hashes() multiplies by: a number for each byte, powers of an odd number, and their inverses modulo 2^64."""
+
+    def __init__(self):
+        base = 0x9E3779B97F4A7C1B
+        self.bytes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        self.up = self._powers(base)
+        self.down = self._powers(pow(base, -1, 1 << 64))
+
+    @staticmethod
+    def _powers(base: int) -> np.ndarray:
+        out = np.full(SLICE, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+
+_POWERS: list[_Powers] = []
+
+
+def word_hashes(texts: list[bytes], to: bytes = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' words' 64-bit hashes, one text after the other, and how many words each text has.
+
+    `to` maps bytes so that what is between words becomes a space. A word's hash is the sum
+    of a number for each byte times a power for its place; sums of all words of a slice come
+    from one running sum. So nothing is done word by word in Python, and memory beside the
+    result is that of a slice.
+    """
+    if not _POWERS:
+        _POWERS.append(_Powers())
+    powers = _POWERS[0]
+    data = b" ".join(texts).translate(to)
+    raw, n, at = np.frombuffer(data, np.uint8), len(data), 0
+    hashes, begins = [], []
+    while at < n:
+        end = n if n - at <= SLICE else data.rfind(b" ", at, at + SLICE) + 1
+        if end <= at:  # a word of more than a slice
+            end = data.find(b" ", at)
+            end = n if end < 0 else end
+            hashes.append(np.array([xxhash.xxh64_intdigest(data[at:end])], np.uint64))
+            begins.append(np.array([at], np.int64))
+            at = end
+            continue
+        own = raw[at:end]
+        inside = own != 32
+        flips = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edges = np.concatenate(([0] if inside[0] else [], flips, [len(own)] if inside[-1] else [])).astype(np.int64)
+        first, last = edges[::2], edges[1::2]
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(powers.bytes[own] * powers.up[: len(own)], out=sums[1:])
+        got = mix64((sums[last] - sums[first]) * powers.down[first] + (last - first).astype(np.uint64))
+        for i in np.flatnonzero(last - first > LONG_WORD).tolist():
+            got[i] = xxhash.xxh64_intdigest(data[at + first[i] : at + last[i]])
+        hashes.append(got)
+        begins.append(first + at)
+        at = end
+    starts = np.concatenate([np.zeros(0, np.int64), *begins])
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.diff(np.searchsorted(starts, offsets))
+
+
+def distinct_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct hashes in order, one text after the other, and how many; `hashes` is sorted in place."""
+    ends = np.cumsum(sizes)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        hashes[a:b].sort()
+    if not len(hashes):
+        return hashes, sizes
+    keep = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+    keep[(ends - sizes)[sizes > 0]] = True
+    counted = np.concatenate(([0], np.cumsum(keep)))
+    return hashes[keep], counted[ends] - counted[ends - sizes]
+
+
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (u, v): rows (u, root), root the smallest id reachable.
 

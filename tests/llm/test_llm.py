@@ -103,6 +103,86 @@ def test_imatch(spark, words):
     assert mean("near_edited") > 3 * mean("near_next")
 
 
+def test_word_hashes_against_words_alone(words):
+    long = "x" * 40_000
+    texts = [words(300, 1), "", "  One,two\tONE ", long, long + "y " + words(9, 2), "é漢字 " * 70_000, "z" * 300_000 + " " + long, "12 a"]
+    flat, sizes = common.word_hashes([t.encode() for t in texts])
+    found = [re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    assert sizes.tolist() == [len(w) for w in found]
+    flat_words = [w for own in found for w in own]
+    by_word = {w: int(common.word_hashes([w.encode()])[0][0]) for w in set(flat_words)}
+    assert flat.tolist() == [by_word[w] for w in flat_words] and len(set(by_word.values())) == len(by_word)
+    own, n = common.distinct_of(flat.copy(), sizes)
+    ends = np.cumsum(n)
+    assert [own[a:b].tolist() for a, b in zip(ends - n, ends, strict=True)] == [sorted({by_word[w] for w in x}) for x in found]
+
+
+def imatch_by_force(texts, least, most):
+    """Fingerprints by the definition, one term and one subset at a time; a term is known by its hash."""
+    top = 1 << 64
+
+    def mix(x):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 % top
+        x ^= x >> 29
+        x = x * 0xA0761D6478BD642F % top
+        return x ^ x >> 32
+
+    sets = []
+    for t in texts:
+        own = set(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower()))
+        sets.append({int(common.word_hashes([w.encode()])[0][0]) for w in own})
+    df = {}
+    for own in sets:
+        for h in own:
+            df[h] = df.get(h, 0) + 1
+    band = {h for h, n in df.items() if least <= np.log2(len(texts) / n) <= most}
+    out = []
+    for own in sets:
+        kept, row, s = sorted(own & band or own), [], 0
+        for share in imatch.SHARES:
+            turn = 64 // share
+            for k in range(imatch.EACH):
+                seed = s - k % turn + 1
+                picked = [h for h in kept if mix((h + seed * 0x9E3779B97F4A7C15) % top) >> share * (k % turn) & (1 << share) - 1 == 0]
+                total = sum(mix((mix(h ^ int(imatch.ODD)) + place * int(imatch.ODD)) % top) for place, h in enumerate(picked)) % top
+                row.append(max(1, mix(total) >> 48) if picked else 0)
+                s += 1
+        out.append(row)
+    return out
+
+
+def test_imatch_against_brute_force(spark, words):
+    texts = [words(120, s) + " " + words(30, s % 5) for s in range(60)] + ["", None, "unheard of", words(2000, 9)]
+    df = frame(spark, texts)
+    got = {r.id: r for r in imatch.fingerprint_edits(df).collect()}
+    want = imatch_by_force(texts, imatch.LEAST_IDF, imatch.MOST_IDF)
+    assert [got[i].fingerprint for i in range(1, 65)] == ["".join(f"{x:04x}" for x in row) for row in want]
+    for i in range(1, 65):
+        a, b = want[i - 1], want[(i - 2) % 64]
+        some = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+        assert got[i].near_next == pytest.approx(sum(x == y for x, y in some) / len(some) if some else 1.0)
+        e = [int(got[i].edited_fingerprint[k : k + 4], 16) for k in range(0, 256, 4)]
+        some = [(x, y) for x, y in zip(a, e, strict=True) if x or y]
+        assert got[i].near_edited == pytest.approx(sum(x == y for x, y in some) / len(some) if some else 1.0)
+
+
+def test_imatch_plans_with_many_partitions(spark, words):
+    rows = [(i % 700, words(5, i)) for i in range(1500)] + [(None, words(5, i)) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        plain = sorted(imatch.in_order(df, "doc_id", "text").collect(), key=str)
+        spark.conf.set("spark.sql.shuffle.partitions", "2000")
+        assert len({r.part for r in plain}) < 10 and "repartition" in imatch.in_order(df, "doc_id", "text")._jdf.queryExecution().logical().toString().lower()
+        many = imatch.in_order(df, "doc_id", "text")
+        placed = many.where("lead = 0").withColumn("at", F.spark_partition_id()).where("at <> part").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert placed == 0
+    assert sum(r.lead == 0 for r in plain) == 2200 and sum(r.lead == 1 and r.id is None for r in plain) == 1
+
+
 def test_imatch_lexicon_by_join_is_the_same(spark, words):
     df = frame(spark, [words(60, s) for s in range(12)] + ["", None, words(60, 2)])
     lexicon = imatch.lexicon_of(df, least_idf=1.0)
