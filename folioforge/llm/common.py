@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioforge.session import cut, new_table, prepare, shared_dir
 
-__all__ = ["LOWER_BYTES", "WORD_BYTES", "WordHashes", "connected", "cut", "distinct_of", "free_name", "mix64", "new_table", "prepare", "ranges", "shared_dir", "table", "texts_of", "with_column", "word_hashes"]
+__all__ = ["LOWER_BYTES", "WORD_BYTES", "WordHashes", "connected", "cut", "distinct_of", "free_name", "in_blocks", "mix64", "new_table", "prepare", "ranges", "shared_dir", "table", "texts_of", "whole_groups", "with_column", "word_hashes"]
 
 #: Upper to lower case, and what is neither a letter, a digit nor beyond ASCII to a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -184,6 +184,47 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select("u", F.col("v").alias("root"))
 
 
+def in_blocks(rows: DataFrame, keys: list[str], most: int, by: str = "node") -> DataFrame:
+    """rows for a self-join by keys: with columns block_a and block_b, so that no (key, block_a, block_b) has many more than 2 * most rows.
+
+    A key with more than `most` rows is dealt into n parts by the column `by`, and a row goes to
+    each pair of parts that has its own, so that any two rows of a key meet in some block.
+    There are fewer such keys than rows / most, and they are broadcast.
+    """
+    big = rows.groupBy(*keys).count().where(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64(by), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, own).alias("block_a"), F.greatest(k, own).alias("block_b")))
+    alone = F.array(F.struct(F.lit(0).alias("block_a"), F.lit(0).alias("block_b")))
+    dealt = rows.join(F.broadcast(big), keys, "left").select(*rows.columns, F.explode(F.when(F.col("parts").isNull(), alone).otherwise(pairs)).alias("pair"))
+    return dealt.select(*rows.columns, "pair.block_a", "pair.block_b")
+
+
+def whole_groups(batches, names: list[str], keys: int, least: int):
+    """Columns of Arrow batches as numpy arrays, some `least` rows at a time, never cutting a run of rows with equal values in the first `keys` columns."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(c).to_numpy() for c in names]
+        if size + n >= least:
+            new = np.zeros(n, bool)
+            for c in range(keys):
+                new[1:] |= columns[c][1:] != columns[c][:-1]
+                new[0] |= bool(held) and columns[c][0] != held[-1][c][-1]
+            at = np.flatnonzero(new)
+            if len(at):
+                at = int(at[-1])
+                yield [np.concatenate(x) for x in zip(*held, [c[:at] for c in columns], strict=True)]
+                held, size = [], 0
+                columns, n = [c[at:] for c in columns], n - at
+        held.append(columns)
+        size += n
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def blocks(items: Iterable, most: int):
     """Lists of at most so many items."""
     block: list = []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import WORD_BYTES, WordHashes, mix64, prepare, table, texts_of
+from folioforge.llm.common import WORD_BYTES, WordHashes, free_name, mix64, new_table, prepare, table, texts_of
 
 WORDS, THRESHOLD = 5, 0.8
 #: Shingles of the items that one pass over the documents looks for (some 100 MB in a task).
@@ -138,13 +138,13 @@ def _search(sketches: Sketches):
     return run
 
 
-def _item_blocks(items: DataFrame, id_col: str, text_col: str):
+def _item_blocks(items: DataFrame, id_col: str, text_col: str, most: int):
     """Items in blocks of bounded size; only one block is at the driver at a time."""
     block, held = [], 0
     for row in items.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).toLocalIterator():
         text = row.t.encode()
         size = text.count(b" ") + 1
-        if block and held + size > BLOCK_SHINGLES:
+        if block and held + size > most:
             yield block
             block, held = [], 0
         block.append((row.i, text))
@@ -152,29 +152,48 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str):
     yield block
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Rows (id, item_id, n_item, n_shared, containment) of each document row and item contained.
 
     An item is contained in a text that has at least threshold of its distinct shingles of
     `words` words; an item with fewer words is one shingle, the whole item; an item without
     words is in no text. Null texts count as empty; rows and items that repeat each give
-    their own rows; null ids stay null; empty tables give no rows.
+    their own rows; null ids stay null; empty tables give no rows; other columns are not
+    looked at. Items of more than block_shingles words are taken in several passes.
     """
     spark: SparkSession = prepare(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = None
-    for block in _item_blocks(items, item_id, item_text):
-        sketches = Sketches(block, words, threshold)
-        shared = spark.sparkContext.broadcast(sketches)
-        part = slim.mapInArrow(lambda batches, s=shared: _search(s.value)(batches), "id long, item_id long, n_item long, n_shared long")
-        out = part if out is None else out.union(part)
+    fields = "id long, item_id long, n_item long, n_shared long"
+
+    def search(block):
+        shared = spark.sparkContext.broadcast(Sketches(block, words, threshold))
+        return shared, slim.mapInArrow(lambda batches: _search(shared.value)(batches), fields)
+
+    held, path = None, None
+    for block in _item_blocks(items, item_id, item_text, block_shingles):
+        if held is not None:  # more than one block: each one's rows are written, and its sketches given up, before the next is read
+            path = path or new_table(spark, "found")
+            shared, rows = search(held)
+            rows.write.mode("append").parquet(path)
+            shared.destroy()
+        held = block
+    if path is None:
+        out = search(held)[1]
+    else:
+        search(held)[1].write.mode("append").parquet(path)
+        out = spark.read.schema(fields).parquet(path)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **more) -> DataFrame:
-    """docs without the rows that contain an item. Rows with a null id are kept or not by their id's hits as well."""
-    hits = find_items(docs, items, id_col=id_col, **more).select(F.col("id").alias("__hit")).distinct()
-    return docs.join(hits, F.col(id_col).cast("long").eqNullSafe(F.col("__hit")), "left_anti")
+    """docs without the rows that contain an item; all columns stay as they are, whatever their names.
+
+    Rows that share an id, null ids among them, stay or go together. Null text counts as
+    empty; an empty table of items leaves all rows, an empty table of documents gives none.
+    """
+    key = free_name(docs, "hit")
+    hits = find_items(docs, items, id_col=id_col, **more).select(F.col("id").alias(key)).distinct()
+    return docs.join(hits, docs[id_col].cast("long").eqNullSafe(hits[key]), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

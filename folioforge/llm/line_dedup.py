@@ -8,7 +8,8 @@ lines. Stages:
    of two integers);
 2. counts by hash, partly aggregated before the shuffle;
 3. counts go to shards of about SHARD_KEYS keys; each shard is one perfect hash with its arrays;
-4. probes of a shard meet its arrays, and only the hits go back to the documents.
+4. probes of a shard, dealt in parts by document, meet its arrays, and only the hits go back
+   to the documents.
 
 A line that has more than 1/HOT of all (document, line) pairs is hot. There can't be more
 than HOT such lines, so that their hashes are sent to all tasks, and no shard has a hot key.
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.llm.common import cut, mix64, prepare, table, texts_of, with_column
+from folioforge.llm.common import cut, free_name, mix64, prepare, table, texts_of, with_column
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SHARD_KEYS = 250_000
+#: Probes of a shard that a task should hold; a shard with more is copied for so many parts of them.
+PROBES = 1_000_000
 HOT = 20_000
 COUNT_TOP = 65_535
 
@@ -177,28 +180,32 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The text column holds what stays, joined by newlines; n_lines (before) and n_dropped are
     added, or replaced where docs has such columns; all other columns stay as they are.
     Null text counts as an empty text, which is one empty line; keys shorter than least_chars
-    code points never go. A null id is an id like others; rows that repeat count once each;
-    an empty table gives an empty result.
+    code points never go. Rows of one id are one document, as are all rows with a null id; an
+    empty table gives an empty result; other columns may have any name.
     """
     spark: SparkSession = prepare(docs.sparkSession)
     if least_docs > COUNT_TOP:
         raise ValueError(f"least_docs: at most {COUNT_TOP}")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lines = cut(slim.mapInArrow(_line_hashes("id", "text", least_chars), "id long, h long"))
-    counts = cut(lines.groupBy("h").agg(F.count("*").alias("n")))
+    counts = cut(lines.groupBy("h").agg(F.count_distinct(F.struct("id")).alias("n")))
     pairs, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     level = max(least_docs, pairs // HOT + 1)
     hot = frozenset(r.h for r in counts.where(F.col("n") >= level).select("h").collect())  # HOT at most
     shards = max(1, -(-distinct // SHARD_KEYS))
-    cold = counts.where(F.col("n") < level).withColumn("shard", F.pmod("h", F.lit(shards)))
-    arrays = cold.groupBy("shard").applyInArrow(build_shard, SHARD)
-    probes = lines.join(F.broadcast(counts.where(F.col("n") >= level).select("h")), "h", "left_anti").select("id", "h", F.pmod("h", F.lit(shards)).alias("shard"))
-    hits = probes.groupBy("shard").cogroup(arrays.groupBy("shard")).applyInArrow(lambda a, b: probe(a, b, least_docs), "id long, h long")
-    by_doc = hits.groupBy("id").agg(F.collect_set("h").alias("__hits")).withColumnRenamed("id", "__id")
-    joined = docs.join(by_doc, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+    parts = max(1, -(-pairs // shards // PROBES))
+    shard = F.pmod("h", F.lit(shards)).alias("shard")
+    arrays = counts.where(F.col("n") < level).select("h", "n", shard).groupBy("shard").applyInArrow(build_shard, SHARD)
+    arrays = arrays.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    cold = lines.join(F.broadcast(counts.where(F.col("n") >= level).select("h")), "h", "left_anti")
+    probes = cold.select("id", "h", shard, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    hits = probes.groupBy("shard", "part").cogroup(arrays.groupBy("shard", "part")).applyInArrow(lambda a, b: probe(a, b, least_docs), "id long, h long")
+    own, gone = free_name(docs, "own_id"), free_name(docs, "gone_lines")
+    by_doc = hits.groupBy(F.col("id").alias(own)).agg(F.collect_set("h").alias(gone))
+    joined = docs.join(by_doc, docs[id_col].cast("long").eqNullSafe(by_doc[own]), "left").drop(own)
     names = [*docs.columns, *(c for c in ("n_lines", "n_dropped") if c not in docs.columns)]
     fields = {f.name: f for f in docs.schema.fields} | {c: T.StructField(c, T.LongType()) for c in ("n_lines", "n_dropped")} | {text_col: T.StructField(text_col, T.StringType())}
-    return joined.mapInArrow(_kept(text_col, "__hits", hot, least_chars, names), T.StructType([fields[c] for c in names]))
+    return joined.mapInArrow(_kept(text_col, gone, hot, least_chars, names), T.StructType([fields[c] for c in names]))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,69 +1,71 @@
-"""Operator 7 at a similarity: near copies by an exact set-similarity join, for texts that share 0.8 of their shingles.
-
-At that similarity a fingerprint's bits only estimate which pairs are meant, and those of a
-short text don't even do that. So shingles are put in one order, and a text of n shingles
-shows its first n - ceil(s n) + 1: two texts at similarity s share one of these (prefix
-filter), and at the first they share enough must be left of both (positional filter). A
-pair's shingle parities then bound how much it can share, and what is left is verified by the
-sets themselves. Nothing is lost at any size, and nothing below s passes.
-
-The order puts shingles that a sample of the texts often has last, so that few texts show
-them. Any order gives the same pairs; this one keeps candidates few. Texts with equal sets
-are one class before any pair is made.
+"""Operator 7 at a similarity: near copies by wide SimHash fingerprints and tries, verified by the sets themselves.
+
+Two texts that share 0.8 of their shingles differ in some ten of 64 bits, too many for one
+trie. So a fingerprint has SEGMENTS segments of 32 bits, and each segment is a trie forest that
+is joined with itself for at most SEGMENT_BITS differing bits, one of three blocks being equal.
+A pair that any segment finds is verified by the exact Jaccard similarity of its shingle sets,
+so that nothing below the limit passes. A pair at similarity 0.8 is found with probability
+0.99, one at 0.85 with 0.999.
+
+Bits of a text with few shingles don't follow the angle of the sets. Texts of at most SHORT
+shingles are joined exactly instead: shingles are put in an order, rare ones first, and a text
+of n shingles shows its first n - ceil(s n) + 1; two texts at similarity s share one of these
+(prefix filter), and at the first they share enough must be left of both (positional filter).
+
+Groups of near copies don't give all their pairs. Texts that are equal in a segment or share
+a shingle of their prefixes are first compared with the least and the largest node there;
+what these verified pairs tie together is one component, and the joins then leave out pairs
+within a component, whole trie nodes at a time. Texts with equal sets are one node from the
+start. A trie or a shingle with more rows than a task should hold is joined in blocks.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import WordHashes, connected, cut, prepare, ranges, texts_of
+from folioforge.llm.common import LOWER_BYTES, blocks, connected, cut, in_blocks, mix64, prepare, ranges, texts_of, whole_groups, word_hashes
 from folioforge.llm.decontaminate import needed, shingle_hashes
-from folioforge.llm.simhash import CHUNK, keep_least
-
-#: One text of so many is sampled for the order of shingles; those it has so often are frequent, and the most frequent are ordered.
-SAMPLE, OFTEN, FREQUENT = 16, 3, 500_000
-#: Pairs compared at once.
+from folioforge.llm.simhash import CHUNK, keep_least, trie_pairs
+
+SEGMENTS, SEGMENT, SEGMENT_BITS = 20, 32, 3
+#: Differing bits that a pair may have in the segment after the one that finds it: three standard deviations at similarity 0.8.
+NEXT_BITS = 11
+#: Where a segment's blocks start; a forest has tries of codes with one block equal.
+BLOCKS, FIXED = (0, 11, 22), (11, 11, 10)
+SEEDS = np.array([(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(SEGMENTS // 2)], np.uint64)
+#: Differing bits of all segments beyond which a pair isn't verified: those of a pair at similarity 0.8, 97, and four standard deviations.
+MOST_BITS = 134
+#: Shingles of a text that is joined by them.
+SHORT = 32
+#: Pairs that are made at once.
 PAIRS = 500_000
 
 
-def shingle_set(text: bytes, hashes: WordHashes, words: int) -> np.ndarray:
-    """The text's distinct shingles in order; one of fewer words is one shingle."""
-    parts = text.lower().split()
-    return np.unique(shingle_hashes(hashes.of(parts), min(words, len(parts)))) if parts else np.zeros(0, np.uint64)
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """Each text's distinct shingles in order; one of fewer words is one shingle."""
+    out = []
+    for some in blocks(texts, 128):
+        flat, sizes = word_hashes(some, LOWER_BYTES)
+        ends = np.cumsum(sizes)
+        out += [np.unique(shingle_hashes(flat[a:b], min(words, b - a))) if b > a else np.zeros(0, np.uint64) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    return out
 
 
 def node_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).astype(np.int64))
 
 
-def prefix_of(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in the order: rare ones by hash, then frequent ones by count."""
-    if not len(own):
-        return own
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-        own = own[np.lexsort((own, np.where(frequent[at] == own, counts[at], 0)))]
-    return own[: len(own) - needed(len(own), similarity) + 1]
-
-
-def parities(own: np.ndarray) -> bytes:
-    """A bit for each residue of the hashes: whether an odd number of shingles has it. Two or more bits a shingle."""
-    size = max(64, 1 << math.ceil(math.log2(2 * len(own) + 1)))
-    return np.packbits(np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
-
-
-def least_apart(a: bytes, b: bytes) -> int:
-    """Shingles that at least stand in only one of two sets with these parities."""
-    if len(a) < len(b):
-        a, b = b, a
-    x = np.frombuffer(a, np.uint64).reshape(-1, len(b) // 8)
-    return int(np.bitwise_count(np.bitwise_xor.reduce(x, axis=0) ^ np.frombuffer(b, np.uint64)).sum())
+def wide_fingerprint(own: np.ndarray) -> bytes:
+    """Of each bit whether over half of the shingles' hashes have it."""
+    ones = np.zeros(SEGMENTS * SEGMENT, np.int64)
+    for a in range(0, len(own), 4096):
+        mixed = mix64(own[a : a + 4096, None] ^ SEEDS[None, :])
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(own)).tobytes()
 
 
 def alike(shared, sizes, similarity: float):
@@ -71,109 +73,126 @@ def alike(shared, sizes, similarity: float):
     return shared * (1 + similarity) >= similarity * sizes - 1e-9 * sizes
 
 
-def _shingles(words: int):
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            own = [shingle_set(t, hashes, words) for t in texts_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], names=["shingle"])
-
-    return run
-
-
-def _rows(words: int, similarity: float, shared):
+def _rows(words: int, most_short: int):
     def run(batches):
-        frequent, counts = shared.value
-        hashes, seen = WordHashes(), set()
+        seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, prefixes, bits = [], [], [], []
-            for t in texts_of(batch.column("text")):
-                own = shingle_set(t, hashes, words)
+            nodes, sizes, fps, short = [], [], [], []
+            for own in shingle_sets(texts_of(batch.column("text")), words):
                 nodes.append(node_of(own))
                 sizes.append(len(own))
-                known = nodes[-1] in seen  # a task tells a class once
+                known = nodes[-1] in seen  # a task tells a node once
+                if len(seen) >= CHUNK:
+                    seen.clear()
                 seen.add(nodes[-1])
-                prefixes.append(None if known else prefix_of(own, frequent, counts, similarity).tobytes())
-                bits.append(None if known else parities(own))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(bits, pa.binary())], names=["id", "node", "size", "prefix", "bits"])
+                fps.append(None if known else wide_fingerprint(own))
+                short.append(own.view(np.int64) if not known and len(own) <= most_short else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(short, pa.list_(pa.int64()))], names=["id", "node", "size", "fp", "short"])
 
     return run
 
 
-def _tokens(batches):
-    """Rows (node, size, prefix) -> a row for each shingle of the prefix: (token, place, size, node)."""
+def _codes(part: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint32).reshape(part.num_rows, SEGMENTS).astype(np.uint64)
+
+
+def _whole_segments(batches):
+    """Rows (node, fp) -> a row for each segment: (key, node); the key is the segment's number and bits."""
     for batch in batches:
-        prefixes = batch.column("prefix").to_pylist()
-        many = np.array([len(p) // 8 for p in prefixes], np.int64)
-        at = pa.array(np.repeat(np.arange(len(many)), many))
-        token = np.frombuffer(b"".join(prefixes), np.int64)
-        place = ranges(np.zeros(len(many), np.int64), many).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(place), batch.column("size").take(at), batch.column("node").take(at)], names=["token", "place", "size", "node"])
-
-
-def _candidates(similarity: float):
-    def pairs(token, place, size, node):
-        """Pairs of one token that can be alike; rows come by token and size."""
-        n = len(token)
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        end = np.repeat(np.r_[first[1:], n], np.diff(np.r_[first, n]))
-        left = size - place
-        row, step = np.arange(n), 1
-        while True:
-            row = row[row + step < end[row]]
-            row = row[alike(size[row], size[row].astype(np.int64) + size[row + step], similarity)]  # those after it are larger still
-            if not len(row):
-                return
-            for k in range(0, len(row), PAIRS):
-                a = row[k : k + PAIRS]
-                b = a + step
-                a = a[alike(np.minimum(left[a], left[b]), size[a].astype(np.int64) + size[b], similarity)]
-                b = a + step
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["u", "v"])
-            step += 1
+        keys = _codes(batch) | np.arange(SEGMENTS, dtype=np.uint64) << np.uint64(SEGMENT)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), SEGMENTS)))], names=["key", "node"])
+
+
+def _tries(batches):
+    """Rows (node, comp, fp) -> a row for each segment and block: (tree, trie, code, node, comp).
+
+    The code is the segment, turned so that the block comes first, and then the next segment.
+    """
+    each = SEGMENTS * len(BLOCKS)
+    for batch in batches:
+        n = batch.num_rows
+        codes = _codes(batch)
+        turned = np.stack([((codes << np.uint64(s)) | (codes >> np.uint64(SEGMENT - s))) & np.uint64(0xFFFFFFFF) for s in BLOCKS], axis=2)  # n, segments, blocks
+        tries = np.stack([turned[:, :, b] >> np.uint64(SEGMENT - f) for b, f in enumerate(FIXED)], axis=2)
+        turned = turned << np.uint64(SEGMENT) | np.roll(codes, -1, axis=1)[:, :, None]
+        at = pa.array(np.repeat(np.arange(n), each))
+        tree = np.tile(np.arange(each, dtype=np.int32), n)
+        yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(tries.reshape(-1).astype(np.int32)), pa.array(turned.reshape(-1).view(np.int64)), batch.column("node").take(at), batch.column("comp").take(at)], names=["tree", "trie", "code", "node", "comp"])
+
+
+def _pair_batch(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["u", "v"])
+
+
+def _trie_links(batches):
+    """Rows by (tree, trie, block, code) -> pairs of nodes of different components within SEGMENT_BITS."""
+    names = ["tree", "trie", "block_a", "block_b", "code", "node", "comp"]
+    for tree, trie, a, b, code, node, comp in whole_groups(batches, names, 4, CHUNK):
+        codes = code.view(np.uint64)
+        edges = np.flatnonzero(np.concatenate(([True], (tree[1:] != tree[:-1]) | (trie[1:] != trie[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True])))
+        some = np.flatnonzero(np.diff(edges) > 1)
+        number = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        for fixed in sorted(set(FIXED)):
+            mine = some[np.array(FIXED)[tree[edges[some]] % len(BLOCKS)] == fixed]
+            at = ranges(edges[mine], edges[mine + 1] - edges[mine])
+            own, nodes = codes[at], node[at]
+            for i, j in trie_pairs(own, number[at], fixed, SEGMENT_BITS, SEGMENT, comp[at]):
+                near = np.bitwise_count((own[i] ^ own[j]) & np.uint64((1 << SEGMENT) - 1)) <= NEXT_BITS
+                if near.any():
+                    yield _pair_batch(nodes, i[near], j[near])
+
+
+def _token_links(similarity: float):
+    """Rows by (token, block, comp) -> pairs of nodes of different components that can be alike."""
 
     def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(tuple(batch.column(c).to_numpy() for c in ("token", "place", "size", "node")))
-            size += batch.num_rows
-            if size < CHUNK:
-                continue
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            last = np.flatnonzero(columns[0] != columns[0][-1])
-            at = int(last[-1]) + 1 if len(last) else 0  # the last token may go on
-            if at:
-                yield from pairs(*(c[:at] for c in columns))
-            held, size = [tuple(c[at:] for c in columns)], size - at
-        if held:
-            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        names = ["token", "block_a", "block_b", "place", "size", "node", "comp"]
+        for token, a, b, place, size, node, comp in whole_groups(batches, names, 3, CHUNK):
+            new = np.concatenate(([True], (token[1:] != token[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            turn = new | np.concatenate(([True], comp[1:] != comp[:-1]))
+            ends = lambda starts: np.repeat(np.append(np.flatnonzero(starts)[1:], len(token)), np.diff(np.append(np.flatnonzero(starts), len(token))))
+            first, end = ends(turn), ends(new)  # a row's partners: after its component's rows, to the token's end
+            counts = end - first
+            left = (size - place).astype(np.int64)
+            done = np.cumsum(counts)
+            at = 0
+            while at < len(token):
+                to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS)))
+                for k in range(0, int(counts[at:to].max(initial=0)) if to == at + 1 else 1, PAIRS):
+                    c = np.minimum(counts[at:to] - k, PAIRS) if to == at + 1 else counts[at:to]
+                    i, j = np.repeat(np.arange(at, to), c), ranges(first[at:to] + k, c)
+                    both = size[i].astype(np.int64) + size[j]
+                    can = alike(np.minimum(left[i], left[j]), both, similarity)
+                    if can.any():
+                        yield _pair_batch(node, i[can], j[can])
+                at = to
 
     return run
 
 
-def _possible(similarity: float):
+def _possible(similarity: float, most_bits: int):
+    """Pairs whose sizes, and whose fingerprints if both are long, allow the similarity."""
+
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            sizes = batch.column("sizes").to_numpy()
-            apart = np.fromiter(map(least_apart, a, b), np.int64, len(a))
-            keep = pa.array(alike((sizes - apart) / 2, sizes, similarity))
-            yield batch.select(["u", "v"]).filter(keep)
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("a", "b"))
+            near = (np.bitwise_count(a ^ b).sum(1) <= most_bits) | (np.minimum(n, m) <= SHORT)
+            yield batch.select(["u", "v"]).filter(pa.array(near & alike(np.minimum(n, m), n + m, similarity)))
 
     return run
 
 
 def _named(words: int):
     def run(batches):
-        hashes, seen = WordHashes(), set()
+        seen: set[int] = set()
         for batch in batches:
-            nodes = [node_of(shingle_set(t, hashes, words)) for t in texts_of(batch.column("text"))]
+            nodes = [node_of(own) for own in shingle_sets(texts_of(batch.column("text")), words)]
             new = []
             for x in nodes:
                 new.append(x not in seen)
+                if len(seen) >= CHUNK:
+                    seen.clear()
                 seen.add(x)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("text")], names=["node", "text"]).filter(pa.array(new, pa.bool_()))
 
@@ -182,9 +201,8 @@ def _named(words: int):
 
 def _sets(words: int):
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            own = [shingle_set(t, hashes, words).tobytes() for t in texts_of(batch.column("text"))]
+            own = [x.tobytes() for x in shingle_sets(texts_of(batch.column("text")), words)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], names=["node", "own"])
 
     return run
@@ -202,33 +220,63 @@ def _verified(similarity: float):
     return run
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _links(pairs: DataFrame, told: DataFrame, texts: DataFrame, words: int, similarity: float, most_bits: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets have the similarity; only texts of pairs that can have it are read for their sets."""
+    kinds = told.select("node", "size", "fp")
+    both = pairs.join(kinds.toDF("u", "n", "a"), "u").join(kinds.toDF("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b")
+    possible = cut(both.mapInArrow(_possible(similarity, most_bits), "u long, v long"))
+    asked = possible.select("u").union(possible.select("v")).distinct().toDF("node")
+    named = texts.mapInArrow(_named(words), "node long, text string").join(asked, "node", "left_semi").dropDuplicates(["node"])
+    sets = cut(named.mapInArrow(_sets(words), "node long, own binary"))
+    return cut(possible.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_verified(similarity), "u long, v long"))
+
+
+def _prefixes(told: DataFrame, similarity: float) -> DataFrame:
+    """Rows (token, place, size, node): the prefixes of short texts, by how many of these texts have a shingle, rare ones first."""
+    tokens = told.where("short IS NOT NULL").select("node", "size", F.explode("short").alias("token"))
+    many = tokens.groupBy("token").count()
+    ordered = tokens.join(many, "token").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("own"))
+    sizes = F.array(*[F.lit(0 if n == 0 else n - needed(n, similarity) + 1) for n in range(_most_short(similarity) + 1)])
+    shown = ordered.select("node", "size", F.posexplode(F.slice("own", F.lit(1), sizes[F.col("size")])).alias("place", "t"))
+    return shown.select(F.col("t.token").alias("token"), "place", "size", "node")
+
+
+def _most_short(similarity: float) -> int:
+    """Shingles of the largest text that a text of SHORT can be alike to."""
+    return int(SHORT / similarity + 1e-9)
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, task_rows: int = 250_000) -> DataFrame:
     """Rows (id, component_id), one for each row of docs: the smallest id among rows linked by that similarity, directly or through others.
 
     Similarity is Jaccard's over sets of shingles of `words` words (A-Z in lower case, split at
-    white space; a shorter text is one shingle), and exact. Null text counts as empty, texts
-    without words are alike; rows that repeat stay; component_id is null only where a
-    component has null ids alone.
+    white space; a shorter text is one shingle). Every link has it exactly. Texts of at most
+    SHORT shingles lose no link; a pair of longer texts is found with probability 0.99 at
+    similarity 0.8 and 0.999 from 0.85 on. Limits below 0.8 are refused, as the segments are made
+    for that. Null text counts as empty, texts without words are alike; rows that repeat
+    stay; component_id is null only where a component has null ids alone; an empty table gives no
+    rows. A trie or a shingle with over task_rows rows is joined in blocks of about so many.
     """
-    spark = prepare(docs.sparkSession)
+    if similarity < 0.8:
+        raise ValueError("similarity: 0.8 at least")
+    prepare(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sample = slim.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
-    often = sample.mapInArrow(_shingles(words), "shingle long").groupBy("shingle").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count")).limit(FREQUENT).toArrow()
-    frequent, counts = often.column("shingle").to_numpy().view(np.uint64), often.column("count").to_numpy()
-    by = np.argsort(frequent)
-    shared = spark.sparkContext.broadcast((frequent[by], counts[by]))
-    rows = cut(slim.mapInArrow(_rows(words, similarity, shared), "id long, node long, size int, prefix binary, bits binary"))
-    told = rows.where("prefix IS NOT NULL").dropDuplicates(["node"])
-    tokens = told.select("node", "size", "prefix").mapInArrow(_tokens, "token long, place int, size int, node long")
-    pairs = cut(tokens.repartition("token").sortWithinPartitions("token", "size").mapInArrow(_candidates(similarity), "u long, v long").distinct())
-    bits = told.select("node", "size", "bits")
-    both = pairs.join(bits.toDF("u", "n", "a"), "u").join(bits.toDF("v", "m", "b"), "v").select("u", "v", "a", "b", (F.col("n").cast("long") + F.col("m")).alias("sizes"))
-    possible = cut(both.mapInArrow(_possible(similarity), "u long, v long"))
-    asked = possible.select("u").union(possible.select("v")).distinct().toDF("node")
-    sets = slim.select("text").mapInArrow(_named(words), "node long, text string").join(asked, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets(words), "node long, own binary")
-    sets = cut(sets)
-    links = possible.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_verified(similarity), "u long, v long")
-    roots = connected(links)
+    rows = cut(slim.mapInArrow(_rows(words, _most_short(similarity)), "id long, node long, size int, fp binary, short array<long>"))
+    told = cut(rows.where("fp IS NOT NULL").select("node", "size", "fp", "short").dropDuplicates(["node"]))
+    long = told.where(F.col("size") > SHORT)
+    tokens = cut(_prefixes(told, similarity))
+    keys = long.select("node", "fp").mapInArrow(_whole_segments, "key long, node long").union(tokens.select("token", "node"))
+    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    stars = keys.join(ends, "key").select(F.explode(F.array(F.struct(F.least("node", "low").alias("u"), F.greatest("node", "low").alias("v")), F.struct(F.least("node", "high").alias("u"), F.greatest("node", "high").alias("v")))).alias("p")).select("p.*")
+    texts = slim.select("text")
+    near = connected(_links(stars.where("u < v").distinct(), told, texts, words, similarity, MOST_BITS))
+    comps = cut(told.select("node", "size", "fp").join(near.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    tries = comps.where(F.col("size") > SHORT).select("node", "comp", "fp").mapInArrow(_tries, "tree int, trie int, code long, node long, comp long")
+    by_trie = in_blocks(tries, ["tree", "trie"], task_rows).repartition("tree", "trie", "block_a", "block_b").sortWithinPartitions("tree", "trie", "block_a", "block_b", "code")
+    by_token = in_blocks(tokens.join(comps.select("node", "comp"), "node"), ["token"], task_rows).repartition("token", "block_a", "block_b").sortWithinPartitions("token", "block_a", "block_b", "comp")
+    pairs = by_trie.mapInArrow(_trie_links, "u long, v long").union(by_token.mapInArrow(_token_links(similarity), "u long, v long")).distinct()
+    links = _links(pairs, told, texts, words, similarity, MOST_BITS)
+    roots = connected(near.toDF("u", "v").union(links))
     classes = rows.groupBy("node").agg(F.min("id").alias("least"))
     tied = roots.select(F.col("u").alias("node"), "root").union(roots.select("root", "root").distinct())
     rooted = classes.join(tied, "node").groupBy("root").agg(F.min("least").alias("component_id"))
@@ -237,5 +285,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component of near copies: that with the smallest id; all columns stay as they are."""
+    """docs with one row of each component of near_components(): that with the smallest id.
+
+    All columns stay as they are, whatever their names. Null text counts as empty, and texts
+    without words are one component; rows that repeat are one row; rows with null ids stay only
+    where their component has no id; an empty table gives an empty result.
+    """
     return keep_least(docs, near_components(docs, id_col, text_col, words, similarity), id_col, text_col)

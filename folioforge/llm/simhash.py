@@ -19,11 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import connected, cut, prepare, table, texts_of
+from folioforge.llm.common import connected, cut, free_name, in_blocks, prepare, table, texts_of, whole_groups
 
 SEED = 42
 #: Rows of sorted keys that are joined at once, and node pairs that go down together.
-CHUNK, FRONTIER = 200_000, 1_000_000
+CHUNK, FRONTIER = 200_000, 400_000
+#: Fingerprints of a trie that a task joins whole.
+TASK_ROWS = 250_000
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int32)
 
 
@@ -88,14 +90,20 @@ def ordered_bits(fp, order: list[int]):
     return out
 
 
-def trie_pairs(codes: np.ndarray, tree: np.ndarray, fixed: int, budget: int, depth_end: int = 64):
+def trie_pairs(codes: np.ndarray, tree: np.ndarray, fixed: int, budget: int, depth_end: int = 64, tied: np.ndarray | None = None):
     """Index pairs of the sorted codes (uint64) whose bits from `fixed` to depth_end differ in at most budget.
 
     tree says of each code which trie of the forest it is in. The first bits are equal in a
     trie, so that it is joined from below them. Codes that are equal up to depth_end make
-    pairs as well. Yields (left, right).
+    pairs as well. Codes with one number in `tied` make none, and two trie nodes that have
+    only that number aren't followed. Yields (left, right).
     """
     n = len(codes)
+    if not n:
+        return
+    if tied is not None:
+        turns = np.flatnonzero(np.concatenate(([True], tied[1:] != tied[:-1])))
+        same_to = np.repeat(np.append(turns[1:], n), np.diff(np.append(turns, n)))  # the end of the run of one number
     edges = np.flatnonzero(np.concatenate(([True], (tree[1:] != tree[:-1]) | ((codes[1:] ^ codes[:-1]) >> np.uint64(64 - fixed) != 0), [True])))
     lo, hi = edges[:-1], edges[1:]
     some = hi - lo > 1
@@ -105,26 +113,31 @@ def trie_pairs(codes: np.ndarray, tree: np.ndarray, fixed: int, budget: int, dep
     def split(depth, lo, hi):
         if depth not in ones:
             bit = ((codes >> np.uint64(63 - depth)) & np.uint64(1)).astype(np.int64)
-            ones[depth] = np.concatenate(([0], np.cumsum(bit)))
+            ones[depth] = np.concatenate(([0], np.cumsum(bit))).astype(np.int32)
         count = ones[depth]
         return hi - (count[hi] - count[lo])
 
     stack = [(fixed, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
     while stack:
         depth, al, ah, bl, bh, used = stack.pop()
+        if tied is not None and len(al):
+            open_ = (same_to[al] < ah) | (same_to[bl] < bh) | (tied[al] != tied[bl])
+            al, ah, bl, bh, used = (x[open_] for x in (al, ah, bl, bh, used))
         if not len(al):
             continue
         single = (ah - al == 1) & (bh - bl == 1)
         if single.any():
             i, j = al[single], bl[single]
-            near = (i != j) & (np.bitwise_count(codes[i] ^ codes[j]) <= budget)
+            near = (i != j) & (np.bitwise_count((codes[i] ^ codes[j]) >> np.uint64(64 - depth_end)) <= budget)
             if near.any():
                 yield i[near], j[near]
             al, ah, bl, bh, used = (x[~single] for x in (al, ah, bl, bh, used))
         if not len(al):
             continue
         if depth == depth_end:
-            yield from leaf_pairs(al, ah, bl, bh)
+            for i, j in leaf_pairs(al, ah, bl, bh):
+                apart = slice(None) if tied is None else tied[i] != tied[j]
+                yield i[apart], j[apart]
             continue
         if len(al) > FRONTIER:
             half = len(al) // 2
@@ -175,44 +188,27 @@ def forest_of(n: int, pairs) -> np.ndarray:
 
 
 def _joined_tries(fixed_bits: list[int], budget: int):
-    def edges(tree, codes, fps):
-        """All rows of the tries in hand; one forest of links."""
-        a, b = [], []
-        for t in np.unique(tree):
-            own = tree == t
-            c, f = codes[own], fps[own]
-            label = forest_of(len(c), trie_pairs(c, np.zeros(len(c), np.int64), fixed_bits[t], budget))
-            tied = np.flatnonzero(label != np.arange(len(c)))
-            a.append(f[tied])
-            b.append(f[label[tied]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
-
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append((batch.column("tree").to_numpy(), batch.column("code").to_numpy().view(np.uint64), batch.column("fp").to_numpy(), batch.column("trie").to_numpy()))
-            size += batch.num_rows
-            if size < CHUNK:
-                continue
-            tree, code, fp, trie = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = np.flatnonzero((trie != trie[-1]) | (tree != tree[-1]))
-            at = int(last[-1]) + 1 if len(last) else 0  # the last trie may go on
-            if at:
-                yield edges(tree[:at], code[:at], fp[:at])
-            held = [(tree[at:], code[at:], fp[at:], trie[at:])]
-            size = size - at
-        if held:
-            yield edges(*(np.concatenate(x) for x in list(zip(*held, strict=True))[:3]))
+        for tree, trie, block_a, block_b, codes, fps in whole_groups(batches, ["tree", "trie", "block_a", "block_b", "code", "fp"], 4, CHUNK):
+            code, a, b = codes.view(np.uint64), [], []
+            group = np.cumsum(np.concatenate(([0], (trie[1:] != trie[:-1]) | (tree[1:] != tree[:-1]) | (block_a[1:] != block_a[:-1]) | (block_b[1:] != block_b[:-1]))))
+            for t in np.unique(tree):
+                own = np.flatnonzero(tree == t)
+                label = forest_of(len(own), trie_pairs(code[own], group[own], fixed_bits[t], budget))
+                tied = np.flatnonzero(label != np.arange(len(own)))
+                a.append(fps[own[tied]])
+                b.append(fps[own[label[tied]]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["u", "v"])
 
     return run
 
 
-def link_edges(fps: DataFrame, max_bits: int) -> DataFrame:
-    """Edges (u, v) between the distinct fingerprints of fps; their components are those of all links."""
+def link_edges(fps: DataFrame, max_bits: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Edges (u, v) between the distinct fingerprints of fps; their components are those of all links.
+
+    A trie of over task_rows fingerprints, as many texts that differ a little give, is joined
+    in blocks of about so many.
+    """
     orders = forests(max_bits)
     n = max_bits + 2
     cuts = [64 * i // n for i in range(n + 1)]
@@ -221,7 +217,8 @@ def link_edges(fps: DataFrame, max_bits: int) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(k).alias("tree"), ordered_bits(F.col("fp"), o).alias("code"), F.shiftrightunsigned(ordered_bits(F.col("fp"), o), 64 - fixed[k]).alias("trie")) for k, o in enumerate(orders)])
     spread = fps.select("fp", F.explode(rows).alias("r")).select("r.tree", "r.trie", "fp", "r.code")
     # unsigned order: the sign bit is turned over for the sort
-    sorted_ = spread.repartition("tree", "trie").sortWithinPartitions("tree", F.col("trie"), F.col("code").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
+    dealt = in_blocks(spread, ["tree", "trie"], task_rows, by="fp").repartition("tree", "trie", "block_a", "block_b")
+    sorted_ = dealt.sortWithinPartitions("tree", "trie", "block_a", "block_b", F.col("code").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
     return sorted_.mapInArrow(_joined_tries(fixed, max_bits), "u long, v long")
 
 
@@ -252,14 +249,20 @@ def keep_least(docs: DataFrame, components: DataFrame, id_col: str, text_col: st
     stay or go by their own components. Rows with null ids go where a row with an id is in
     their component.
     """
-    stay = components.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__stay")).distinct()
-    kept = docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stay")), "left_semi")
+    key, nth = free_name(docs, "stay"), free_name(docs, "nth")
+    stay = components.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(key)).distinct()
+    kept = docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay[key]), "left_semi")
     same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
-    return kept.withColumn("__nth", F.row_number().over(same)).where("__nth = 1").drop("__nth")
+    return kept.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*docs.columns)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
-    """docs with one row of each component of simhash_components()."""
+    """docs with one row of each component of simhash_components(): that with the smallest id.
+
+    All columns stay as they are, whatever their names. Null text counts as empty; rows that
+    repeat are one row; rows with null ids stay only where their component has no id; an
+    empty table gives an empty result.
+    """
     return keep_least(docs, simhash_components(docs, id_col, text_col, words, max_bits), id_col, text_col)
 
 

@@ -1,11 +1,11 @@
 """Operator 6: toxicity by a character n-gram linear classifier with naive Bayes scaled features.
 
-A text's features are the hashed byte n-grams of the whole text (A-Z in lower case, white
-space runs as one space, a space at both ends), each counted once. A feature's scale is its
-naive Bayes log-count ratio between toxic and other training rows; a linear support vector
-machine is fitted to the scaled features (dual coordinate descent), mixed with the mean
-magnitude of its weights, and a logistic curve fitted on rows held back from it turns the
-margin into a score.
+A text's features are the hashed n-grams of code points of the whole text (A-Z in lower case,
+white space runs as one space, a space at both ends), each counted once. A feature's scale is
+its naive Bayes log-count ratio between toxic and other training rows; a linear support vector
+machine is fitted to the scaled features (dual coordinate descent) and mixed with the mean
+magnitude of its weights. A logistic curve turns the margin into a score; it is fitted to the
+margins that each fourth of the rows gets from a machine fitted to the other rows.
 
 The fit takes a bounded sample of the labelled training rows: at most SAMPLE rows of each
 label, those with the smallest hashes of their ids, of texts of at most SAMPLE_CHARS code
@@ -25,28 +25,42 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import prepare, table, texts_of
 
 BITS = 20
-GRAMS = (4, 5)
+GRAMS = (3, 4, 5, 6)
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
-LEAST_ROWS, LEAST_Z = 4, 3.0
-SLICE = 1 << 20
+LEAST_ROWS, LEAST_Z = 6, 3.5
+FOLDS = 4
+#: Bytes of a text that are taken at once.
+SLICE = 1 << 18
+FACTOR, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Feature numbers of a text, each once; memory stays bounded for very long texts."""
+def _code_points(text: bytes):
+    """The cleaned text's code points, a slice at a time; each slice but the first begins with the last ones of that before it."""
     clean = b" " + b" ".join(text.lower().split()) + b" "
-    raw = np.frombuffer(clean, np.uint8)
+    keep, at = np.zeros(0, np.uint64), 0
+    while at < len(clean):
+        end = min(len(clean), at + SLICE)
+        while end < len(clean) and clean[end] & 0xC0 == 0x80:  # within a character
+            end += 1
+        own = np.frombuffer(clean[at:end].decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        whole = np.concatenate((keep, own))
+        yield whole, len(keep)
+        keep, at = whole[max(0, len(whole) - max(GRAMS) + 1) :], end
+
+
+def grams(text: bytes) -> np.ndarray:
+    """Feature numbers of a text's n-grams of code points, repeats included; only those that end in a slice are added by it."""
     found = []
-    for a in range(0, len(raw), SLICE):
-        x = raw[a : a + SLICE + max(GRAMS) - 1].astype(np.uint64)
-        for n in GRAMS:
-            m = min(len(x) - n + 1, SLICE)
-            if m <= 0:
-                continue
-            h = x[:m].copy()
-            for i in range(1, n):
-                h = (h << np.uint64(8)) | x[i : i + m]
-            h = (h + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            found.append((h >> np.uint64(64 - BITS)).astype(np.int32))
+    for points, before in _code_points(text):
+        h = points
+        for n in range(1, max(GRAMS) + 1):
+            if n > 1:
+                h = h[:-1] * FACTOR + points[n - 1 :]
+            if not len(h):
+                break
+            if n in GRAMS:
+                mixed = (h[max(0, before - n + 1) :] + np.uint64(n)) * TURN
+                found.append((((mixed ^ mixed >> np.uint64(32)) * FACTOR) >> np.uint64(64 - BITS)).astype(np.int32))
     return np.concatenate(found) if found else np.zeros(0, np.int32)
 
 
@@ -111,39 +125,44 @@ def _curve(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
     return max(a, 1e-3), b
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, shares: tuple[float, float], mix: float = 0.25) -> Model:
-    """rows: feature numbers, each once; shares: how many rows of the corpus one sampled row of label 0 and 1 stands for."""
+def _weights(rows: list[np.ndarray], labels: np.ndarray, pick: np.ndarray, mix: float) -> tuple[np.ndarray, float]:
+    """Weights of all features, and the bias, of the machine fitted to the picked rows, which have both labels."""
     n = 1 << BITS
-    y = np.where(labels == 1, 1.0, -1.0)
-    if not (labels == 1).any() or not (labels == 0).any():
-        share = float((labels == 1).mean()) if len(labels) else 0.0
-        return Model(np.zeros(n, np.float32), 0.0, 1.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
 
-    def counts(pick):
-        return np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(pick)]), minlength=n).astype(float)
+    def counts(own):
+        return np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(own)]), minlength=n).astype(float)
 
-    back = np.arange(len(rows)) % 4 == 3
-    if not ((labels == 1) & back).any() or not ((labels == 0) & back).any() or not ((labels == 1) & ~back).any() or not ((labels == 0) & ~back).any():
-        back = np.zeros(len(rows), bool)
-    train = ~back
-    p, q = counts(train & (labels == 1)), counts(train & (labels == 0))
-    np_, nq = float((train & (labels == 1)).sum()), float((train & (labels == 0)).sum())
+    p, q = counts(pick & (labels == 1)), counts(pick & (labels == 0))
+    np_, nq = float((pick & (labels == 1)).sum()), float((pick & (labels == 0)).sum())
     ratio = np.log((p + 0.5) / (np_ + 1)) - np.log((q + 0.5) / (nq + 1))
     share = (p + q) / (np_ + nq)
     z = np.abs(p / np_ - q / nq) / np.sqrt(share * (1 - share) * (1 / np_ + 1 / nq) + 1e-12)
     scale = np.where((p + q >= LEAST_ROWS) & (z >= LEAST_Z), ratio, 0.0)
-    used = [r[scale[r] != 0] for r in rows]
-    some = np.flatnonzero(train)
+    some = np.flatnonzero(pick)
+    y = np.where(labels == 1, 1.0, -1.0)
     cost = np.where(y == 1, 0.5 / np_, 0.5 / nq) * 200
-    w, b = _svm([used[i] for i in some], y[some], scale, cost[some])
+    w, b = _svm([rows[i][scale[rows[i]] != 0] for i in some], y[some], scale, cost[some])
     active = w != 0
-    mean = np.abs(w[active]).mean() if active.any() else 0.0
-    w = (1 - mix) * np.where(active, np.sign(w) * mean, 0) + mix * w if active.any() else w
-    final = w * scale
-    margins = np.array([final[r].sum() + b for r in used])
-    pick = back if back.any() else train
-    slope, shift = _curve(margins[pick], (labels[pick] == 1).astype(float), np.where(labels[pick] == 1, shares[1], shares[0]))
-    return Model(final.astype(np.float32), float(b), slope, shift)
+    if active.any():
+        w = (1 - mix) * np.where(active, np.sign(w) * np.abs(w[active]).mean(), 0) + mix * w
+    return w * scale, b
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, shares: tuple[float, float], mix: float = 0.25) -> Model:
+    """rows: feature numbers, each once; shares: how many rows of the corpus one sampled row of label 0 and 1 stands for."""
+    if not (labels == 1).any() or not (labels == 0).any():
+        share = float((labels == 1).mean()) if len(labels) else 0.0
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    whole, bias = _weights(rows, labels, np.ones(len(rows), bool), mix)
+    margins = np.array([whole[r].sum() + bias for r in rows])
+    fold = np.arange(len(rows)) % FOLDS
+    for k in range(FOLDS):
+        if len(np.unique(labels[fold != k])) == 2:
+            w, b = _weights(rows, labels, fold != k, mix)
+            own = np.flatnonzero(fold == k)
+            margins[own] = [w[rows[i]].sum() + b for i in own]
+    slope, shift = _curve(margins, (labels == 1).astype(float), np.where(labels == 1, shares[1], shares[0]))
+    return Model(whole.astype(np.float32), float(bias), slope, shift)
 
 
 def _features(batches):
@@ -156,22 +175,25 @@ def _features(batches):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from at most `sample` rows of each label that are not held out.
 
-    Rows without a label, an id or a text of at most sample_chars are not learnt from. Where
-    one label is missing, the score is the same for all texts: the share of label 1.
+    Rows without a label, an id or a text of at most sample_chars are not learnt from; a row
+    that repeats is learnt from as often. Where one label is missing, or a table is empty, the
+    score is the same for all texts: the share of label 1. The features of the sample come to
+    the driver: 4 bytes for each code point and size of n-gram, some 100 MB at most for texts of
+    the mean length here and under 1 GB if all were of sample_chars.
     """
     spark = prepare(docs.sparkSession)
-    ids = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("label")).where("__id is not null and label in (0, 1)")
-    ids = ids.where(F.crc32(F.col("__id").cast("string").cast("binary")) % 5 != 0)
+    ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    ids = ids.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
     totals = {r.label: r["count"] for r in ids.groupBy("label").count().collect()}
-    fitting = docs.select(F.col(id_col).cast("long").alias("__id"), F.char_length(F.col(text_col)).alias("size")).where(F.col("size") <= sample_chars).select("__id")
+    fitting = docs.select(F.col(id_col).cast("long").alias("id"), F.char_length(F.col(text_col)).alias("size")).where(F.col("size") <= sample_chars).select("id")
     chosen = None
     for label in (0, 1):
-        part = ids.where(F.col("label") == label).join(fitting, "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(sample)
+        part = ids.where(F.col("label") == label).join(fitting, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
-    chosen = spark.createDataFrame(chosen.collect(), "__id long, label int")  # 2 * sample rows at most
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
+    chosen = spark.createDataFrame(chosen.collect(), "id long, label int")  # 2 * sample rows at most
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     texts = texts.where(F.char_length("text") <= sample_chars)
-    got = texts.select("text", "label", F.xxhash64("__id").alias("at")).mapInArrow(_features, "label int, at long, features binary").collect()
+    got = texts.select("text", "label", F.xxhash64("id").alias("at")).mapInArrow(_features, "label int, at long, features binary").collect()
     got = sorted(got, key=lambda r: (r["at"], r["label"], bytes(r["features"])))
     y = np.array([r["label"] for r in got], np.int64)
     shares = tuple(max(1.0, totals.get(k, 0) / max(1, int((y == k).sum()))) for k in (0, 1))
@@ -201,7 +223,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text has a score of 0.5 or more; all columns stay as they are."""
+    """docs without the rows whose text has a score of 0.5 or more; all columns stay as they are.
+
+    Null text counts as empty; rows that repeat stay or go together; ids are not looked at; an
+    empty table gives an empty result.
+    """
     shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches):

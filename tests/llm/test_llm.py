@@ -332,6 +332,29 @@ def test_trie_join_against_all_pairs(spark):
         assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got))  # the same partition
 
 
+def test_trie_join_in_blocks_and_tied():
+    rng = random.Random(16)
+    base = rng.getrandbits(64)
+    codes = np.unique(np.array([base ^ sum(1 << k for k in rng.sample(range(40), rng.randint(0, 4))) for _ in range(300)], np.uint64))
+    group = np.zeros(len(codes), np.int64)
+    far = lambda i, j: int(np.bitwise_count(codes[i] ^ codes[j]))
+    want = {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if far(i, j) <= 2}
+    pairs = {(min(a, b), max(a, b)) for i, j in simhash.trie_pairs(codes, group, 16, 2) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert pairs == want
+    tied = np.arange(len(codes)) // 7 % 5
+    pairs = {(min(a, b), max(a, b)) for i, j in simhash.trie_pairs(codes, group, 16, 2, 64, tied) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert pairs == {(i, j) for i, j in want if tied[i] != tied[j]}
+
+
+def test_simhash_of_one_hot_trie_in_blocks(spark):
+    rng = random.Random(26)
+    fps = sorted({0xABCDEF << 40 | sum(1 << k for k in rng.sample(range(30), rng.randint(0, 3))) for _ in range(200)})
+    df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
+    roots = {r.u & (1 << 64) - 1: r.root for r in common.connected(simhash.link_edges(df, 2, task_rows=9)).collect()}
+    got, want = [roots.get(f, simhash.signed(f)) for f in fps], brute_components(fps, 2)
+    assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got))
+
+
 def test_simhash(spark, words):
     texts = [words(80, s) for s in range(10)] + [words(80, 1), "", None, "A  b", "a b"]
     got = simhash.simhash_components(frame(spark, texts)).collect()
@@ -366,7 +389,7 @@ def test_near_copies(spark, words):
     assert kept >= {61, 63} and not kept & {62, 64}
 
 
-def brute_components(texts, similarity=0.8):
+def near_components_by_force(texts, similarity=0.8):
     """The smallest place (from 1) of each text's component, by all pairs."""
     sets = []
     for t in texts:
@@ -401,7 +424,7 @@ def test_near_copies_around_the_limit_against_brute_force(spark, words):
             w[k] = f"zz{s}{k}"
         texts.append(" ".join(w))
     got = {r.id: r.component_id for r in near_copies.near_components(frame(spark, texts)).collect()}
-    assert [got[i] for i in range(1, len(texts) + 1)] == brute_components(texts)
+    assert [got[i] for i in range(1, len(texts) + 1)] == near_components_by_force(texts)
 
 
 def test_near_copies_of_short_texts_against_brute_force(spark, words):
@@ -411,11 +434,53 @@ def test_near_copies_of_short_texts_against_brute_force(spark, words):
             base = words(n, 100 * n + s)
             texts += [base, base + " more", "less " + base]
     got = {r.id: r.component_id for r in near_copies.near_components(frame(spark, texts)).collect()}
-    want = brute_components(texts)
+    want = near_components_by_force(texts)
     assert [got[i] for i in range(1, len(texts) + 1)] == want
     assert len(set(want)) < 0.6 * len(texts)  # from 8 words on, all three are one
 
 
+def test_near_copies_recall_of_pairs_of_long_texts(spark, words):
+    """Pairs of 33 to 900 shingles at similarities from 0.8 to 0.86: over 0.95 are found, none below 0.8."""
+    rng, texts, alike = random.Random(3), [], []
+    for s in range(150):
+        n = rng.choice((33, 37, 50, 90, 300, 900))
+        base = [f"w{s}x{k}" for k in range(n + 4)]
+        gone = int(n * rng.uniform(0.06, 0.16))
+        texts += [" ".join(base), " ".join(base[: n + 4 - gone] + [f"v{s}x{k}" for k in range(gone)])]
+        sets = [{tuple(t.split()[i : i + 5]) for i in range(n)} for t in texts[-2:]]
+        alike.append(len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]))
+    got = {r.id: r.component_id for r in near_copies.near_components(frame(spark, texts)).collect()}
+    found = [got[2 * s + 2] == 2 * s + 1 for s in range(150)]
+    assert not any(f and not a for f, a in zip(found, alike, strict=True))
+    assert 40 < sum(alike) < 130 and sum(f and a for f, a in zip(found, alike, strict=True)) >= 0.95 * sum(alike)
+
+
+def test_near_copies_of_one_large_group_in_blocks(spark, words):
+    """Half of the rows are near copies of one text and the tries are cut into blocks; the components are the same."""
+    base = words(120, 5).split()
+    texts = [words(100, 40 + s) for s in range(60)]
+    for s in range(60):
+        own = list(base)
+        own[random.Random(s).randrange(120)] = f"zz{s}"
+        texts.append(" ".join(own))
+    texts += [f"short line of a few words that all have number {s % 7} more or less" for s in range(30)]
+    got = [near_copies.near_components(frame(spark, texts), task_rows=n).collect() for n in (250_000, 4)]
+    assert sorted(map(tuple, got[0])) == sorted(map(tuple, got[1]))
+    assert len({r.component_id for r in got[0] if 60 < r.id <= 120}) == 1
+
+
+def test_whole_groups():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    a = np.sort(rng.integers(0, 9, 400))
+    batches = [pa.RecordBatch.from_arrays([pa.array(a[i : i + 13]), pa.array(np.arange(i, min(400, i + 13)))], names=["a", "x"]) for i in range(0, 400, 13)]
+    for least in (1, 20, 90, 1000):
+        parts = list(common.whole_groups(batches, ["a", "x"], 1, least))
+        assert np.concatenate([p[1] for p in parts]).tolist() == list(range(400))
+        assert all(p[0][-1] != q[0][0] for p, q in zip(parts, parts[1:], strict=False))
+
+
 # --- 8 --------------------------------------------------------------------------------
 
 
