@@ -1,63 +1,5 @@
-"""A corpus pipeline of five stages over the documents table; counted as part of folioforge.llm.
+"""The corpus pipeline; its stages are in folioforge.llm.pipeline."""
 
-Each stage works on all that the stage before it kept. Between stages the documents are
-written as Parquet and read again, so that a lost executor costs part of one stage.
-"""
+from folioforge.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from folioforge.llm import bpe, decontaminate, line_dedup, near_copies, toxicity
-from folioforge.llm.common import new_table, prepare, table
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier of operator 6 rejects; it learns from labels that aren't held out."""
-    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-
-
-def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more share are gone; the text is what stays, and n_chars its length."""
-    out = line_dedup.drop_shared_lines(docs, least_docs=10, least_chars=1)
-    return out.select(*(F.char_length("text").cast("long").alias("n_chars") if c == "n_chars" else c for c in docs.columns))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id: five words a shingle, similarity 0.8."""
-    return near_copies.drop_near_copies(docs, words=5, similarity=0.8)
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that contain a benchmark item."""
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), words=5, threshold=0.8)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts, and digests of the ids and of the decoded bytes."""
-    import public_tokenizers
-
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_shared_lines),
-    ("simhash_near_dedup", drop_near_copies),
-    ("benchmark_decontamination", drop_contaminated),
-    ("byte_bpe", encode),
-]
-
-#: SQL can't train the classifier, nor compute the fingerprints or the tokens.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = table(prepare(spark), sf_dir, "documents")
-    for name, stage in STAGES:
-        path = new_table(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
