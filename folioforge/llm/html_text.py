@@ -1,11 +1,12 @@
 """Operator 1: main text of HTML pages by minimum-cut labelling.
 
 A page is read by a forgiving tokenizer into blocks of text with their place in the element
-tree. A linear classifier gives each block a cost of being content and a cost of being
-boilerplate (from the elements around it, their classes, its links, length and punctuation);
-these are its terminal capacities. Neighbouring blocks and blocks that are near in the tree
-are joined by smoothness edges. The minimum cut of that graph (a maximum flow) separates the
-content, whose blocks are the text.
+tree. A logistic classifier, fitted to made pages whose main text is known (html_training),
+gives each block its log-odds of being boilerplate from the elements around it, their names,
+its links, length and punctuation; these are its terminal capacities. Neighbouring blocks and
+blocks that are near in the tree are joined by smoothness edges, whose capacities are chosen
+on made pages too, so that they are on the same scale. The minimum cut of that graph (a
+maximum flow) separates the content, whose blocks are the text.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,51 +39,65 @@ CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dd", ("dl",)), "dd"
 ENDS_P = ("article", "section", "body", "main", "table", "form", "div")
 ENDS_END_P = ("div", "article", "section", "body", "main", "td", "li")
 
-#: The classifier's weights: above 0 speaks for boilerplate.
-TAG_COST = {"nav": 7.0, "footer": 7.0, "aside": 7.0, "form": 7.0, "menu": 6.0, "dialog": 7.0, "search": 7.0, "header": 4.5, "address": 1.0, "article": -4.0, "main": -2.5}
+#: Evidence that an element gives to the text in it.
+BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog search".split())
+BOILERPLATE_ROLES = frozenset("navigation contentinfo complementary search dialog alert alertdialog menu menubar".split())
 NEGATIVE = re.compile(
-    r"(?:^|[\s_-])(?:nav\w*|menus?|side-?bars?|foot(?:er)?|headers?|masthead|bread-?crumbs?|ads?|adverts?|advertisements?|advertising|banners?|promos?|promotions?|sponsor\w*|cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modals?|overlay|news-?letters?|subscri\w+|sign-?up|social|share|sharing|related|recommend\w*|comments?|commentlist|disqus|reply|replies|respond|widgets?|pagination|pager|tool-?bars?|legal|copyright|log-?in|search\w*|skip\w*|toc|tag-?cloud|trending|popular)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:nav\w*|menus?|side-?bars?|foot(?:er)?|masthead|bread-?crumbs?|ads?|adverts?|advertisements?|advertising|banners?|promos?|promotions?|sponsor\w*|cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modals?|overlay|news-?letters?|subscri\w+|sign-?up|social|share|sharing|comments?|commentlist|disqus|widgets?|pagination|pager|tool-?bars?|log-?in|tag-?cloud)(?=$|[\s_-])",
     re.I,
 )
+#: Names that parts of an article have as well.
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:related|recommend\w*|popular|trending|reply|replies|respond|legal|copyright|search\w*|skip\w*|toc)(?=$|[\s_-])", re.I)
+HEADER = re.compile(r"(?:^|[\s_-])(?:headers?|top-?bar)(?=$|[\s_-])", re.I)
 POSITIVE = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text|prose)(?=$|[\s_-])", re.I)
-ROLES = {"navigation": 7.0, "banner": 4.5, "contentinfo": 7.0, "complementary": 7.0, "search": 7.0, "dialog": 7.0, "alert": 7.0, "alertdialog": 7.0, "menu": 6.0, "main": -2.5, "article": -3.0, "note": 0.0}
-NEGATIVE_CLASS, POSITIVE_CLASS = 7.0, -2.0
-BIAS, LINKS, LENGTH, ENDING, HEADING, NOTICE = 1.0, 4.0, -1.2, -1.2, -0.6, 3.0
 ENDINGS = tuple(".!?…。:;\"'”»)")
 NOTICE_TEXT = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b|all rights reserved)|\b(?:we use cookies|accept (?:all )?cookies|subscribe to|sign up for|privacy policy|terms of (?:use|service))\b", re.I)
-#: Capacities of the smoothness edges: between neighbours, and between blocks near in the tree.
-NEXT, NEAR = 1.6, 0.8
+#: Of a block, in this order: whether it lies in a boilerplate element; in one by its name; in a header outside an article; in
+#: an element with a doubtful name; in an article; in an element with a content name; the share of its text in links, and that
+#: in a list; its length; whether it ends like a sentence; is a heading; is worded as a notice.
+FEATURES = ("constant", "element", "name", "header", "doubtful", "article", "content", "links", "listed_links", "length", "ending", "heading", "notice")
+
+
+@dataclass
+class Open:
+    """An open element, and what the elements around it say; block is the innermost element that makes a block, depth how many do."""
+
+    tag: str
+    above: Open | None
+    depth: int = 0
+    block: Open | None = None
+    dropped: bool = False
+    in_link: bool = False
+    in_article: bool = False
+    heading: bool = False
+    listed: bool = False
+    element: bool = False
+    name: bool = False
+    header: bool = False
+    doubtful: bool = False
+    content: bool = False
+
+
+def _root() -> Open:
+    root = Open("", None)
+    root.block = root
+    return root
 
 
 @dataclass
 class Block:
     pieces: list[str]
-    path: tuple[int, ...]
-    cost: float
-    heading: bool
+    at: Open
     link_chars: int = 0
     text: str = ""
 
 
-@dataclass
-class Open:
-    tag: str
-    number: int
-    path: tuple[int, ...]
-    cost: float
-    dropped: bool
-    in_link: bool
-    in_article: bool
-    heading: bool
-
-
 @dataclass
 class Reader:
     """Builds blocks from a page's tags and text."""
 
     blocks: list[Block] = field(default_factory=list)
-    stack: list[Open] = field(default_factory=lambda: [Open("", 0, (0,), 0.0, False, False, False, False)])
-    made: int = 0
+    stack: list[Open] = field(default_factory=lambda: [_root()])
     run: Block | None = None
     #: Where the stack has each open tag.
     places: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
@@ -100,7 +116,7 @@ class Reader:
         if top.dropped or not data:
             return
         if self.run is None:
-            self.run = Block([], top.path, top.cost, top.heading)
+            self.run = Block([], top)
         self.run.pieces.append(data)
         if top.in_link:
             self.run.link_chars += len(data)
@@ -135,37 +151,34 @@ class Reader:
         if closed and tag not in BLOCK:
             return
         above = self.stack[-1]
-        in_article = above.in_article or tag in ("article", "main")
-        cost = TAG_COST.get(tag, 0.0)
-        if tag == "header" and above.in_article:
-            cost = 0.3
-        dropped = above.dropped or tag in HIDDEN
-        heading = above.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if attributes and not dropped:
+        own = Open(tag, above, above.depth + (tag in BLOCK), above.block, above.dropped or tag in HIDDEN, above.in_link or tag == "a", above.in_article or tag in ("article", "main"))
+        if tag in BLOCK:
+            own.block = own
+        own.heading = above.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+        own.listed = tag in ("li", "dt", "dd") or (above.listed and tag not in BLOCK)
+        own.element = above.element or tag in BOILERPLATE_TAGS
+        own.name, own.doubtful, own.content = above.name, above.doubtful, above.content
+        own.header = above.header or (tag == "header" and not above.in_article)
+        if attributes and not own.dropped:
             told = {}
             for name, a, b, c in ATTRIBUTE.findall(attributes):
                 told.setdefault(name.lower(), a or b or c)
             style = told.get("style", "").replace(" ", "").lower()
             if "hidden" in told or told.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
-                dropped = True
+                own.dropped = True
+            role = told.get("role", "").lower()
+            own.element |= role in BOILERPLATE_ROLES
+            own.in_article |= role in ("main", "article")
+            own.header |= role == "banner" and not above.in_article
             if tag not in ("html", "body"):
                 names = f"{told.get('class', '')} {told.get('id', '')}"
-                if NEGATIVE.search(names):
-                    cost = 0.3 if tag == "header" and above.in_article else max(cost, NEGATIVE_CLASS)
-                elif POSITIVE.search(names) and cost <= 0:
-                    cost = min(cost, POSITIVE_CLASS)
-                    in_article = True
-                cost += ROLES.get(told.get("role", "").lower(), 0.0) if cost <= 0 else 0.0
-        total = above.cost + cost
-        if cost > 4:
-            total = max(total, cost)  # a menu in an article is a menu
-        elif cost < 0 and above.cost > 4:
-            total = above.cost  # an article among comments is a comment
-        else:
-            total = max(total, -4.0)
-        self.made += 1
+                negative = bool(NEGATIVE.search(names))
+                own.name |= negative
+                own.doubtful |= bool(DOUBTFUL.search(names))
+                own.header |= not own.in_article and bool(HEADER.search(names))
+                own.content |= not negative and bool(POSITIVE.search(names))
         self.places[tag].append(len(self.stack))
-        self.stack.append(Open(tag, self.made, (*above.path, self.made) if tag in BLOCK and len(above.path) < 64 else above.path, total, dropped, above.in_link or tag == "a", in_article, heading))
+        self.stack.append(own)
 
     def end(self, tag: str) -> None:
         if tag in BLOCK:
@@ -226,41 +239,46 @@ def read_blocks(page: str) -> list[Block]:
     return reader.blocks
 
 
-def leaning(b: Block) -> float:
-    """Above 0: rather boilerplate; below: rather content."""
-    n = len(b.text)
-    share = min(1.0, b.link_chars / n)
-    z = BIAS + b.cost + LINKS * share * (n < 2000)
-    z += LENGTH * min(3.0, n / 80)
-    if b.text.endswith(ENDINGS):
-        z += ENDING
-    if b.heading:
-        z += HEADING
-    if n < 300 and NOTICE_TEXT.search(b.text):
-        z += NOTICE
-    return z
+def features(blocks: list[Block]) -> np.ndarray:
+    """A row of FEATURES for each block."""
+    out = np.zeros((len(blocks), len(FEATURES)))
+    for row, b in zip(out, blocks, strict=True):
+        n, at = len(b.text), b.at
+        links = min(1.0, b.link_chars / n)
+        row[:] = (1, at.element, at.name, at.header, at.doubtful, at.in_article, at.content, links, links * at.listed, min(3.0, n / 80), b.text.endswith(ENDINGS), at.heading, n < 300 and bool(NOTICE_TEXT.search(b.text)))
+    return out
+
+
+def _parent(block: Open) -> Open:
+    return block.above.block if block.above is not None else block
+
+
+def _apart(a: Open, b: Open) -> int:
+    """Block elements on the way from one to the other in the tree."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = _parent(a)
+        else:
+            b = _parent(b)
+        steps += 1
+    return steps
 
 
-def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges; the further apart in the tree, the weaker."""
+def edges_of(blocks: list[Block], near: float, akin: float) -> list[tuple[int, int, float]]:
+    """Smoothness edges: between neighbours, the weaker the further apart in the tree, and between a parent's successive blocks."""
     out = []
     last_in: dict[int, int] = {}
-    for j, b in enumerate(blocks):
+    own = [b.at.block for b in blocks]
+    for j, at in enumerate(own):
         if j:
-            a = blocks[j - 1].path
-            same = 0
-            for x, y in zip(a, b.path, strict=False):
-                if x != y:
-                    break
-                same += 1
-            apart = len(a) + len(b.path) - 2 * same
-            out.append((j - 1, j, NEXT / (1 + 0.5 * max(0, apart - 2))))
-        parent = b.path[-2] if len(b.path) > 1 else b.path[-1]
+            out.append((j - 1, j, near / (1 + 0.5 * max(0, _apart(own[j - 1], at) - 2))))
+        parent = id(_parent(at))
         i = last_in.get(parent)
         if i is not None and i < j - 1:
-            out.append((i, j, NEAR))
+            out.append((i, j, akin))
         last_in[parent] = j
-    return out
+    return [e for e in out if e[2] > 0]
 
 
 def minimum_cut(lean: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -366,30 +384,77 @@ def _max_flow_side(lean: list[float], edges: list[tuple[int, int, float]]) -> li
             a = to[e]
 
 
-def main_text(page: str) -> str:
+@dataclass(frozen=True)
+class Weights:
+    """The classifier's weights of FEATURES, and the capacities of the smoothness edges."""
+
+    costs: tuple[float, ...]
+    near: float
+    akin: float
+
+
+#: Log-odds that no block goes beyond, so that no classifier's certainty makes neighbours count for nothing.
+MOST_ODDS = 6.0
+
+
+def label(blocks: list[Block], weights: Weights) -> tuple[list[bool], list[bool]]:
+    """Whether each block is content: by the minimum cut, and by its own log-odds alone."""
+    lean = np.clip(features(blocks) @ np.array(weights.costs), -MOST_ODDS, MOST_ODDS)
+    return minimum_cut(lean.tolist(), edges_of(blocks, weights.near, weights.akin)), (lean < 0).tolist()
+
+
+def main_text(page: str, weights: Weights | None = None) -> str:
     """The page's content blocks in page order; empty if there are none."""
     blocks = read_blocks(page)
     if not blocks:
         return ""
-    content = minimum_cut([leaning(b) for b in blocks], edges_of(blocks))
-    return SEPARATOR.join(b.text for b, c in zip(blocks, content, strict=True) if c)
+    return SEPARATOR.join(b.text for b, c in zip(blocks, label(blocks, weights or fitted())[0], strict=True) if c)
+
+
+def fitted() -> Weights:
+    """The weights fitted to made pages, once a process."""
+    from folioforge.llm import html_training
+
+    return html_training.fitted()
+
 
+def _texts(weights: Weights):
+    def run(batches):
+        for batch in batches:
+            got = [main_text(x or "", weights) for x in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(got, pa.string())], names=["id", "url", "text"])
 
-def _texts(batches):
-    for batch in batches:
-        got = [main_text(x or "") for x in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(got, pa.string())], names=["id", "url", "text"])
+    return run
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: Weights | None = None) -> DataFrame:
     """Rows (id, url, text), one for each row of pages.
 
     Null html counts as empty; a page without content has an empty text; rows that repeat
-    stay; null ids and urls stay null. Pages are read whole.
+    stay; null ids and urls stay null; other columns are not looked at; no rows give no
+    rows. Pages are read whole, at any depth of elements. The weights are fitted at the driver
+    in a few seconds where none are given.
     """
     prepare(pages.sparkSession)
     slim = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return slim.mapInArrow(_texts, "id long, url string, text string")
+    return slim.mapInArrow(_texts(weights or fitted()), "id long, url string, text string")
+
+
+def changed(pages: DataFrame, html_col: str = "html", weights: Weights | None = None) -> DataFrame:
+    """One row: how many blocks the pages have, and of how many the cut changes the label that their own log-odds give."""
+    weights = weights or fitted()
+
+    def run(batches):
+        for batch in batches:
+            n = m = 0
+            for x in batch.column("html").to_pylist():
+                own = read_blocks(x or "")
+                cut, alone = label(own, weights) if own else ([], [])
+                n, m = n + len(own), m + sum(a != b for a, b in zip(cut, alone, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([m])], names=["blocks", "changed"])
+
+    told = prepare(pages.sparkSession) and pages.select(F.col(html_col).alias("html")).mapInArrow(run, "blocks long, changed long")
+    return told.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"), F.coalesce(F.sum("changed"), F.lit(0)).alias("changed"))
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,40 @@ def test_html_math_map_and_xmp_are_text():
     assert "x=42 holds." in got and "On the map." in got and "if a < b: <i>raw</i> &amp; This" in got
 
 
+LONG = "This is a sentence of the article, and it is rather long. " * 4
+
+
+def test_html_names_of_article_parts_and_depth():
+    for name in ("related-work", "legal", "search"):
+        for part in (f"<section id={name}><p>{LONG}</p></section>", f"<p class={name}>{LONG}</p>"):
+            got = html_text.main_text(f"<body><nav><a href=x>Home</a></nav><article><h1>Head</h1><p>{LONG}</p>{part}</article><footer>&copy; x</footer>")
+            assert got.count("sentence of the article") == 8, (name, part)
+    for n in (10, 300, 5000):
+        for tag in ("b", "div", "span"):
+            if tag != "div":  # an end tag closes one div
+                assert "sentence of the article" in html_text.main_text(f'<div class="sidebar">{f"<{tag}>" * n}</div><p>{LONG}</p>')
+            got = html_text.main_text(f"<article>{f'<{tag}>' * n}<p>{LONG}</p>{f'</{tag}>' * n}<p>{LONG}</p></article><footer>Foot</footer>")
+            assert got.count("sentence of the article") == 8
+
+
+def test_html_classifier_and_cut_on_made_pages():
+    from folioforge.llm import html_training
+
+    weights = html_training.fitted()
+    got = html_training.quality(html_training.known_blocks(200, 77), weights)
+    assert got["precision"] > 0.93 and got["recall"] > 0.97
+    assert got["changed"] > 0.005 and got["wrong"] < got["wrong_alone"]  # the cut decides, and for the better
+    assert weights.near > 0
+
+
+def test_html_cut_decides_doubtful_blocks(spark):
+    page = f"<body><div class=c1><p>{LONG}</p><p>So</p><p>{LONG}</p></div><div class=menu><p>{LONG}</p></div></body>"
+    assert html_text.main_text(page).split("\n\n") == [LONG.strip(), "So", LONG.strip()]
+    df = spark.createDataFrame([(1, None, page), (2, None, None)], "page_id long, url string, html string")
+    told = html_text.changed(df).first()
+    assert told.blocks == 4 and 0 <= told.changed <= 4 and html_text.changed(df.limit(0)).first().blocks == 0
+
+
 # --- 2 --------------------------------------------------------------------------------
 
 
