@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioforge.session import cut, new_table, prepare, shared_dir
 
-__all__ = ["LOWER_BYTES", "WORD_BYTES", "WordHashes", "connected", "cut", "distinct_of", "free_name", "in_blocks", "mix64", "new_table", "prepare", "ranges", "shared_dir", "table", "texts_of", "whole_groups", "with_column", "word_hashes"]
+__all__ = ["LOWER_BYTES", "WORD_BYTES", "WordHashes", "connected", "cut", "distinct_of", "free_name", "in_blocks", "maybe_in", "mix64", "new_table", "prepare", "ranges", "shared_dir", "table", "texts_of", "whole_groups", "with_column", "word_hashes"]
 
 #: Upper to lower case, and what is neither a letter, a digit nor beyond ASCII to a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -199,6 +199,51 @@ def in_blocks(rows: DataFrame, keys: list[str], most: int, by: str = "node") ->
     return dealt.select(*rows.columns, "pair.block_a", "pair.block_b")
 
 
+#: Bits of the bitmap that maybe_in() sends to all tasks, and of each of its pages.
+MAP_BITS, PAGE_BITS = 1 << 26, 1 << 16
+
+
+def _places(ids: pa.Array) -> np.ndarray:
+    return (mix64(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(1)) & np.uint64(MAP_BITS - 1)).astype(np.int64)
+
+
+def maybe_in(ids: DataFrame):
+    """A function of a long column that is false only where the value isn't among ids (one long column); true for nulls.
+
+    It is a bitmap of MAP_BITS bits, 8 MB however many ids there are: with very many, more and
+    more other values pass as well. So it spares shuffles, and what passes is judged exactly.
+    """
+
+    def places(batches):
+        for batch in batches:
+            at = np.unique(_places(batch.column("id").drop_null()))
+            yield pa.RecordBatch.from_arrays([pa.array((at // PAGE_BITS).astype(np.int32)), pa.array((at % PAGE_BITS).astype(np.int32))], names=["page", "bit"])
+
+    def pages(batches):
+        for batch in batches:
+            out = []
+            for bits in batch.column("bits").to_pylist():
+                own = np.zeros(PAGE_BITS, bool)
+                own[bits] = True
+                out.append(np.packbits(own).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(out, pa.binary())], names=["page", "own"])
+
+    slim = ids.toDF("id").select(F.col("id").cast("long").alias("id"))
+    got = slim.mapInArrow(places, "page int, bit int").groupBy("page").agg(F.collect_set("bit").alias("bits")).mapInArrow(pages, "page int, own binary").collect()
+    whole = bytearray(MAP_BITS // 8)
+    for r in got:  # MAP_BITS / PAGE_BITS at most
+        whole[r.page * PAGE_BITS // 8 : (r.page + 1) * PAGE_BITS // 8] = r.own
+    shared = ids.sparkSession.sparkContext.broadcast(bytes(whole))
+
+    @F.arrow_udf("boolean")
+    def maybe(i: pa.Array) -> pa.Array:
+        raw = np.frombuffer(shared.value, np.uint8)
+        at = _places(i.fill_null(0))
+        return pa.array((raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) | np.asarray(i.is_null()))
+
+    return maybe
+
+
 def whole_groups(batches, names: list[str], keys: int, least: int):
     """Columns of Arrow batches as numpy arrays, some `least` rows at a time, never cutting a run of rows with equal values in the first `keys` columns."""
     held: list[list[np.ndarray]] = []

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import LOWER_BYTES, blocks, connected, cut, in_blocks, mix64, prepare, ranges, texts_of, whole_groups, word_hashes
+from folioforge.llm.common import LOWER_BYTES, blocks, connected, cut, in_blocks, maybe_in, mix64, new_table, prepare, ranges, texts_of, whole_groups, word_hashes
 from folioforge.llm.decontaminate import needed, shingle_hashes
 from folioforge.llm.simhash import CHUNK, keep_least, trie_pairs
 
@@ -87,7 +87,7 @@ def _rows(words: int, most_short: int):
                 seen.add(nodes[-1])
                 fps.append(None if known else wide_fingerprint(own))
                 short.append(own.view(np.int64) if not known and len(own) <= most_short else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(short, pa.list_(pa.int64()))], names=["id", "node", "size", "fp", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(short, pa.list_(pa.int64()))], names=["id", "mark", "node", "size", "fp", "short"])
 
     return run
 
@@ -199,36 +199,36 @@ def _named(words: int):
     return run
 
 
-def _sets(words: int):
-    def run(batches):
-        for batch in batches:
-            own = [x.tobytes() for x in shingle_sets(texts_of(batch.column("text")), words)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], names=["node", "own"])
-
-    return run
-
-
-def _verified(similarity: float):
+def _verified(words: int, similarity: float):
     def run(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                keep.append(bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y), similarity)))
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = shingle_sets(texts_of(part.column("a")) + texts_of(part.column("b")), words)
+                n = part.num_rows
+                keep += [bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y), similarity)) for x, y in zip(sets[:n], sets[n:], strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _links(pairs: DataFrame, told: DataFrame, texts: DataFrame, words: int, similarity: float, most_bits: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets have the similarity; only texts of pairs that can have it are read for their sets."""
+def _links(pairs: DataFrame, told: DataFrame, rows: DataFrame, slim: DataFrame, words: int, similarity: float, most_bits: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets have the similarity.
+
+    Only texts of pairs that can have it are moved: of each node that is asked for one row's
+    id is put into a bitmap, which leaves out nearly all other texts before the shuffle.
+    """
     kinds = told.select("node", "size", "fp")
     both = pairs.join(kinds.toDF("u", "n", "a"), "u").join(kinds.toDF("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b")
     possible = cut(both.mapInArrow(_possible(similarity, most_bits), "u long, v long"))
-    asked = possible.select("u").union(possible.select("v")).distinct().toDF("node")
-    named = texts.mapInArrow(_named(words), "node long, text string").join(asked, "node", "left_semi").dropDuplicates(["node"])
-    sets = cut(named.mapInArrow(_sets(words), "node long, own binary"))
-    return cut(possible.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_verified(similarity), "u long, v long"))
+    asked = cut(possible.select("u").union(possible.select("v")).distinct().toDF("node"))
+    maybe = maybe_in(rows.select("id", "node").join(asked, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id"))
+    named = slim.where(maybe("id")).select("text").mapInArrow(_named(words), "node long, text string").join(asked, "node", "left_semi").dropDuplicates(["node"])
+    path = new_table(slim.sparkSession, "texts")
+    named.write.parquet(path)
+    texts = slim.sparkSession.read.schema("node long, text string").parquet(path)
+    return cut(possible.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_verified(words, similarity), "u long, v long"))
 
 
 def _prefixes(told: DataFrame, similarity: float) -> DataFrame:
@@ -247,9 +247,9 @@ def _most_short(similarity: float) -> int:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, task_rows: int = 250_000) -> DataFrame:
-    """Rows (id, component_id), one for each row of docs: the smallest id among rows linked by that similarity, directly or through others.
+    """Rows (id, mark, component_id), one for each row of docs: the smallest id among rows linked by that similarity, directly or through others.
 
-    Similarity is Jaccard's over sets of shingles of `words` words (A-Z in lower case, split at
+    mark is the text's xxhash64. Similarity is Jaccard's over sets of shingles of `words` words (A-Z in lower case, split at
     white space; a shorter text is one shingle). Every link has it exactly. Texts of at most
     SHORT shingles lose no link; a pair of longer texts is found with probability 0.99 at
     similarity 0.8 and 0.999 from 0.85 on. Limits below 0.8 are refused, as the segments are made
@@ -260,28 +260,27 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if similarity < 0.8:
         raise ValueError("similarity: 0.8 at least")
     prepare(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = cut(slim.mapInArrow(_rows(words, _most_short(similarity)), "id long, node long, size int, fp binary, short array<long>"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    rows = cut(slim.mapInArrow(_rows(words, _most_short(similarity)), "id long, mark long, node long, size int, fp binary, short array<long>"))
     told = cut(rows.where("fp IS NOT NULL").select("node", "size", "fp", "short").dropDuplicates(["node"]))
     long = told.where(F.col("size") > SHORT)
     tokens = cut(_prefixes(told, similarity))
     keys = long.select("node", "fp").mapInArrow(_whole_segments, "key long, node long").union(tokens.select("token", "node"))
     ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     stars = keys.join(ends, "key").select(F.explode(F.array(F.struct(F.least("node", "low").alias("u"), F.greatest("node", "low").alias("v")), F.struct(F.least("node", "high").alias("u"), F.greatest("node", "high").alias("v")))).alias("p")).select("p.*")
-    texts = slim.select("text")
-    near = connected(_links(stars.where("u < v").distinct(), told, texts, words, similarity, MOST_BITS))
+    near = connected(_links(stars.where("u < v").distinct(), told, rows, slim, words, similarity, MOST_BITS))
     comps = cut(told.select("node", "size", "fp").join(near.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     tries = comps.where(F.col("size") > SHORT).select("node", "comp", "fp").mapInArrow(_tries, "tree int, trie int, code long, node long, comp long")
     by_trie = in_blocks(tries, ["tree", "trie"], task_rows).repartition("tree", "trie", "block_a", "block_b").sortWithinPartitions("tree", "trie", "block_a", "block_b", "code")
     by_token = in_blocks(tokens.join(comps.select("node", "comp"), "node"), ["token"], task_rows).repartition("token", "block_a", "block_b").sortWithinPartitions("token", "block_a", "block_b", "comp")
     pairs = by_trie.mapInArrow(_trie_links, "u long, v long").union(by_token.mapInArrow(_token_links(similarity), "u long, v long")).distinct()
-    links = _links(pairs, told, texts, words, similarity, MOST_BITS)
+    links = _links(pairs, told, rows, slim, words, similarity, MOST_BITS)
     roots = connected(near.toDF("u", "v").union(links))
     classes = rows.groupBy("node").agg(F.min("id").alias("least"))
     tied = roots.select(F.col("u").alias("node"), "root").union(roots.select("root", "root").distinct())
     rooted = classes.join(tied, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     labels = classes.join(tied, "node", "left").join(rooted, "root", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.select("id", "node").join(labels, "node").select("id", "component_id")
+    return rows.select("id", "mark", "node").join(labels, "node").select("id", "mark", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import connected, cut, free_name, in_blocks, prepare, table, texts_of, whole_groups
+from folioforge.llm.common import connected, cut, free_name, in_blocks, maybe_in, prepare, table, texts_of, whole_groups
 
 SEED = 42
 #: Rows of sorted keys that are joined at once, and node pairs that go down together.
@@ -62,7 +62,7 @@ def _fingerprints(words: int):
     def run(batches):
         for batch in batches:
             fps = [signed(simhash(t, words)) for t in texts_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(fps, pa.int64())], names=["id", "mark", "fp"])
 
     return run
 
@@ -223,37 +223,44 @@ def link_edges(fps: DataFrame, max_bits: int, task_rows: int = TASK_ROWS) -> Dat
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
-    """Rows (id, fp, component_id), one for each row of docs.
+    """Rows (id, mark, fp, component_id), one for each row of docs.
 
-    id is the id column as a long; fp the 64-bit fingerprint as a signed long; component_id
+    id is the id column as a long; mark the text's xxhash64; fp the 64-bit fingerprint as a signed long; component_id
     the smallest id among all rows whose fingerprints are linked with this row's, directly or
     through others. Null text counts as empty; texts without words have fingerprint 0 and are
     linked like any other; rows that repeat stay; a null id stays null and is never the
     smallest, so that component_id is null only where a component has null ids alone.
     """
     prepare(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = cut(slim.mapInArrow(_fingerprints(words), "id long, fp long"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    rows = cut(slim.mapInArrow(_fingerprints(words), "id long, mark long, fp long"))
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected(link_edges(classes.select("fp"), max_bits))
     tied = roots.select(F.col("u").alias("fp"), "root").union(roots.select("root", "root").distinct())
     rooted = classes.join(tied, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     labels = classes.join(tied, "fp", "left").join(rooted, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(labels, "fp").select("id", "fp", "component_id")
+    return rows.join(labels, "fp").select("id", "mark", "fp", "component_id")
 
 
 def keep_least(docs: DataFrame, components: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with one row of each component (id, component_id): that with the smallest id; all columns stay as they are.
+    """docs with one row of each component (id, mark, component_id): that with the smallest id; all columns stay as they are.
 
-    Of rows that repeat an id and a text one stays; rows that share an id but not their text
-    stay or go by their own components. Rows with null ids go where a row with an id is in
-    their component.
+    mark is the text's xxhash64. Of rows that repeat an id and a text one stays; rows that
+    share an id but not their text stay or go by their own components. Rows with null ids go
+    where a row with an id is in their component. Rows whose id stands once and is its
+    component's are kept where they are; only the others are shuffled.
     """
-    key, nth = free_name(docs, "stay"), free_name(docs, "nth")
-    stay = components.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(key)).distinct()
-    kept = docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay[key]), "left_semi")
-    same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
-    return kept.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*docs.columns)
+    components = components.select("id", "mark", "component_id")
+    doubtful = components.groupBy("id").agg(F.count("*").alias("n"), F.bool_and(F.col("id").eqNullSafe(F.col("component_id"))).alias("first"))
+    maybe = maybe_in(doubtful.where("n > 1 or not first").select("id"))
+    flag, key, nth, mark, own = (free_name(docs, x) for x in ("doubtful", "stay", "nth", "mark", "own_mark"))
+    told = docs.withColumn(flag, maybe(docs[id_col].cast("long")))
+    stay = components.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(key), F.col("mark").alias(mark)).distinct()
+    asked = told.where(F.col(flag)).withColumn(own, F.xxhash64(text_col))
+    kept = asked.join(stay, asked[id_col].cast("long").eqNullSafe(stay[key]) & (asked[own] == stay[mark]), "left_semi")
+    same = Window.partitionBy(F.col(id_col), F.col(own)).orderBy(F.lit(1))
+    once = kept.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1)
+    return told.where(~F.col(flag)).select(*docs.columns).union(once.select(*docs.columns))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:

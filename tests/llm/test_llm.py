@@ -503,6 +503,27 @@ def test_near_copies_of_one_large_group_in_blocks(spark, words):
     assert len({r.component_id for r in got[0] if 60 < r.id <= 120}) == 1
 
 
+def test_maybe_in(spark):
+    ids = spark.createDataFrame([(i * 790,) for i in range(500)] + [(None,), (-5,)], "x long")
+    maybe = common.maybe_in(ids)
+    rows = spark.range(0, 100_000).select((F.col("id") * 79).alias("id")).union(spark.createDataFrame([(None,), (-5,)], "id long"))
+    got = {r.id for r in rows.where(maybe("id")).collect()}
+    assert {i * 790 for i in range(500)} <= got and {None, -5} <= got and len(got) < 700
+    assert spark.range(50).where(common.maybe_in(ids.limit(0))("id")).count() == 0
+
+
+def test_rows_that_share_an_id_go_by_their_own_components(spark, words):
+    """Repeated rows, ids with two texts, null ids, and columns named as the helpers' own."""
+    a, b, c = words(60, 1), words(60, 2), words(60, 3)
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, a), (None, words(60, 4)), (9, None), (8, "")]
+    df = spark.createDataFrame([(i, t, 0, 1, 2, 3) for i, t in rows], "doc_id long, text string, nth int, stay int, mark int, doubtful int")
+    for drop in (near_copies.drop_near_copies, simhash.drop_copies):
+        out = drop(df)
+        assert out.columns == df.columns
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (None, words(60, 4)), (8, "")], key=str)
+        assert drop(df.limit(0)).count() == 0
+
+
 def test_whole_groups():
     import pyarrow as pa
 
