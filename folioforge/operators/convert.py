@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.operators import gfm, ocr, pdf_layout, quality, routing
-from folioforge.session import prepare
+from folioforge.session import new_table, prepare
 from folioforge.sources import docx, opc, pptx, xlsx
 from folioforge.sources.errors import DocumentError
 from folioforge.sources.pdf_objects import Pdf
@@ -25,6 +25,8 @@ LAYOUT = "struct<is_complex:boolean,pages_with_columns:array<int>,pages_with_tab
 EVIDENCE = "array<struct<page:int,text_ops:int,path_ops:int,font_changes:int,image_count:int,unique_chars:int,unique_alnum:int,has_images:boolean,has_template_image:boolean,has_vector_text:boolean,identity_h_no_tounicode:boolean,only_type3:boolean,decodable:boolean,lost_content:boolean,markdown:string,texts:array<string>>>"
 DECODED = f"doc_id string, format string, title string, page_count int, markdown string, layout {LAYOUT}, has_encoding_issues boolean, pages {EVIDENCE}, error {ERROR}"
 ITEM = "struct<text:string,page:int,x:double,y:double,width:double,height:double,rotation:double,advance_known:boolean,font:string,font_tag:string,font_size:double,is_bold:boolean,is_italic:boolean,is_underline:boolean,is_strikeout:boolean,baseline_shift:double,item_type:string,mcid:bigint,url:string>"
+#: Documents, and code points of their Markdown, that are sent back at once.
+BATCH_DOCUMENTS, BATCH_CHARS = 64, 4_000_000
 OFFICE = {"docx": docx.parse, "xlsx": xlsx.parse, "pptx": pptx.parse}
 
 
@@ -106,13 +108,26 @@ def decode(files: DataFrame, opts: Options | None = None) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            rows, size = [], 0
             for doc, path, data in zip(b.column("doc_id").to_pylist(), b.column("path").to_pylist(), b.column("content"), strict=True):
-                row = {"doc_id": doc, **decode_one(data.as_py() or b"", path or "", opts)}
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
+                rows.append({"doc_id": doc, **decode_one(data.as_py() or b"", path or "", opts)})
+                size += len(rows[-1]["markdown"] or "")
+                if len(rows) >= BATCH_DOCUMENTS or size >= BATCH_CHARS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("path").cast("string").alias("path"), "content").mapInArrow(run, DECODED)
 
 
+def decoded_once(files: DataFrame, opts: Options | None = None) -> DataFrame:
+    """decode(), written to the shared folder: what follows reads the columns it needs and decodes nothing again."""
+    path = new_table(files.sparkSession, "decoded")
+    decode(files, opts).write.parquet(path)
+    return files.sparkSession.read.parquet(path)
+
+
 def page_evidence(decoded: DataFrame) -> DataFrame:
     """One row a page of PDFs."""
     return decoded.where("format = 'pdf' and pages is not null").select("doc_id", F.inline("pages"))
@@ -133,7 +148,7 @@ def classified(decoded: DataFrame, strategy: str = "sample", most: int = routing
 
 def detect(files: DataFrame, opts: Options | None = None) -> DataFrame:
     """Rows (doc_id, format, pdf_type, confidence, page_count, pages_sampled, pages_with_text, ocr_recommended, title, pages_needing_ocr, error)."""
-    decoded = decode(files, opts)
+    decoded = decoded_once(files, opts)
     classes, routed, _ = classified(decoded)
     pages = routed.groupBy("doc_id").agg(F.array_sort(F.collect_set("page")).alias("pages_needing_ocr"))
     slim = decoded.select("doc_id", "format", "title", F.when(F.col("error.code").isin("encrypted", "malformed", "resource_limit") & F.col("format").isin("pdf"), F.col("error")).alias("error"))
@@ -144,10 +159,12 @@ def convert(files: DataFrame, opts: Options | None = None, make_provider=None) -
     """Rows (doc_id, markdown, format, page_count, pages_needing_ocr, ocr_reasons_by_page, layout, has_encoding_issues, lost_content_pages, needs_review, pages_billed, error).
 
     make_provider: makes an OCR provider for each partition; without one, a scanned PDF is
-    the error needs_ocr.
+    the error needs_ocr. Files are decoded once, and a provider is called once for a page;
+    both results are tables in the shared folder. Pages of a document whose recognition failed
+    aren't billed.
     """
     opts = opts or Options()
-    decoded = decode(files, opts)
+    decoded = decoded_once(files, opts)
     classes, routed, garbled = classified(decoded)
     merged = routing.merge_routes(routed, garbled)
     by_doc = merged.groupBy("doc_id").agg(F.array_sort(F.collect_set("page")).alias("pages_needing_ocr"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("page", "reasons")))).alias("ocr_reasons_by_page"))
@@ -159,11 +176,16 @@ def convert(files: DataFrame, opts: Options | None = None, make_provider=None) -
     out = out.join(lost, "doc_id", "left")
     if opts.ocr != "off" and make_provider is not None:
         asked = ocr.selected(page_evidence(decoded).select("doc_id", "page").join(merged.select("doc_id", "page", F.lit(True).alias("routed")), ["doc_id", "page"], "left").withColumn("routed", F.coalesce("routed", F.lit(False))), opts.ocr)
-        billed = ocr.capped(asked.select(F.lit("run").alias("run_id"), F.col("doc_id").alias("ord"), "doc_id", "page"), opts.per_doc, opts.per_run)
-        requests = billed.where("billed").groupBy("doc_id").agg(F.array_sort(F.collect_list("page")).alias("pages")).join(files.select(F.col("doc_id").cast("string").alias("doc_id"), "content"), "doc_id")
-        read = ocr.recognize(requests, make_provider) if not opts.dry_run else ocr.recognize(requests.where("false"), make_provider)
+        asked = asked.select(F.lit("run").alias("run_id"), F.col("doc_id").alias("ord"), "doc_id", "page")
+        if opts.dry_run:
+            billed = ocr.capped(asked, opts.per_doc, opts.per_run)
+            read = files.sparkSession.createDataFrame([], ocr.PAGE_SCHEMA)
+        else:
+            contents = files.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
+            billed, read = ocr.recognize_within(asked, contents, make_provider, opts.per_doc, opts.per_run)
         fused = ocr.fuse(own, read.where("error is null"), billed)
-        count = billed.groupBy("doc_id").agg(F.count_if("billed").alias("pages_billed"))
+        back = read.where("error is not null").select("doc_id", F.lit(True).alias("back")).distinct()
+        count = billed.groupBy("doc_id").agg(F.count_if("billed").alias("n")).join(back, "doc_id", "left").select("doc_id", F.when(F.col("back"), 0).otherwise(F.col("n")).cast("bigint").alias("pages_billed"))
         out = out.join(count, "doc_id", "left")
     else:
         fused = own.withColumn("needs_review", F.lit(False))

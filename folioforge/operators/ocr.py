@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions.text import trimmed
 from folioforge.operators import quality
+from folioforge.session import cut, new_table
 
 
 def selected(pages: DataFrame, mode: str) -> DataFrame:
@@ -22,12 +23,14 @@ def selected(pages: DataFrame, mode: str) -> DataFrame:
     return pages.where("routed" if mode == "auto" else "false").select("doc_id", "page").distinct()
 
 
-def capped(pages: DataFrame, per_doc: int = 0, per_run: int = 0) -> DataFrame:
+def capped(pages: DataFrame, per_doc: int = 0, per_run: int = 0, failed: DataFrame | None = None) -> DataFrame:
     """Adds billed: whether the page is within per_doc pages of its document and per_run of the run.
 
     Documents are billed in the order of ord (rows: run_id, ord, doc_id, page), each by
-    ascending pages; 0 is no cap. Each document asks for a page at least, so that a run's
-    budget is used up by its first per_run documents: only those are ordered in one task (each
+    ascending pages; 0 is no cap. Documents of failed (run_id, doc_id) get their pages back:
+    they are billed in their turn, but what they took is there again for those after them.
+    Each other document asks for a page at least, so that a run's budget is used up by its
+    first per_run documents: only those, and the failed ones, are ordered in one task (each
     task sends on its own first ones), whatever the number of documents.
     """
     nth = F.row_number().over(Window.partitionBy("run_id", "doc_id").orderBy("page"))
@@ -35,9 +38,14 @@ def capped(pages: DataFrame, per_doc: int = 0, per_run: int = 0) -> DataFrame:
     want = ranked.groupBy("run_id", "ord", "doc_id").agg(F.max("nth").alias("asked"))
     want = want.withColumn("asked", F.least("asked", F.lit(per_doc)) if per_doc > 0 else F.col("asked"))
     if per_run > 0:
+        most, back = per_run, F.lit(False)
+        if failed is not None:
+            told = failed.select("run_id", "doc_id", F.lit(True).alias("failed")).distinct()
+            most += told.groupBy("run_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+            want, back = want.join(told, ["run_id", "doc_id"], "left"), F.coalesce("failed", F.lit(False))
         order = Window.partitionBy("run_id").orderBy("ord", "doc_id")
-        want = want.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_run)
-        before = F.sum("asked").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        want = want.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+        before = F.sum(F.when(back, 0).otherwise(F.col("asked"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
         # what is asked for is billed until the budget is used up, so that the sum asked before tells what is left
         want = want.withColumn("allowed", F.least(F.col("asked"), F.greatest(F.lit(0), F.lit(per_run) - F.coalesce(before, F.lit(0)))))
     else:
@@ -57,30 +65,26 @@ def cost_report(billed: DataFrame, price: float, provider: str, local: bool = Fa
     ).withColumns({"provider": F.lit(provider), "local": F.lit(local), "dry_run": F.lit(dry_run)})
 
 
-def garbled_text(text: Column) -> Column:
-    """Whether one text alone has a span that is broken for sure, or is broken as a page."""
-    kind = quality.span_kind(text)
-    chars = F.char_length(F.regexp_replace(text, f"[{quality.SPACE}]", ""))
-    n, run = quality.replacement_count(text), quality.longest_run(text, r"\x{FFFD}")
-    bps = F.when(chars > 0, F.floor(n * 10000 / chars)).otherwise(0)
-    replaced = (kind == "replacement") & (((chars <= 80) & (run >= 2)) | ((n >= 12) & (bps >= 500)) | ((run >= 8) & (bps >= 250)))
-    return (kind == "strong") | replaced
+def with_health(rows: DataFrame, markdown: str = "markdown", confidence: str = "confidence") -> DataFrame:
+    """rows with `healthy`: a result that isn't blank nor of a stated confidence under 0.5, and whose text is broken by no rule of a page's text.
 
-
-def healthy(markdown: Column, confidence: Column) -> Column:
-    weak = (confidence > 0) & (confidence < 0.5)
-    return ~F.coalesce(weak, F.lit(False)) & (trimmed(F.coalesce(markdown, F.lit(""))) != "") & ~garbled_text(F.coalesce(markdown, F.lit("")))
+    Those rules include the ciphers, whose letters are exchanged. Null results aren't healthy.
+    """
+    text = F.coalesce(markdown, F.lit(""))
+    weak = F.coalesce((F.col(confidence) > 0) & (F.col(confidence) < 0.5), F.lit(False))
+    judged = quality.with_garbled(rows.withColumn("healthy", ~weak & (trimmed(text) != "")).withColumn("judged_text", text), "judged_text")
+    return judged.withColumn("healthy", F.col("healthy") & ~F.col("garbled")).drop("garbled", "judged_text")
 
 
 def fuse(native: DataFrame, recognized: DataFrame, billed: DataFrame) -> DataFrame:
-    """Rows (doc_id, page, markdown, needs_review): a healthy result replaces the page's own text."""
-    read = recognized.select("doc_id", "page", F.col("markdown").alias("ocr"), "confidence")
-    asked = billed.where("billed").select("doc_id", "page", F.lit(True).alias("asked"))
-    cut = billed.where("not billed").select("doc_id", "page", F.lit(True).alias("cut"))
-    rows = native.join(asked, ["doc_id", "page"], "left").join(cut, ["doc_id", "page"], "left").join(read, ["doc_id", "page"], "left")
-    good = F.coalesce(F.col("asked"), F.lit(False)) & healthy(F.col("ocr"), F.col("confidence"))
-    review = F.coalesce(F.col("cut"), F.lit(False)) | (F.coalesce(F.col("asked"), F.lit(False)) & ~healthy(F.col("ocr"), F.col("confidence")))
-    return rows.select("doc_id", "page", F.when(good, F.col("ocr")).otherwise(F.col("markdown")).alias("markdown"), review.alias("needs_review"))
+    """Rows (doc_id, page, markdown, needs_review): a healthy result replaces the page's own text.
+
+    A page that was to be read and wasn't, by a cap or since its result isn't healthy, needs review.
+    """
+    read = with_health(recognized.select("doc_id", "page", F.col("markdown").alias("ocr"), "confidence"), "ocr")
+    rows = native.select("doc_id", "page", "markdown").join(billed.select("doc_id", "page", "billed"), ["doc_id", "page"], "left").join(read.select("doc_id", "page", "ocr", "healthy"), ["doc_id", "page"], "left")
+    good = F.coalesce(F.col("billed") & F.col("healthy"), F.lit(False))
+    return rows.select("doc_id", "page", F.when(good, F.col("ocr")).otherwise(F.col("markdown")).alias("markdown"), (F.col("billed").isNotNull() & ~good).alias("needs_review"))
 
 
 def lines_confidence(lines: Column) -> Column:
@@ -156,24 +160,62 @@ PAGE_SCHEMA = "doc_id string, page int, markdown string, confidence double, erro
 
 
 def recognize(requests: DataFrame, make_provider: Callable[[], OcrProvider]) -> DataFrame:
-    """Calls a provider once for each document: rows (doc_id, content, pages) -> PAGE_SCHEMA; an error is a row, not a failure."""
+    """Calls a provider once for each document: rows (doc_id, content, pages) -> PAGE_SCHEMA.
+
+    The results are written to the shared folder at once, so that nothing that reads them
+    calls, or pays, again; only a task that is lost before it is done does. A document's error
+    is a row (error set, no page), not a failure; a provider that can't be started fails the job.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = None
         for frame in frames:
             out = []
             for doc, content, pages in zip(frame["doc_id"], frame["content"], frame["pages"], strict=True):
+                if provider is None:
+                    provider = make_provider()
                 try:
-                    provider = provider or make_provider()
                     for r in provider.recognize(bytes(content), [int(p) for p in pages]):
                         out.append((doc, r["page"], r.get("markdown", ""), float(r.get("confidence", 0)), None))
-                except Exception as e:  # a document's failure is told in its row
+                except (OSError, ValueError, KeyError, TypeError, TimeoutError, RuntimeError) as e:  # a document's failure is told in its row
                     out.append((doc, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["doc_id", "page", "markdown", "confidence", "error"]).astype({"page": "Int32"})
         if hasattr(provider, "close"):
             provider.close()
 
-    return requests.select("doc_id", "content", "pages").mapInPandas(run, PAGE_SCHEMA)
+    spark = requests.sparkSession
+    path = new_table(spark, "recognized")
+    requests.select("doc_id", "content", "pages").mapInPandas(run, PAGE_SCHEMA).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def recognize_within(pages: DataFrame, contents: DataFrame, make_provider: Callable[[], OcrProvider], per_doc: int = 0, per_run: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(billed, recognized) of pages (run_id, ord, doc_id, page) and contents (doc_id, content), within the caps.
+
+    Where a run has a budget, the pages of documents that failed go back to it and are given
+    to the documents that come next, until none fails that hasn't been called yet. A document
+    is called once; one that gets more pages than it was called for is called for those.
+    """
+    results, called, failed = None, None, None
+    while True:
+        billed = cut(capped(pages, per_doc, per_run, failed))
+        asked = billed.where("billed").select("doc_id", "page")
+        if called is not None:
+            asked = asked.join(called, ["doc_id", "page"], "left_anti")
+        if failed is not None:
+            asked = asked.join(failed, "doc_id", "left_anti")
+        asked = cut(asked)
+        if called is not None and asked.isEmpty():
+            return billed, results
+        requests = asked.groupBy("doc_id").agg(F.array_sort(F.collect_list("page")).alias("pages")).join(contents, "doc_id")
+        got = recognize(requests, make_provider)
+        results = got if results is None else results.union(got)
+        called = asked if called is None else called.union(asked)
+        if per_run <= 0:
+            return billed, results
+        failed = cut(results.where("error is not null").select("doc_id").distinct().join(pages.select("run_id", "doc_id").distinct(), "doc_id"))
+        if failed.isEmpty():
+            return billed, results
 
 
 def ctc_decode(steps: Column, charset: list[str]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import C1, PRIVATE, SPACE, count_of, trimmed
+from folioforge.session import spread
 
 #: Letter frequencies of English in percent, a to z (fixed values).
 ENGLISH = [8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.15, 2.0, 0.07]
@@ -69,32 +70,52 @@ def trimmed_kind(t: Column) -> Column:
     return F.when(t == "", "none").when(strong, "strong").when(has_replacement_run(t), "replacement").otherwise("none")
 
 
-def page_evidence(items: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
-    """One row a page of the sums that the verdict needs.
+def text_evidence(rows: DataFrame, text: str) -> DataFrame:
+    """For each row, packed as `row`, what the verdicts need of its text: kind, chars, replaced, run, letters, vowels, pairs, shifts, latin_more, non_latin.
 
     What several measures share (the trimmed text, its letters) is generated as columns of
-    its own first: as plain expressions Catalyst would copy it into each of them.
+    its own first: as plain expressions Catalyst would copy it into each of them. Letters are
+    counted by what is missing without them, which is a search of bytes.
     """
     t = F.col(text)
     shared = F.struct(t.alias("t"), trimmed(t).alias("s"), F.lower(F.regexp_replace(t, "[^A-Za-z]+", "")).alias("l"), F.regexp_replace(t, r"[^\p{L}]+", "").alias("u"))
-    parts = items.select(*keys, F.inline(F.array(shared)))
-    kind = F.struct(trimmed_kind(F.col("s")).alias("kind"), replacement_count(F.col("t")).alias("replaced"), longest_run(F.col("t"), r"\x{FFFD}").alias("run"))
-    measured = parts.select(*keys, "t", "l", "u", F.inline(F.array(kind)))
-    bad = F.col("kind") == "replacement"
+    parts = rows.select(F.struct(*rows.columns).alias("row"), F.inline(F.array(shared)))
     gone = lambda c, pattern: F.char_length(c) - F.char_length(F.regexp_replace(c, pattern, ""))
-    return measured.groupBy(*keys).agg(
-        F.sum(F.char_length(F.regexp_replace("t", f"[{SPACE}]+", ""))).alias("chars"),
-        F.bool_or(F.col("kind") == "strong").alias("strong"),
-        F.sum(F.when(bad, F.col("replaced")).otherwise(0)).alias("replaced"),
-        F.sum(F.when(bad, 1).otherwise(0)).alias("spans"),
-        F.max(F.when(bad, F.col("run")).otherwise(0)).alias("run"),
-        F.array(*[F.sum(F.length("l") - F.length(F.translate("l", chr(97 + i), ""))) for i in range(26)]).alias("letters"),
-        F.sum(count_of(F.col("l"), "aeiou")).alias("vowels"),
-        F.sum(gone("t", "(?<=[A-Za-z])[A-Za-z]")).alias("pairs"),  # a letter that a letter stands right before
-        F.sum(gone("t", "(?<=[a-z])[A-Z]")).alias("shifts"),
-        F.sum(count_of(F.col("u"), LATIN_MORE)).alias("latin_more"),
-        F.sum(F.char_length(F.regexp_replace("u", f"[A-Za-z{LATIN_MORE}]+", ""))).alias("non_latin"),
+    letter = lambda c: F.length("l") - F.length(F.replace("l", F.lit(c)))
+    measures = F.struct(
+        trimmed_kind(F.col("s")).alias("kind"),
+        replacement_count(F.col("t")).alias("replaced"),
+        longest_run(F.col("t"), r"\x{FFFD}").alias("run"),
+        F.char_length(F.regexp_replace("t", f"[{SPACE}]+", "")).alias("chars"),
+        F.array(*[letter(chr(97 + i)) for i in range(26)]).alias("letters"),
+        count_of(F.col("l"), "aeiou").alias("vowels"),
+        gone("t", "(?<=[A-Za-z])[A-Za-z]").alias("pairs"),  # a letter that a letter stands right before
+        gone("t", "(?<=[a-z])[A-Z]").alias("shifts"),
+        count_of(F.col("u"), LATIN_MORE).alias("latin_more"),
+        F.char_length(F.regexp_replace("u", f"[A-Za-z{LATIN_MORE}]+", "")).alias("non_latin"),
     )
+    return parts.select("row", F.inline(F.array(measures)))
+
+
+def _of_spans(sum_, any_, most) -> list[Column]:
+    """The verdict's columns, of a page's spans by aggregates or of a single text as it is."""
+    bad = F.col("kind") == "replacement"
+    return [
+        sum_(F.col("chars")).alias("chars"),
+        any_(F.col("kind") == "strong").alias("strong"),
+        sum_(F.when(bad, F.col("replaced")).otherwise(0)).alias("replaced"),
+        sum_(F.when(bad, 1).otherwise(0)).alias("spans"),
+        most(F.when(bad, F.col("run")).otherwise(0)).alias("run"),
+        F.array(*[sum_(F.col("letters")[i]) for i in range(26)]).alias("letters"),
+        *(sum_(F.col(c)).alias(c) for c in ("vowels", "pairs", "shifts", "latin_more", "non_latin")),
+    ]
+
+
+def page_evidence(items: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
+    """One row a page of the sums that the verdict needs."""
+    slim = spread(items.select(*keys, F.col(text).alias("text")))
+    spans = text_evidence(slim, "text").select(*(F.col(f"row.{k}").alias(k) for k in keys), "kind", "chars", "replaced", "run", "letters", "vowels", "pairs", "shifts", "latin_more", "non_latin")
+    return spans.groupBy(*keys).agg(*_of_spans(F.sum, F.bool_or, F.max))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -105,7 +126,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def with_cosines(evidence: DataFrame) -> DataFrame:
     """Adds n_letters, english and shape: likeness of the letters' frequencies to English, as they are and sorted."""
-    n = F.aggregate("letters", F.lit(0).cast("long"), lambda s, x: s + x)
+    n = F.aggregate("letters", F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
     shares = F.transform("letters", lambda x: x / F.col("n_letters"))
     english = F.array(*map(F.lit, ENGLISH))
     down = lambda v: F.sort_array(v, asc=False)
@@ -126,3 +147,11 @@ def garbled_pages(items: DataFrame, text: str = "text", keys: tuple[str, ...] =
     """keys of the pages whose text is broken. Null texts count as none; no items give no pages."""
     known = items.where(F.col(text).isNotNull())
     return verdict(with_cosines(page_evidence(known, text, keys))).where("garbled").select(*keys)
+
+
+def with_garbled(rows: DataFrame, text: str, name: str = "garbled") -> DataFrame:
+    """rows with a column that says whether the row's text alone, judged by all rules of a page, is broken. Null text is not."""
+    same = lambda c: c
+    spans = text_evidence(spread(rows).withColumn(text, F.coalesce(text, F.lit(""))), text)
+    judged = verdict(with_cosines(spans.select("row", *_of_spans(same, same, same))))
+    return judged.select("row.*", F.col("garbled").alias(name))

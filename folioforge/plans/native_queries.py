@@ -430,7 +430,31 @@ HEALTHY_SQL = "(NOT (confidence > 0 AND confidence < 0.5) AND trim(coalesce(o, '
 
 @query("ocr_health", f"SELECT doc_id, page, {HEALTHY_SQL.replace('(o', '(markdown').replace('o,', 'markdown,')} AS healthy FROM ({READ.replace('STRING', 'VARCHAR')})".replace("coalesce(o", "coalesce(markdown"), "lineitem")
 def _health(spark):
-    return spark.sql(READ).select("doc_id", "page", ocr.healthy(F.col("markdown"), F.col("confidence")).alias("healthy"))
+    return ocr.with_health(spark.sql(READ)).select("doc_id", "page", "healthy")
+
+
+GARBLED_SQL = ORACLE["quality_garbled_pages"]
+#: Documents as OCR results: whole texts, some broken in each of the ways that a page can be, one of them a cipher.
+READ_DOCUMENTS = f"SELECT doc_id, page, text AS markdown, CASE doc_id % 7 WHEN 0 THEN 0.4 WHEN 1 THEN 0.0 WHEN 2 THEN 0.5 ELSE 0.9 END AS confidence FROM ({DAMAGED})"
+HEALTHY_DOCUMENTS = f"SELECT r.doc_id, r.page, r.markdown, NOT (confidence > 0 AND confidence < 0.5) AND NOT regexp_full_match(r.markdown, '[{SQL_SPACE}]*') AND g.doc_id IS NULL AS healthy FROM ({READ_DOCUMENTS}) r LEFT JOIN ({GARBLED_SQL}) g USING (doc_id)"
+
+
+@query("ocr_health_documents", f"SELECT doc_id, healthy FROM ({HEALTHY_DOCUMENTS})", "documents")
+def _health_of_documents(spark):
+    return ocr.with_health(spark.sql(READ_DOCUMENTS)).select("doc_id", "healthy")
+
+
+@query(
+    "ocr_fusion_documents",
+    f"""SELECT d.doc_id, md5(CASE WHEN h.healthy THEN h.markdown ELSE d.text END) AS md, NOT h.healthy AS needs_review FROM documents d JOIN ({HEALTHY_DOCUMENTS}) h USING (doc_id) WHERE doc_id % 10 <> 3
+UNION ALL SELECT doc_id, md5(text), doc_id % 20 = 3 FROM documents WHERE doc_id % 10 = 3""",
+    "documents",
+)
+def _fuse_documents(spark):
+    """Pages that are asked for, cut by a cap (3 of 20) or not asked for (13 of 20)."""
+    own = spark.sql("SELECT doc_id, 1 AS page, text AS markdown FROM documents")
+    billed = own.where("doc_id % 20 <> 13").select("doc_id", "page", (F.col("doc_id") % 10 != 3).alias("billed"))
+    return ocr.fuse(own, spark.sql(READ_DOCUMENTS), billed).select("doc_id", F.md5("markdown").alias("md"), "needs_review")
 
 
 @query(

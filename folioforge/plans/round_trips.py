@@ -17,8 +17,14 @@ PLAIN_SQL = "trim(regexp_replace(regexp_replace({t}, '[^A-Za-z ]', ' ', 'g'), '
 
 
 def made(rows: DataFrame, make, ending: str) -> DataFrame:
-    """Rows (doc_id, path, content) of files, made of (doc_id, parts)."""
-    prepare(rows.sparkSession)
+    """Rows (doc_id, path, content) of files, made of (doc_id, parts).
+
+    Making and decoding a file costs far more than moving its few parts, so that they are
+    dealt to all cores, however few bytes they are.
+    """
+    spark = prepare(rows.sparkSession)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(tasks, "doc_id")
 
     def run(batches):
         for b in batches:

@@ -37,6 +37,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the cluster has cores, where it has fewer: for work that costs far more than moving its rows.
+
+    A large input has more partitions than that and stays as it is, and so does what comes from
+    a shuffle, whose partitions aren't known yet.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors share.
 
