@@ -207,8 +207,30 @@ def _places(ids: pa.Array) -> np.ndarray:
     return (mix64(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(1)) & np.uint64(MAP_BITS - 1)).astype(np.int64)
 
 
-def maybe_in(ids: DataFrame):
-    """A function of a long column that is false only where the value isn't among ids (one long column); true for nulls.
+class Maybe:
+    """Whether a value may be among the ids that a broadcast bitmap was made of; a null may."""
+
+    def __init__(self, shared):
+        self.shared = shared
+
+    def mask(self, ids: pa.Array) -> np.ndarray:
+        raw = np.frombuffer(self.shared.value, np.uint8)
+        at = _places(ids.fill_null(0))
+        return (raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) | np.asarray(ids.is_null())
+
+    def column(self, ids):
+        """The mask as a column, of a long column."""
+        mask = self.mask
+
+        @F.arrow_udf("boolean")
+        def maybe(i: pa.Array) -> pa.Array:
+            return pa.array(mask(i))
+
+        return maybe(ids)
+
+
+def maybe_in(ids: DataFrame) -> Maybe:
+    """Of one long column: false only for values that aren't among them; true for nulls.
 
     It is a bitmap of MAP_BITS bits, 8 MB however many ids there are: with very many, more and
     more other values pass as well. So it spares shuffles, and what passes is judged exactly.
@@ -233,15 +255,7 @@ def maybe_in(ids: DataFrame):
     whole = bytearray(MAP_BITS // 8)
     for r in got:  # MAP_BITS / PAGE_BITS at most
         whole[r.page * PAGE_BITS // 8 : (r.page + 1) * PAGE_BITS // 8] = r.own
-    shared = ids.sparkSession.sparkContext.broadcast(bytes(whole))
-
-    @F.arrow_udf("boolean")
-    def maybe(i: pa.Array) -> pa.Array:
-        raw = np.frombuffer(shared.value, np.uint8)
-        at = _places(i.fill_null(0))
-        return pa.array((raw[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) | np.asarray(i.is_null()))
-
-    return maybe
+    return Maybe(ids.sparkSession.sparkContext.broadcast(bytes(whole)))
 
 
 def whole_groups(batches, names: list[str], keys: int, least: int):

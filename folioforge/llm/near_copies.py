@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import LOWER_BYTES, blocks, connected, cut, in_blocks, maybe_in, mix64, new_table, prepare, ranges, texts_of, whole_groups, word_hashes
+from folioforge.llm.common import LOWER_BYTES, Maybe, blocks, connected, cut, in_blocks, maybe_in, mix64, new_table, prepare, ranges, texts_of, whole_groups, word_hashes
 from folioforge.llm.decontaminate import needed, shingle_hashes
 from folioforge.llm.simhash import CHUNK, keep_least, trie_pairs
 
@@ -41,8 +41,8 @@ SEEDS = np.array([(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(SEGMEN
 MOST_BITS = 134
 #: Shingles of a text that is joined by them.
 SHORT = 32
-#: Pairs that are made at once.
-PAIRS = 500_000
+#: Pairs that are made at once; nodes that a task remembers.
+PAIRS, SEEN = 100_000, 50_000
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -82,7 +82,7 @@ def _rows(words: int, most_short: int):
                 nodes.append(node_of(own))
                 sizes.append(len(own))
                 known = nodes[-1] in seen  # a task tells a node once
-                if len(seen) >= CHUNK:
+                if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(nodes[-1])
                 fps.append(None if known else wide_fingerprint(own))
@@ -183,15 +183,18 @@ def _possible(similarity: float, most_bits: int):
     return run
 
 
-def _named(words: int):
+def _named(words: int, maybe: Maybe):
+    """Rows (id, text) whose id the bitmap lets pass -> (node, text), a node once for a while."""
+
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for whole in batches:
+            batch = whole.filter(pa.array(maybe.mask(whole.column("id"))))
             nodes = [node_of(own) for own in shingle_sets(texts_of(batch.column("text")), words)]
             new = []
             for x in nodes:
                 new.append(x not in seen)
-                if len(seen) >= CHUNK:
+                if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(x)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("text")], names=["node", "text"]).filter(pa.array(new, pa.bool_()))
@@ -224,7 +227,7 @@ def _links(pairs: DataFrame, told: DataFrame, rows: DataFrame, slim: DataFrame,
     possible = cut(both.mapInArrow(_possible(similarity, most_bits), "u long, v long"))
     asked = cut(possible.select("u").union(possible.select("v")).distinct().toDF("node"))
     maybe = maybe_in(rows.select("id", "node").join(asked, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id"))
-    named = slim.where(maybe("id")).select("text").mapInArrow(_named(words), "node long, text string").join(asked, "node", "left_semi").dropDuplicates(["node"])
+    named = slim.select("id", "text").mapInArrow(_named(words, maybe), "node long, text string").join(asked, "node", "left_semi").dropDuplicates(["node"])
     path = new_table(slim.sparkSession, "texts")
     named.write.parquet(path)
     texts = slim.sparkSession.read.schema("node long, text string").parquet(path)

@@ -23,7 +23,7 @@ from folioforge.llm.common import connected, cut, free_name, in_blocks, maybe_in
 
 SEED = 42
 #: Rows of sorted keys that are joined at once, and node pairs that go down together.
-CHUNK, FRONTIER = 200_000, 400_000
+CHUNK, FRONTIER = 100_000, 100_000
 #: Fingerprints of a trie that a task joins whole.
 TASK_ROWS = 250_000
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int32)
@@ -107,13 +107,13 @@ def trie_pairs(codes: np.ndarray, tree: np.ndarray, fixed: int, budget: int, dep
     edges = np.flatnonzero(np.concatenate(([True], (tree[1:] != tree[:-1]) | ((codes[1:] ^ codes[:-1]) >> np.uint64(64 - fixed) != 0), [True])))
     lo, hi = edges[:-1], edges[1:]
     some = hi - lo > 1
-    lo, hi = lo[some].astype(np.int64), hi[some].astype(np.int64)
+    lo, hi = lo[some].astype(np.int32), hi[some].astype(np.int32)
     ones: dict[int, np.ndarray] = {}
 
     def split(depth, lo, hi):
         if depth not in ones:
-            bit = ((codes >> np.uint64(63 - depth)) & np.uint64(1)).astype(np.int64)
-            ones[depth] = np.concatenate(([0], np.cumsum(bit))).astype(np.int32)
+            bit = ((codes >> np.uint64(63 - depth)) & np.uint64(1)).astype(np.int8)
+            ones[depth] = np.concatenate((np.zeros(1, np.int32), np.cumsum(bit, dtype=np.int32)))
         count = ones[depth]
         return hi - (count[hi] - count[lo])
 
@@ -254,7 +254,7 @@ def keep_least(docs: DataFrame, components: DataFrame, id_col: str, text_col: st
     doubtful = components.groupBy("id").agg(F.count("*").alias("n"), F.bool_and(F.col("id").eqNullSafe(F.col("component_id"))).alias("first"))
     maybe = maybe_in(doubtful.where("n > 1 or not first").select("id"))
     flag, key, nth, mark, own = (free_name(docs, x) for x in ("doubtful", "stay", "nth", "mark", "own_mark"))
-    told = docs.withColumn(flag, maybe(docs[id_col].cast("long")))
+    told = docs.withColumn(flag, maybe.column(docs[id_col].cast("long")))
     stay = components.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(key), F.col("mark").alias(mark)).distinct()
     asked = told.where(F.col(flag)).withColumn(own, F.xxhash64(text_col))
     kept = asked.join(stay, asked[id_col].cast("long").eqNullSafe(stay[key]) & (asked[own] == stay[mark]), "left_semi")

@@ -507,9 +507,9 @@ def test_maybe_in(spark):
     ids = spark.createDataFrame([(i * 790,) for i in range(500)] + [(None,), (-5,)], "x long")
     maybe = common.maybe_in(ids)
     rows = spark.range(0, 100_000).select((F.col("id") * 79).alias("id")).union(spark.createDataFrame([(None,), (-5,)], "id long"))
-    got = {r.id for r in rows.where(maybe("id")).collect()}
+    got = {r.id for r in rows.where(maybe.column(F.col("id"))).collect()}
     assert {i * 790 for i in range(500)} <= got and {None, -5} <= got and len(got) < 700
-    assert spark.range(50).where(common.maybe_in(ids.limit(0))("id")).count() == 0
+    assert spark.range(50).where(common.maybe_in(ids.limit(0)).column(F.col("id"))).count() == 0
 
 
 def test_rows_that_share_an_id_go_by_their_own_components(spark, words):
