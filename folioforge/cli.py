@@ -146,7 +146,7 @@ def _convert(args, spark, out) -> int:
         told = row.asDict(recursive=True)
         if told["error"]:
             print(json.dumps({"error": {k: v for k, v in told["error"].items() if v}}, ensure_ascii=False), file=sys.stderr)
-            code = code or EXIT_CODES.get(told["error"]["code"], 1)
+            code = code or EXIT_CODES.get(told["error"]["code"], 4)
             continue
         text = json.dumps({k: v for k, v in told.items() if v is not None and k != "doc_id"}, ensure_ascii=False) if args.json else told["markdown"]
         if source in names:
@@ -164,7 +164,7 @@ def _detect(args, spark, out) -> int:
     row = convert.detect(_files(_session(spark), [args.input])).first().asDict(recursive=True)
     if row["error"]:
         print(json.dumps({"error": row["error"]}, ensure_ascii=False), file=sys.stderr)
-        return EXIT_CODES.get(row["error"]["code"], 1)
+        return EXIT_CODES.get(row["error"]["code"], 4)
     print(json.dumps({k: v for k, v in row.items() if v is not None and k != "doc_id"}, ensure_ascii=False), file=out)
     return 0
 

@@ -65,6 +65,25 @@ def office_markdown(data: bytes, kind: str) -> str:
     return gfm.render(OFFICE[kind](data))
 
 
+def _without(files: DataFrame, erased: DataFrame, opts: Options) -> DataFrame:
+    """Rows (doc_id, rest): the Markdown of the whole PDF without the text of its erased pages, for documents that have such pages."""
+    pages = erased.groupBy("doc_id").agg(F.collect_set("page").alias("gone"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for data, gone in zip(b.column("content"), b.column("gone").to_pylist(), strict=True):
+                own = read_pages(Pdf(data.as_py() or b""))
+                for p in own:
+                    if p.number in gone:
+                        p.items = []
+                out.append(pdf_layout.to_markdown(own, opts.markdown)[0])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "rest"])
+
+    rows = files.select(F.col("doc_id").cast("string").alias("doc_id"), "content").join(pages, "doc_id")
+    return rows.select("doc_id", "content", "gone").mapInArrow(run, "doc_id string, rest string")
+
+
 def decode_one(data: bytes, name: str, opts: Options) -> dict:
     """One document's row of DECODED without its id."""
     row: dict = {"format": None, "title": None, "page_count": None, "markdown": None, "layout": None, "has_encoding_issues": None, "pages": None, "error": None}
@@ -89,7 +108,7 @@ def decode_one(data: bytes, name: str, opts: Options) -> dict:
     except (ValueError, TypeError, KeyError, IndexError, AttributeError, RecursionError, OverflowError) as e:
         row["error"] = DocumentError("malformed", f"{type(e).__name__}: {e}").row()
     except MemoryError:
-        row["error"] = DocumentError("resource_limit", "the document needs too much memory").row()
+        row["error"] = DocumentError("resourceLimit", "the document needs too much memory").row()
     return row
 
 
@@ -151,7 +170,7 @@ def detect(files: DataFrame, opts: Options | None = None) -> DataFrame:
     decoded = decoded_once(files, opts)
     classes, routed, _ = classified(decoded)
     pages = routed.groupBy("doc_id").agg(F.array_sort(F.collect_set("page")).alias("pages_needing_ocr"))
-    slim = decoded.select("doc_id", "format", "title", F.when(F.col("error.code").isin("encrypted", "malformed", "resource_limit") & F.col("format").isin("pdf"), F.col("error")).alias("error"))
+    slim = decoded.select("doc_id", "format", "title", F.when(F.col("error.code").isin("encrypted", "malformed", "resourceLimit") & F.col("format").isin("pdf"), F.col("error")).alias("error"))
     return slim.join(classes, "doc_id", "left").join(pages, "doc_id", "left").withColumn("pages_needing_ocr", F.when(F.col("pdf_type").isNotNull(), F.coalesce("pages_needing_ocr", F.array().cast("array<int>"))))
 
 
@@ -159,7 +178,7 @@ def convert(files: DataFrame, opts: Options | None = None, make_provider=None) -
     """Rows (doc_id, markdown, format, page_count, pages_needing_ocr, ocr_reasons_by_page, layout, has_encoding_issues, lost_content_pages, needs_review, pages_billed, error).
 
     make_provider: makes an OCR provider for each partition; without one, a scanned PDF is
-    the error needs_ocr. Files are decoded once, and a provider is called once for a page;
+    the error needsOcr. Files are decoded once, and a provider is called once for a page;
     both results are tables in the shared folder. Pages of a document whose recognition failed
     aren't billed.
     """
@@ -172,7 +191,7 @@ def convert(files: DataFrame, opts: Options | None = None, make_provider=None) -
     pages = page_evidence(decoded).select("doc_id", "page", "markdown", "lost_content").join(erased, ["doc_id", "page"], "left")
     own = pages.select("doc_id", "page", F.when(F.col("erased"), "").otherwise(F.col("markdown")).alias("markdown"))
     out = decoded.select("doc_id", "format", "page_count", F.col("markdown").alias("whole"), "layout", "has_encoding_issues", "error").join(classes.select("doc_id", "pdf_type"), "doc_id", "left").join(by_doc, "doc_id", "left")
-    lost = pages.groupBy("doc_id").agg(F.array_compact(F.array_sort(F.collect_list(F.when(F.col("lost_content"), F.col("page"))))).alias("lost_content_pages"), F.bool_or(F.coalesce("erased", F.lit(False))).alias("cut"))
+    lost = pages.groupBy("doc_id").agg(F.array_compact(F.array_sort(F.collect_list(F.when(F.col("lost_content"), F.col("page"))))).alias("lost_content_pages"))
     out = out.join(lost, "doc_id", "left")
     if opts.ocr != "off" and make_provider is not None:
         asked = ocr.selected(page_evidence(decoded).select("doc_id", "page").join(merged.select("doc_id", "page", F.lit(True).alias("routed")), ["doc_id", "page"], "left").withColumn("routed", F.coalesce("routed", F.lit(False))), opts.ocr)
@@ -184,22 +203,25 @@ def convert(files: DataFrame, opts: Options | None = None, make_provider=None) -
             contents = files.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
             billed, read = ocr.recognize_within(asked, contents, make_provider, opts.per_doc, opts.per_run)
         fused = ocr.fuse(own, read.where("error is null"), billed)
-        back = read.where("error is not null").select("doc_id", F.lit(True).alias("back")).distinct()
-        count = billed.groupBy("doc_id").agg(F.count_if("billed").alias("n")).join(back, "doc_id", "left").select("doc_id", F.when(F.col("back"), 0).otherwise(F.col("n")).cast("bigint").alias("pages_billed"))
+        failed = read.where("error is not null").groupBy("doc_id").agg(F.first("error").alias("failed"))
+        count = billed.groupBy("doc_id").agg(F.count_if("billed").alias("n")).join(failed, "doc_id", "left").select("doc_id", "failed", F.when(F.col("failed").isNotNull(), 0).otherwise(F.col("n")).cast("bigint").alias("pages_billed"))
         out = out.join(count, "doc_id", "left")
     else:
-        fused = own.withColumn("needs_review", F.lit(False))
-        out = out.withColumn("pages_billed", F.lit(None).cast("bigint"))
+        fused = own.select("*", F.lit(False).alias("replaced"), F.lit(False).alias("needs_review"))
+        out = out.withColumns({"pages_billed": F.lit(None).cast("bigint"), "failed": F.lit(None).cast("struct<code:string,message:string>")})
     text = fused.groupBy("doc_id").agg(
         F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("page", "markdown"))), lambda x: x["markdown"]), lambda m: F.trim(m) != ""), "\n\n").alias("paged"),
         F.array_compact(F.array_sort(F.collect_list(F.when(F.col("needs_review"), F.col("page"))))).alias("needs_review"),
+        F.bool_or("replaced").alias("paged_out"),
     )
     scanned = F.col("pdf_type").isin("scanned", "image_based") & F.lit(opts.ocr == "off")
-    needs = F.struct(F.lit("needs_ocr").alias("code"), F.lit("the PDF is scanned").alias("message"), F.col("pages_needing_ocr").alias("pages"), F.col("page_count").alias("page_count"))
-    error = F.coalesce("error", F.when(scanned, needs))
-    paged = F.coalesce("cut", F.lit(False)) | F.lit(opts.ocr != "off")
-    md = F.when(error.isNotNull(), None).when((F.col("format") == "pdf") & paged, F.col("paged")).otherwise(F.col("whole"))
-    return out.join(text, "doc_id", "left").select("doc_id", md.alias("markdown"), "format", "page_count", "pages_needing_ocr", "ocr_reasons_by_page", "layout", "has_encoding_issues", "lost_content_pages", "needs_review", "pages_billed", error.alias("error"))
+    needs = F.struct(F.lit("needsOcr").alias("code"), F.lit("the PDF is scanned").alias("message"), F.col("pages_needing_ocr").alias("pages"), F.col("page_count").alias("page_count"))
+    unread = F.when(F.col("failed").isNotNull(), F.struct(F.col("failed.code").alias("code"), F.col("failed.message").alias("message"), F.col("pages_needing_ocr").alias("pages"), F.col("page_count").alias("page_count")))
+    error = F.coalesce("error", F.when(scanned, needs), unread)
+    # a healthy result makes the text that of its pages one after the other; else the document is converted as a whole
+    md = F.when(error.isNotNull(), None).when(F.col("paged_out"), F.col("paged")).otherwise(F.coalesce("rest", "whole"))
+    out = out.join(text, "doc_id", "left").join(_without(files, erased, opts), "doc_id", "left")
+    return out.select("doc_id", md.alias("markdown"), "format", "page_count", "pages_needing_ocr", "ocr_reasons_by_page", "layout", "has_encoding_issues", "lost_content_pages", "needs_review", "pages_billed", error.alias("error"))
 
 
 def extract_items(files: DataFrame) -> DataFrame:

@@ -77,14 +77,14 @@ def with_health(rows: DataFrame, markdown: str = "markdown", confidence: str = "
 
 
 def fuse(native: DataFrame, recognized: DataFrame, billed: DataFrame) -> DataFrame:
-    """Rows (doc_id, page, markdown, needs_review): a healthy result replaces the page's own text.
+    """Rows (doc_id, page, markdown, replaced, needs_review): a healthy result replaces the page's own text.
 
     A page that was to be read and wasn't, by a cap or since its result isn't healthy, needs review.
     """
     read = with_health(recognized.select("doc_id", "page", F.col("markdown").alias("ocr"), "confidence"), "ocr")
     rows = native.select("doc_id", "page", "markdown").join(billed.select("doc_id", "page", "billed"), ["doc_id", "page"], "left").join(read.select("doc_id", "page", "ocr", "healthy"), ["doc_id", "page"], "left")
     good = F.coalesce(F.col("billed") & F.col("healthy"), F.lit(False))
-    return rows.select("doc_id", "page", F.when(good, F.col("ocr")).otherwise(F.col("markdown")).alias("markdown"), (F.col("billed").isNotNull() & ~good).alias("needs_review"))
+    return rows.select("doc_id", "page", F.when(good, F.col("ocr")).otherwise(F.col("markdown")).alias("markdown"), good.alias("replaced"), (F.col("billed").isNotNull() & ~good).alias("needs_review"))
 
 
 def lines_confidence(lines: Column) -> Column:
@@ -93,6 +93,14 @@ def lines_confidence(lines: Column) -> Column:
     return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda s, c: s + c) / F.size(some)).otherwise(0.0)
 
 
+class OcrError(RuntimeError):
+    """A provider's failure, with one of the stable codes."""
+
+    def __init__(self, code: str, message: str):
+        super().__init__(message)
+        self.code = code
+
+
 class OcrProvider(Protocol):
     """Recognizes pages of one document; one object is made for each partition."""
 
@@ -125,7 +133,7 @@ class ProcessProvider:
         self.send({"type": "hello", "protocol": 1})
         hello = self.receive()
         if hello.get("type") != "hello":
-            raise OSError("the OCR program didn't say hello")
+            raise OcrError("ocrProtocol", "the OCR program didn't say hello")
         self.name, self.page_cost, self.ids = hello.get("name", "external"), float(hello.get("page_cost_usd", 0)), 0
 
     def send(self, message: dict) -> None:
@@ -138,8 +146,11 @@ class ProcessProvider:
             raise TimeoutError("the OCR program didn't answer")
         line = self.process.stdout.readline(256 << 20)
         if not line:
-            raise OSError("the OCR program ended")
-        return json.loads(line)
+            raise OcrError("ocrProtocol", "the OCR program ended")
+        try:
+            return json.loads(line)
+        except ValueError as e:
+            raise OcrError("ocrProtocol", f"the OCR program sent no JSON: {e}") from None
 
     def recognize(self, content: bytes, pages: list[int]) -> list[dict]:
         import base64
@@ -148,7 +159,7 @@ class ProcessProvider:
         self.send({"type": "recognize", "id": self.ids, "document": base64.b64encode(content).decode(), "pages": pages})
         got = self.receive()
         if got.get("type") == "error":
-            raise OSError(f"{got.get('code', 'ocr')}: {got.get('message', '')}")
+            raise OcrError("ocrUnavailable" if got.get("code") in ("missing_runtime", "missing_model") else "ocrProvider", f"{got.get('code', 'ocr')}: {got.get('message', '')}")
         return got.get("pages", [])
 
     def close(self) -> None:
@@ -156,7 +167,7 @@ class ProcessProvider:
         self.process.wait(10)
 
 
-PAGE_SCHEMA = "doc_id string, page int, markdown string, confidence double, error string"
+PAGE_SCHEMA = "doc_id string, page int, markdown string, confidence double, error struct<code:string,message:string>"
 
 
 def recognize(requests: DataFrame, make_provider: Callable[[], OcrProvider]) -> DataFrame:
@@ -178,7 +189,7 @@ def recognize(requests: DataFrame, make_provider: Callable[[], OcrProvider]) ->
                     for r in provider.recognize(bytes(content), [int(p) for p in pages]):
                         out.append((doc, r["page"], r.get("markdown", ""), float(r.get("confidence", 0)), None))
                 except (OSError, ValueError, KeyError, TypeError, TimeoutError, RuntimeError) as e:  # a document's failure is told in its row
-                    out.append((doc, None, None, None, f"{type(e).__name__}: {e}"))
+                    out.append((doc, None, None, None, {"code": getattr(e, "code", "ocrProvider"), "message": f"{type(e).__name__}: {e}"}))
             yield pd.DataFrame(out, columns=["doc_id", "page", "markdown", "confidence", "error"]).astype({"page": "Int32"})
         if hasattr(provider, "close"):
             provider.close()

@@ -464,7 +464,7 @@ FROM ({OWN}) n LEFT JOIN ({CAPPED_SQL.format(doc=3, run=10**9)}) b USING (doc_id
     "lineitem",
 )
 def _fuse(spark):
-    return ocr.fuse(spark.sql(OWN), spark.sql(READ), ocr.capped(spark.sql(ASKED), per_doc=3))
+    return ocr.fuse(spark.sql(OWN), spark.sql(READ), ocr.capped(spark.sql(ASKED), per_doc=3)).drop("replaced")
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folioforge.operators import convert, metrics
 from folioforge.plans.native_queries import counted, views
 from folioforge.session import prepare
-from folioforge.sources import fixtures
+from folioforge.sources import fixtures, opc
 
 #: Letters and single spaces only, so that neither escaping nor fonts come in.
 PLAIN = "trim(regexp_replace(regexp_replace({t}, '[^A-Za-z ]', ' '), ' +', ' '))"
@@ -109,7 +109,65 @@ def trip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.structural_counts(md, "conv_id", "markdown")
 
 
+def paged(parts: list[dict]) -> bytes:
+    """A PDF with a page of plain paragraphs for each part; every fourth page, by the document, is a scan."""
+    pages = [[(f"Turn {n}", 20.0), *((f"{w} words by {p['role']} stand under turn {chr(96 + n)} " * 8, 11.0) for w in ("First", "Second"))] for n, p in enumerate(parts, 1)]
+    return fixtures.pdf(pages, scans=tuple(n for n in range(1, len(parts) + 1) if (parts[0]["conv_id"] + n) % 4 == 2))
+
+
+class PageProvider:
+    """Reads any page, page 5 of a document never, each third page badly."""
+
+    name, page_cost = "pages", 0.004
+
+    def recognize(self, content: bytes, pages: list[int]) -> list[dict]:
+        if 5 in pages:
+            raise OSError("page 5 can't be read")
+        return [{"page": p, "markdown": f"Read page {p}", "confidence": 0.3 if p % 3 == 0 else 0.9} for p in pages]
+
+
+def convert_pdf_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed PDFs through convert(): routing, one billed page a document, failures, health, fusion and review."""
+    views(spark, sf_dir, "conversations")
+    rows = spark.sql("SELECT conv_id AS doc_id, array_sort(collect_list(struct(turn, conv_id, role))) AS parts FROM conversations GROUP BY conv_id")
+    out = convert.convert(made(rows, paged, "pdf"), convert.Options(ocr="auto", per_doc=1), PageProvider)
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    reasons = F.array_join(F.flatten(F.map_values("ocr_reasons_by_page")), ",")
+    return out.select(F.col("doc_id").cast("long").alias("conv_id"), "format", "page_count", listed("pages_needing_ocr").alias("needing"), reasons.alias("reasons"), listed("needs_review").alias("review"), "pages_billed", F.md5("markdown").alias("md"), F.col("error.code").alias("error"))
+
+
+def convert_office(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word files and presentations of all conversations through convert(), formats by content alone."""
+    views(spark, sf_dir, "conversations")
+    files = None
+    for k in ("docx", "pptx"):
+        df = conversations(spark, k).select(F.concat(F.lit(f"{k} "), "doc_id").alias("doc_id"), F.lit("x").alias("path"), "content")
+        files = df if files is None else files.union(df)
+    out = convert.convert(files)
+    return out.select(F.element_at(F.split("doc_id", " "), 2).cast("long").alias("conv_id"), "format", F.md5("markdown").alias("md"), F.col("error.code").alias("error"), "page_count", "pages_billed")
+
+
+def broken(parts: list[dict]) -> bytes:
+    """A file that can't be converted, each document in its own way; one of eight is whole."""
+    key = parts[0]["conv_id"]
+    good = fixtures.docx([("p", "Whole")])
+    ole = opc.OLE + bytes(120)
+    ways = (good, b"{\\rtf1 words}", ole + "EncryptedPackage".encode("utf-16-le") + bytes(300), good[: len(good) // 2], b"%PDF-1.4\nnothing more", b"PK\x03\x04 junk", b"plain words", b"")
+    return ways[key % 8]
+
+
+def convert_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that can't be converted: each has its error's code in its row."""
+    views(spark, sf_dir, "conversations")
+    rows = spark.sql("SELECT conv_id AS doc_id, collect_list(struct(conv_id)) AS parts FROM (SELECT DISTINCT conv_id FROM conversations) GROUP BY conv_id")
+    out = convert.convert(made(rows, broken, "bin"))
+    return out.select(F.col("doc_id").cast("long").alias("conv_id"), "markdown", F.col("error.code").alias("error"))
+
+
 QUERIES = {
+    "convert_pdf_ocr": convert_pdf_ocr,
+    "convert_office": convert_office,
+    "convert_errors": convert_errors,
     "round_trip_xlsx": round_trip_xlsx,
     "round_trip_docx": _trip("docx"),
     "round_trip_pptx": _trip("pptx"),
@@ -124,7 +182,29 @@ _rows = f"SELECT conv_id, turn, role, {PLAIN_SQL.format(t='text')} AS t FROM con
 _rows = f"SELECT * FROM ({_rows}) WHERE t <> ''"
 _of = lambda body, sep="chr(10) || chr(10)": f"SELECT conv_id, md5(string_agg({body}, {sep} ORDER BY turn, role, t) || chr(10)) AS md FROM ({_rows}) GROUP BY conv_id"
 
+_para = lambda w: f"rtrim(repeat('{w} words by ' || role || ' stand under turn ' || chr(96 + p) || ' ', 8))"
+_page = f"'# Turn ' || p || chr(10) || chr(10) || {_para('First')} || chr(10) || chr(10) || {_para('Second')}"
+_paged = """WITH c AS (SELECT *, (conv_id + p) % 4 = 2 AS scan FROM (SELECT conv_id, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS INT) AS p FROM conversations)),
+d AS (SELECT conv_id, count(*) AS n, min(p) FILTER (WHERE scan) AS asked FROM c GROUP BY conv_id)"""
+
 ORACLE = {
+    "convert_pdf_ocr": f"""{_paged}
+SELECT conv_id, 'pdf' AS format, CAST(any_value(n) AS INTEGER) AS page_count, string_agg(p::VARCHAR, ',' ORDER BY p) FILTER (WHERE scan) AS needing, string_agg('scanned', ',') FILTER (WHERE scan) AS reasons,
+ coalesce(string_agg(p::VARCHAR, ',' ORDER BY p) FILTER (WHERE scan AND (p <> asked OR asked = 5 OR asked % 3 = 0)), '') AS review,
+ CASE WHEN any_value(asked) = 5 THEN 0 WHEN any_value(asked) IS NOT NULL THEN 1 END::BIGINT AS pages_billed,
+ md5(CASE WHEN any_value(asked) = 5 THEN NULL
+  WHEN any_value(asked) % 3 > 0 THEN string_agg(CASE WHEN p = asked THEN 'Read page ' || p ELSE {_page} || chr(10) END, chr(10) || chr(10) ORDER BY p) FILTER (WHERE p = asked OR NOT scan)
+  ELSE string_agg({_page}, chr(10) || chr(10) ORDER BY p) FILTER (WHERE NOT scan) || chr(10) END) AS md,
+ CASE WHEN any_value(asked) = 5 THEN 'ocrProvider' END AS error
+FROM c JOIN d USING (conv_id) GROUP BY conv_id""",
+    "convert_office": " UNION ALL ".join(
+        f"SELECT conv_id, '{k}' AS format, md, NULL::VARCHAR AS error, NULL::INTEGER AS page_count, NULL::BIGINT AS pages_billed FROM ({_of(body)})"
+        for k, body in (
+            ("docx", "'## Turn ' || turn || chr(10) || chr(10) || t || chr(10) || chr(10) || '- ' || role || chr(10) || chr(10) || '| Role | Turn |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || role || ' | ' || turn || ' |'"),
+            ("pptx", "'## Turn ' || turn || chr(10) || chr(10) || '- ' || role || chr(10) || '- ' || t || chr(10) || chr(10) || '> Said by ' || role"),
+        )
+    ),
+    "convert_errors": "SELECT DISTINCT conv_id, CASE WHEN conv_id % 8 = 0 THEN 'Whole' || chr(10) END AS markdown, ['unsupported', 'encrypted', 'unsupported', 'malformed', 'unsupported', 'unsupported', 'unsupported'][conv_id % 8] AS error FROM conversations",
     "round_trip_xlsx": """SELECT CAST(c_nationkey AS BIGINT) AS nation, md5('## Customers' || chr(10) || chr(10) || '| Key | Name | Balance |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
  string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || format('{:,.2f}', c_acctbal) || ' |', chr(10) ORDER BY c_custkey) || chr(10)) AS md FROM customer GROUP BY c_nationkey""",
     "round_trip_docx": _of("'## Turn ' || turn || chr(10) || chr(10) || t || chr(10) || chr(10) || '- ' || role || chr(10) || chr(10) || '| Role | Turn |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || role || ' | ' || turn || ' |'"),

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 #: Codes of errors and the exit codes of the command line (fixed values).
-EXIT_CODES = {"usage": 1, "unsupported": 2, "malformed": 3, "encrypted": 3, "resource_limit": 3, "needs_ocr": 4, "ocr_failed": 5, "ocr_auth": 5, "ocr_rate_limited": 5, "canceled": 1, "io": 1, "missing_part": 3, "internal": 1}
+EXIT_CODES = {
+    "usage": 1, "unsupported": 2, "needsOcr": 3, "malformed": 4, "encrypted": 4, "resourceLimit": 4, "missingPart": 4, "io": 4,
+    "ocrAuth": 4, "ocrRateLimited": 4, "ocrProvider": 4, "canceled": 4, "ocrUnavailable": 5, "ocrProtocol": 5,
+}
 
 
 class DocumentError(Exception):
@@ -17,4 +20,4 @@ class DocumentError(Exception):
 
 def is_fatal(code: str) -> bool:
     """Whether the whole document fails, and not only the part where it happened."""
-    return code == "resource_limit"
+    return code == "resourceLimit"

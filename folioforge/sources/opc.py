@@ -59,7 +59,7 @@ class Package:
         except (zipfile.BadZipFile, struct.error, ValueError, EOFError, NotImplementedError) as e:
             raise DocumentError("malformed", f"the archive can't be opened: {e}") from e
         if len(infos) > ENTRIES:
-            raise DocumentError("resource_limit", "the archive has too many entries")
+            raise DocumentError("resourceLimit", "the archive has too many entries")
         self.names: dict[str, zipfile.ZipInfo] = {}
         for i in infos:
             self.names.setdefault(i.filename.replace("\\", "/").lstrip("/").lower(), i)
@@ -75,7 +75,7 @@ class Package:
         if key in self.cache:
             return self.cache[key]
         if key not in self.names:
-            raise DocumentError("missing_part", f"no part {part}")
+            raise DocumentError("missingPart", f"no part {part}")
         try:
             with self.zip.open(self.names[key]) as f:
                 data = f.read(PART_BYTES + 1)
@@ -83,7 +83,7 @@ class Package:
             raise DocumentError("malformed", f"part {part} can't be read: {e}") from e
         self.total += len(data)
         if len(data) > PART_BYTES or self.total > TOTAL_BYTES:
-            raise DocumentError("resource_limit", "the package is too large")
+            raise DocumentError("resourceLimit", "the package is too large")
         self.cache[key] = data
         return data
 
@@ -98,7 +98,7 @@ class Package:
             try:
                 self.trees[part] = self.tree(part)
             except DocumentError as e:
-                if e.code == "resource_limit":
+                if e.code == "resourceLimit":
                     raise
                 self.trees[part] = None
         return self.trees[part]
@@ -138,7 +138,7 @@ class Package:
         try:
             part = self.main_part()
         except DocumentError as e:
-            if e.code == "resource_limit":
+            if e.code == "resourceLimit":
                 raise
             return None
         if part.split("/")[0].lower() in FOLDERS and "/" in part:

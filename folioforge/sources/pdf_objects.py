@@ -341,7 +341,7 @@ class Pdf:
                 except zlib.error:
                     out = self.salvage(data, most)
                 if z.unconsumed_tail:
-                    raise DocumentError("resource_limit", "a stream is too large")
+                    raise DocumentError("resourceLimit", "a stream is too large")
                 data = self.unpredict(out, p)
             elif f in ("ASCIIHexDecode", "AHx"):
                 digits = re.sub(rb"[^0-9A-Fa-f]", b"", data.split(b">")[0])
@@ -491,7 +491,7 @@ def operations(data: bytes, most: int = OPERANDS):
             continue
         n += 1
         if n > most:
-            raise DocumentError("resource_limit", "a page has too many operators")
+            raise DocumentError("resourceLimit", "a page has too many operators")
         if v == b"BI":
             image: dict = {}
             while True:

@@ -527,7 +527,7 @@ def read_pages(pdf: Pdf) -> list[Page]:
         try:
             out.append(run.run())
         except (ValueError, TypeError, IndexError, KeyError, OverflowError, RecursionError, DocumentError) as e:
-            if isinstance(e, DocumentError) and e.code == "resource_limit":
+            if isinstance(e, DocumentError) and e.code == "resourceLimit":
                 raise
             run.out.lost = True
             run.out.evidence = run.evidence()

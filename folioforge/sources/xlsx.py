@@ -166,7 +166,7 @@ class Workbook:
         rows = [r for r in range(r0, r1 + 1) if r not in hidden_rows]
         cols = [c for c in range(c0, c1 + 1) if not hidden(c)]
         if len(rows) * len(cols) > SLOTS:
-            raise DocumentError("resource_limit", "the sheet's grid is too large")
+            raise DocumentError("resourceLimit", "the sheet's grid is too large")
         covered, spans = {}, {}
         for a, b, c, d in merges:
             own_r, own_c = [r for r in rows if a <= r <= c], [x for x in cols if b <= x <= d]
@@ -205,7 +205,7 @@ def parse(data: bytes) -> dict:
         try:
             grid = book.table(book.package.tree(part))
         except DocumentError as e:
-            if e.code == "resource_limit":
+            if e.code == "resourceLimit":
                 raise
             failed = e
             tried -= 1

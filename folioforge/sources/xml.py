@@ -83,7 +83,7 @@ def decode(data: bytes) -> str:
 
 
 def parse(data: bytes) -> Element:
-    """The root element. Raises malformed where there is none and resource_limit beyond DEPTH or NODES."""
+    """The root element. Raises malformed where there is none and resourceLimit beyond DEPTH or NODES."""
     text, count = decode(data), 0
     top = Element("", "")
     stack, spaces = [top], [{"": "", "xml": "http://www.w3.org/XML/1998/namespace"}]
@@ -103,7 +103,7 @@ def parse(data: bytes) -> Element:
         elif m["start"] is not None:
             count += 1
             if count > NODES or len(stack) > DEPTH:
-                raise DocumentError("resource_limit", "the XML is too large or too deep")
+                raise DocumentError("resourceLimit", "the XML is too large or too deep")
             own, pairs = spaces[-1], []
             for name, a, b in ATTR.findall(m["attrs"]):
                 value = a or b

@@ -47,7 +47,7 @@ def test_pdf_repair_and_hostile_input():
     assert "Hello there friend" in shown(good.replace(b"startxref", b"startxxxx"))
     assert "Hello there friend" in shown(b"junk before\n" + good)
     for bad in (b"%PDF-1.4\n", b"%PDF-1.4\n1 0 obj\n" + b"[" * 500 + b"\nendobj", good[: len(good) // 3]):
-        assert decode_one(bad, "x.pdf", Options())["error"]["code"] in ("malformed", "resource_limit")
+        assert decode_one(bad, "x.pdf", Options())["error"]["code"] in ("malformed", "resourceLimit")
     cycle = good.replace(b"/Type /Page /Parent", b"/Type /Pages /Kids [2 0 R] /Parent")
     assert decode_one(cycle, "x.pdf", Options())["error"]["code"] == "malformed"
 
@@ -89,7 +89,7 @@ def test_routing_fixtures(spark):
     assert got["scan"].pdf_type == "scanned" and got["scan"].pages_needing_ocr == [1, 2, 3, 4]
     assert got["mixed"].pdf_type in ("text_based", "mixed") and len(got["mixed"].pages_needing_ocr) <= 2
     out = {r.doc_id: r for r in convert.convert(files).collect()}
-    assert out["scan"].error.code == "needs_ocr" and out["scan"].markdown is None
+    assert out["scan"].error.code == "needsOcr" and out["scan"].markdown is None
     assert "Words to be read" in out["text"].markdown
 
 
