@@ -26,24 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.llm import license_texts
 from folioforge.llm.common import WORD_BYTES, prepare, table, texts_of
 
 #: Phrase and label.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-#: Notices in common use, and labels.
-TEMPLATES = (
-    ("this work is licensed under the gnu general public license version", "gpl-notice"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl-notice"),
-    ("licensed under the apache license version 2 0", "apache-notice"),
-    ("by nc 4 0", "cc-by-nc"),
-    ("by sa 4 0", "cc-by-sa"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-notice"),
-    ("released under the mit license", "mit-notice"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit-text"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd-text"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-notice"),
-    ("all rights reserved", "all-rights-reserved"),
-)
+#: Notices and texts of licences, and labels.
+TEMPLATES = tuple((text, label) for label, text in (*license_texts.NOTICES, *license_texts.TEXTS))
+#: Words of all templates and phrases together, which every task holds; a larger table is refused.
+MOST_WORDS = 2_000_000
 THRESHOLD = 0.8
 #: A block has this many times a template's words.
 SPAN = 1.25
@@ -89,14 +80,18 @@ class Scanner:
         self.counts = [Counter(self.rank[w] for w in t.words) for t in self.templates]
         self.starters = set(self.prefixes)
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], dict[int, float]]:
-        """Phrases' places as (template, first word), and the best containment of each template that is met."""
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, float]]]:
+        """Phrases' places as (template, first word), and blocks as (template, first word, last word, containment).
+
+        Windows of a template's span that meet its threshold and overlap are one block; its
+        containment is the best of theirs.
+        """
         ranks = list(map(self.rank.get, words))
         hits = [(at, r) for at, r in enumerate(ranks) if r is not None]
-        places: set[tuple[int, int]] = set()
-        met: dict[int, float] = {}
         if not hits:
-            return [], met
+            return [], []
+        places: set[tuple[int, int]] = set()
+        near: dict[int, list[list[int]]] = {}  # a template's stretches of words around the tokens of its prefix
         at = np.fromiter((h[0] for h in hits), np.int64, len(hits))
         rank = np.fromiter((h[1] for h in hits), np.int64, len(hits))
         for k in np.flatnonzero(np.isin(rank, list(self.starters))).tolist():
@@ -115,16 +110,20 @@ class Scanner:
                 # positional filter: if this is the first common token in the order, all common ones are at or after it
                 if min(after, int((rank[low:high] >= token).sum())) < t.need:
                     continue
-                best = self._best(i, at[low:high], rank[low:high])
-                if best >= t.need:
-                    met[i] = max(met.get(i, 0.0), best / len(t.words))
-        return sorted(places, key=lambda x: x[1]), met
-
-    def _best(self, i: int, at: np.ndarray, rank: np.ndarray) -> int:
-        """The most tokens of the template that a window of its span has, among these places."""
+                stretches = near.setdefault(i, [])
+                if stretches and low <= stretches[-1][1]:
+                    stretches[-1][1] = max(stretches[-1][1], int(high))
+                else:
+                    stretches.append([int(low), int(high)])
+        blocks = [(i, *b) for i, stretches in near.items() for low, high in stretches for b in self._blocks(i, at[low:high], rank[low:high])]
+        return sorted(places, key=lambda x: x[1]), sorted(blocks, key=lambda b: (b[1], b[2], b[0]))
+
+    def _blocks(self, i: int, at: np.ndarray, rank: np.ndarray) -> list[tuple[int, int, float]]:
+        """(first word, last word, containment) of the blocks among these places of tokens."""
         t, want = self.templates[i], self.counts[i]
         have: Counter = Counter()
-        both = best = first = 0
+        both = first = 0
+        out: list[list] = []
         for k in range(len(at)):
             r = int(rank[k])
             have[r] += 1
@@ -134,8 +133,19 @@ class Scanner:
                 both -= have[q] <= want.get(q, 0)
                 have[q] -= 1
                 first += 1
-            best = max(best, both)
-        return best
+            if both < t.need:
+                continue
+            # tokens before the first that the template has aren't the block's
+            start = first
+            while want.get(int(rank[start]), 0) == 0:
+                start += 1
+            if want.get(r, 0) == 0:
+                continue  # nor are those after its last
+            if out and at[start] <= out[-1][1]:
+                out[-1][1], out[-1][2] = int(at[k]), max(out[-1][2], both / len(t.words))
+            else:
+                out.append([int(at[start]), int(at[k]), both / len(t.words)])
+        return [tuple(b) for b in out]
 
 
 def _frequencies(vocabulary: frozenset):
@@ -156,33 +166,57 @@ def _scan(shared):
             out = []
             for text in texts_of(batch.column("text")):
                 words = words_of(text)
-                places, met = scanner.scan(words)
+                places, blocks = scanner.scan(words)
                 base = sorted({scanner.templates[i].label for i, _ in places})
-                labels = sorted({*base, *(scanner.templates[i].label for i in met)})
-                score = 1.0 if places else max(met.values(), default=0.0)
-                out.append((len(words), len(places), places[0][1] if places else None, places[-1][1] if places else None, ",".join(base), ",".join(labels), score))
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+                told = [{"label": scanner.templates[i].label, "first_word": a, "last_word": b, "containment": c} for i, a, b, c in blocks]
+                out.append((len(words), [{"label": scanner.templates[i].label, "first_word": a} for i, a in places], base, sorted({*base, *(b["label"] for b in told)}), told))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, KINDS, strict=True))], names=["id", "n_words", "places", "base_labels", "labels", "blocks"])
 
     return run
 
 
+FIELDS = "id long, n_words long, places array<struct<label:string,first_word:long>>, base_labels array<string>, labels array<string>, blocks array<struct<label:string,first_word:long,last_word:long,containment:double>>"
+_PLACE = [("label", pa.string()), ("first_word", pa.int64())]
+KINDS = [pa.int64(), pa.list_(pa.struct(_PLACE)), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.struct([*_PLACE, ("last_word", pa.int64()), ("containment", pa.float64())]))]
+
+
+def template_rows(templates) -> list[tuple[str, str]]:
+    """(text, label) rows of a table with such columns, or as they are given; a table of over MOST_WORDS words is refused."""
+    if isinstance(templates, DataFrame):
+        size = templates.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
+        if size > MOST_WORDS:
+            raise ValueError(f"templates: {size} words; at most {MOST_WORDS}")
+        templates = [(r.text, r.label) for r in templates.where("text is not null and label is not null").select("text", "label").collect()]
+    if sum(len(text) for text, _ in templates) > 8 * MOST_WORDS:
+        raise ValueError(f"templates: at most {MOST_WORDS} words")
+    return list(templates)
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of docs: id, n_words, n_base (places of phrases), first_word, last_word, base_labels, labels, score.
+    """FIELDS, one row for each row of docs: where phrases stand, and every block that a template's threshold is met in.
 
-    score is 1 where a phrase stands, else the best containment of a template that is met,
-    else 0. Null text counts as empty: no words, no labels, empty strings; rows that repeat
-    stay; a null id stays null. Two phrases at one place are two places.
+    templates: (text, label) rows, or a table with these columns. A block is given by its
+    first and last words that the template has, counted from 0; several of one template in a
+    text are several blocks. Null text counts as empty: no words, no labels, no blocks; rows
+    that repeat stay; a null id stays null; other columns are not looked at; no rows give no
+    rows. Two phrases at one place are two places.
     """
     spark: SparkSession = prepare(docs.sparkSession)
+    phrases, templates = template_rows(phrases), template_rows(templates)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     vocabulary = frozenset(w for p, _ in (*phrases, *templates) for w in words_of(p.encode()))
     counted = slim.select("text").mapInArrow(_frequencies(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     frequency = {bytes(r.word): r.n for r in counted.collect()}  # the templates' words only
     shared = spark.sparkContext.broadcast(Scanner(phrases, templates, threshold, frequency))
-    return slim.mapInArrow(_scan(shared), "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return slim.mapInArrow(_scan(shared), FIELDS)
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    """score is 1 where a phrase stands, else the best containment of a block, else 0."""
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform("blocks", lambda b: b["containment"]))
+    return out.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.first_word").alias("first_word"), F.array_max("places.first_word").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"), "blocks",
+    )

@@ -582,10 +582,32 @@ def test_licenses_against_brute_force(spark, words):
     for i, t in enumerate(texts, 1):
         w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower())
         places = sorted((k, label) for p, label in licenses.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
-        assert (got[i].n_words, got[i].n_base) == (len(w), len(places))
-        assert got[i].first_word == (places[0][0] if places else None) and got[i].last_word == (places[-1][0] if places else None)
-        assert got[i].base_labels == ",".join(sorted({x for _, x in places}))
-    assert "gpl-notice" in got[6].labels and got[6].score >= 0.8 and got[7].labels == "" and got[7].score == 0
+        assert got[i].n_words == len(w) and sorted((x.first_word, x.label) for x in got[i].places) == places
+        assert got[i].base_labels == sorted({x for _, x in places})
+    assert "gpl-notice" in got[6].labels and max(b.containment for b in got[6].blocks) >= 0.8 and not got[7].labels and not got[7].blocks
+    assert licenses.scan_licenses(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_license_blocks_have_their_places(spark, words):
+    """Texts of licences with some words changed: every one is a block with its label, at its place."""
+    from folioforge.llm import license_texts
+
+    rng, texts, want = random.Random(14), [], []
+    for label, text in license_texts.TEXTS:
+        own = [x.decode() for x in licenses.words_of(text.encode())]
+        for k in rng.sample(range(len(own)), len(own) // 12):
+            own[k] = "zzz"
+        lead, gap = words(rng.randint(0, 60), len(texts)).split(), words(200, 50 + len(texts)).split()
+        texts.append(" ".join([*lead, *own, *gap, *own]))
+        kept = [k for k, x in enumerate(own) if x != "zzz"]
+        want.append((label, [(len(lead) + at + kept[0], len(lead) + at + kept[-1]) for at in (0, len(own) + len(gap))]))
+    got = {r.id: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    for i, (label, spans) in enumerate(want, 1):
+        mine = [(b.first_word, b.last_word) for b in got[i].blocks if b.label == label]
+        assert all(any(a <= x + 3 and b >= y - 3 for a, b in mine) for x, y in spans), (label, mine, spans)
+    rows = spark.createDataFrame([("one two three four five", "own"), (None, "x")], "text string, label string")
+    r = licenses.scan_licenses(frame(spark, ["a one two three zzz five b"]), templates=rows).first()
+    assert [(b.label, b.first_word, b.last_word, b.containment) for b in r.blocks] == [("own", 1, 5, 0.8)]
 
 
 def test_license_windows_against_all_windows(words):
@@ -603,7 +625,9 @@ def test_license_windows_against_all_windows(words):
         for a in range(len(data)):
             window = data[a : a + t.span]
             best = max(best, sum(min(window.count(x), t.words.count(x)) for x in set(t.words)))
-        assert (scanner.scan(data)[1].get(k, 0) * len(t.words) >= t.need - 1e-9) == (best >= t.need)
+        blocks = [b for b in scanner.scan(data)[1] if b[0] == k]
+        assert bool(blocks) == (best >= t.need)
+        assert not blocks or max(b[3] for b in blocks) == pytest.approx(best / len(t.words))
 
 
 # --- 10 -------------------------------------------------------------------------------
