@@ -2,13 +2,14 @@
 
 Writing: equal payloads are found by their SHA-1 digest (an aggregate of digests; no payload
 moves for it). The smallest id of a digest is the response, all others are revisits without a
-payload. Each record is one gzip member; members follow each other in archives of about
-ARCHIVE_BYTES. Archives are a table of numbered parts in the shared folder, written by Spark's
-committer, so that a lost executor or a task run twice leaves no broken archive; put_files()
-makes .warc.gz files of them.
-
-Reading: archives are read from their first byte to their last. Members are inflated piece by
-piece, records are framed by their Content-Length, and each payload's digest is checked.
+payload. A bitmap of the revisits' ids leaves all other payloads where they are. Each record
+is one gzip member; members follow each other in archives of about ARCHIVE_BYTES. Archives are
+the rows of a table in the shared folder, written by Spark's committer, so that a lost executor
+or a task run twice leaves no broken archive; put_files() makes .warc.gz files of them.
+
+Reading: archives are read where they lie, from their first byte to their last. Members are
+inflated piece by piece, records are framed by their Content-Length, and each payload's digest
+is checked.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import new_table, prepare, table
+from folioforge.llm.common import cut, maybe_in, new_table, prepare, table
 
-ARCHIVE_BYTES, PART_BYTES, INFLATE_BYTES = 16 << 20, 1 << 20, 1 << 18
+ARCHIVE_BYTES, INFLATE_BYTES, ROW_GROUP_BYTES = 8 << 20, 1 << 18, 32 << 20
 LEVEL = 5
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -177,17 +178,14 @@ def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def _archives(batches):
-    """Rows (id, uri, payload, digest, first) -> parts of archives. A digest is there for revisits only."""
+    """Rows (id, uri, payload, digest, first) -> archives. A digest is there for revisits only."""
     import uuid
 
-    buffer, total, part, name = bytearray(), 0, 0, ""
-    schema = pa.schema([("archive", pa.string()), ("part", pa.int32()), ("bytes", pa.binary())])
+    buffer = bytearray()
 
     def out():
-        nonlocal part
-        made = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([bytes(buffer)], pa.binary())], schema=schema)
+        made = pa.RecordBatch.from_arrays([pa.array([f"part-{uuid.uuid4().hex}.warc.gz"]), pa.array([bytes(buffer)], pa.binary())], names=["archive", "bytes"])
         buffer.clear()
-        part += 1
         return made
 
     for b in batches:
@@ -197,18 +195,9 @@ def _archives(batches):
             headers = [("X-Page-Id", "" if row["id"] is None else str(row["id"])), ("X-Payload-Length", str(len(payload)))]
             if kind == "revisit":
                 headers.append(("WARC-Refers-To-Page-Id", str(row["first"])))
-            if not name:
-                name = f"part-{uuid.uuid4().hex}.warc.gz"
-            data = member(record(kind, row["uri"] or "", payload, row["digest"] or digest_of(payload), headers))
-            for a in range(0, len(data), PART_BYTES):
-                piece = data[a : a + PART_BYTES]
-                if buffer and len(buffer) + len(piece) > PART_BYTES:
-                    yield out()
-                buffer += piece
-            total += len(data)
-            if total >= ARCHIVE_BYTES:
+            buffer += member(record(kind, row["uri"] or "", payload, row["digest"] or digest_of(payload), headers))
+            if len(buffer) >= ARCHIVE_BYTES:
                 yield out()
-                total, part, name = 0, 0, ""
     if buffer:
         yield out()
 
@@ -218,15 +207,21 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
 
     Null payloads are empty payloads, null addresses empty ones; rows that repeat give a
     record each; of rows with equal payloads and ids, all with the smallest id are responses.
-    Payloads of under least_bytes are always responses.
+    Payloads of under least_bytes are always responses; a null id's page is a revisit where a
+    page with an id has its payload; no rows give an empty table; other columns are not looked
+    at.
     """
     prepare(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).alias("uri"), F.col(payload_col).cast("binary").alias("payload"))
-    again = roles(rows.select("id", "payload"), least_bytes).withColumnRenamed("id", "__id")
+    again = cut(roles(rows.select("id", "payload"), least_bytes))
+    told = rows.withColumn("maybe", maybe_in(again.select("id")).column(F.col("id")))
+    fields = ["id", "uri", "payload", "digest", "first"]
+    sure = told.where("not maybe").select("id", "uri", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"))
     # a null id could stand for several payloads, so that the digest is compared as well
-    told = rows.join(again, F.col("id").eqNullSafe(F.col("__id")) & (_base32_sha1(F.col("payload")) == F.col("digest")), "left")
-    parts = told.select("id", "uri", "payload", "digest", "first").mapInArrow(_archives, "archive string, part int, bytes binary")
-    parts.write.option("compression", "none").parquet(path)
+    other = again.withColumnRenamed("id", "own_id")
+    rest = told.where("maybe").join(other, F.col("id").eqNullSafe(F.col("own_id")) & (_base32_sha1(F.col("payload")) == F.col("digest")), "left")
+    archives = sure.select(*fields).union(rest.select(*fields)).mapInArrow(_archives, "archive string, bytes binary")
+    archives.write.option("compression", "none").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return path
 
 
@@ -245,21 +240,12 @@ RECORDS = "archive string, type string, uri string, page_id long, payload_length
 
 
 def _read_parts(batches):
-    """Rows (archive, part, bytes), each archive's rows together and in order -> RECORDS."""
-    rows = ((a, d) for b in batches for a, d in zip(b.column("archive").to_pylist(), b.column("bytes").to_pylist(), strict=True))
-    ahead = next(rows, None)
+    """Rows (archive, bytes), an archive each -> RECORDS."""
     schema = pa.schema([("archive", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("page_id", pa.int64()), ("payload_length", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("sound", pa.bool_())])
     held, size = [], 0
-    while ahead is not None:
-        name = ahead[0]
-
-        def chunks(name=name):
-            nonlocal ahead
-            while ahead is not None and ahead[0] == name:
-                yield ahead[1]
-                ahead = next(rows, None)
-
-        for r in read_records(chunks()):
+    for name, data in ((a.as_py(), d.as_buffer()) for b in batches for a, d in zip(b.column("archive"), b.column("bytes"), strict=True)):
+        view = memoryview(data)
+        for r in read_records(bytes(view[i : i + INFLATE_BYTES]) for i in range(0, len(view), INFLATE_BYTES)):
             h, payload = r.headers, r.payload
             number = lambda k, h=h: int(h[k]) if h.get(k, "").lstrip("-").isdigit() else None
             revisit = h.get("warc-type") == "revisit"
@@ -275,27 +261,25 @@ def _read_parts(batches):
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """RECORDS of the archive table at path. A record whose digests are wrong has sound = false; bad framing fails the job."""
-    parts = prepare(spark).read.parquet(path)
-    return parts.repartition("archive").sortWithinPartitions("archive", "part").mapInArrow(_read_parts, RECORDS)
+    return prepare(spark).read.schema("archive string, bytes binary").parquet(path).mapInArrow(_read_parts, RECORDS)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """RECORDS of .warc and .warc.gz files, of any store that Spark reads; a file at a time in a task."""
     files = prepare(spark).read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
-    return files.select(F.col("path").alias("archive"), F.lit(0).alias("part"), F.col("content").alias("bytes")).mapInArrow(_read_parts, RECORDS)
+    return files.select(F.col("path").alias("archive"), F.col("content").alias("bytes")).mapInArrow(_read_parts, RECORDS)
 
 
 def put_files(spark: SparkSession, path: str, folder: str) -> int:
-    """Makes .warc.gz files, in a folder of the driver's, of the archive table at path; returns how many."""
+    """Makes .warc.gz files, in a folder of the driver's, of the archive table at path, one at a time; returns how many."""
     import os
 
-    parts = spark.read.parquet(path).repartitionByRange("archive").sortWithinPartitions("archive", "part")
-    names: set[str] = set()
-    for row in parts.toLocalIterator():
-        with open(os.path.join(folder, row.archive), "ab" if row.archive in names else "wb") as f:
+    n = 0
+    for row in spark.read.schema("archive string, bytes binary").parquet(path).toLocalIterator():
+        with open(os.path.join(folder, row.archive), "wb") as f:
             f.write(row.bytes)
-        names.add(row.archive)
-    return len(names)
+        n += 1
+    return n
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
