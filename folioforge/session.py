@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 #: Rows in an Arrow batch. Rows may carry whole files or very long texts, so batches are small.
-BATCH_ROWS = "512"
+BATCH_ROWS, BATCH_BYTES = "512", "16m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -24,6 +24,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     workers need no installed copy.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_folioforge_shipped", None) is None:
         folder = tempfile.mkdtemp(prefix="folioforge-")
