@@ -242,7 +242,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """Rows (id, ids), one for each row of docs: the text's token ids in decimal, joined by commas.
 
     Null text counts as empty and gives an empty string; rows that repeat stay; a null id
-    stays null. The text is encoded whole; special tokens' strings are ordinary text.
+    stays null; other columns are not looked at; no rows give no rows. The text is encoded
+    whole; special tokens' strings are ordinary text. A vocabulary must have every single byte
+    that a text has; else the job fails with a KeyError of that byte.
     """
     spark = prepare(docs.sparkSession)
 
@@ -266,7 +268,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_tokens, ids, decoded): encode() and decode() in one pass over the texts."""
+    """Rows (id, n_tokens, ids, decoded): encode() and decode() in one pass over the texts, with the same results for nulls, repeats and empty tables."""
     spark = prepare(docs.sparkSession)
 
     def run(pairs, batch):

@@ -263,7 +263,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if similarity < 0.8:
         raise ValueError("similarity: 0.8 at least")
     prepare(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     rows = cut(slim.mapInArrow(_rows(words, _most_short(similarity)), "id long, mark long, node long, size int, fp binary, short array<long>"))
     told = cut(rows.where("fp IS NOT NULL").select("node", "size", "fp", "short").dropDuplicates(["node"]))
     long = told.where(F.col("size") > SHORT)

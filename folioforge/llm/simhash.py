@@ -232,7 +232,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     smallest, so that component_id is null only where a component has null ids alone.
     """
     prepare(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     rows = cut(slim.mapInArrow(_fingerprints(words), "id long, mark long, fp long"))
     classes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected(link_edges(classes.select("fp"), max_bits))
@@ -256,7 +256,7 @@ def keep_least(docs: DataFrame, components: DataFrame, id_col: str, text_col: st
     flag, key, nth, mark, own = (free_name(docs, x) for x in ("doubtful", "stay", "nth", "mark", "own_mark"))
     told = docs.withColumn(flag, maybe.column(docs[id_col].cast("long")))
     stay = components.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(key), F.col("mark").alias(mark)).distinct()
-    asked = told.where(F.col(flag)).withColumn(own, F.xxhash64(text_col))
+    asked = told.where(F.col(flag)).withColumn(own, F.xxhash64(F.coalesce(text_col, F.lit(""))))
     kept = asked.join(stay, asked[id_col].cast("long").eqNullSafe(stay[key]) & (asked[own] == stay[mark]), "left_semi")
     same = Window.partitionBy(F.col(id_col), F.col(own)).orderBy(F.lit(1))
     once = kept.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1)
