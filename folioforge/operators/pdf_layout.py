@@ -144,7 +144,7 @@ class Region:
         if not any(any(r) for r in self.cells):
             return ""
         line = lambda r: "|" + "|".join(c.replace("|", "\\|") for c in r) + "|"
-        return "\n".join([line(self.cells[0]), "|" + "---|" * len(self.cols[:-1]), *map(line, self.cells[1:])])
+        return "\n".join([line(self.cells[0]), "|" + "---|" * len(self.cols[:-1]), *(line(r) for r in self.cells[1:] if any(r))])
 
 
 def edges(values: list[float], near: float, least: int) -> list[float]:
@@ -158,18 +158,22 @@ def edges(values: list[float], near: float, least: int) -> list[float]:
     return [sum(c) / len(c) for c in out if len(c) >= least]
 
 
-def tables(page: Page) -> tuple[list[Region], list[Item]]:
-    """Grids of stacked cell rectangles, or of ruling lines, and the items outside of them."""
-    cells = [(x, y, x + w, y + h) for x, y, w, h in page.rects if w > 3 and h > 3 and w < 0.95 * page.width and h < 0.5 * page.height]
+#: Bands of a table without cell rectangles: wider, at most so high, and so many at least.
+BAND_WIDTH, BAND_HEIGHT, BANDS = 80.0, 45.0, 3
+#: How far below a region its rows may go on, and how much wider than a column an item beyond the first may be.
+BELOW, TOO_WIDE = 200.0, 1.6
+
+
+def cell_grids(cells: list[tuple]) -> list[tuple[list[float], list[float]]]:
+    """Columns and rows of grids made of rows of cell rectangles (left, bottom, right, top), one above the other."""
     rows: list[list[tuple]] = []
     for c in sorted(cells, key=lambda c: (-c[1], c[0])):
         if rows and abs(rows[-1][0][1] - c[1]) <= 2.5:
             rows[-1].append(c)
         else:
             rows.append([c])
-    rows = [sorted(r) for r in rows if len(r) >= 2]
     groups: list[list[list[tuple]]] = []
-    for r in rows:
+    for r in (sorted(r) for r in rows if len(r) >= 2):
         if groups:
             last = groups[-1][-1]
             a, b = (last[0][0], last[-1][2]), (r[0][0], r[-1][2])
@@ -178,15 +182,72 @@ def tables(page: Page) -> tuple[list[Region], list[Item]]:
                 groups[-1].append(r)
                 continue
         groups.append([r])
-    regions, used = [], set()
+    out = []
     for g in groups:
-        if len(g) < 2:
-            continue
-        least = max(2, len(g) // 2)
-        cols = edges([x for r in g for c in r for x in (c[0], c[2])], 3, least)
+        if len(g) < 2 and len(g[0]) < 3:
+            continue  # a single row of three cells or more can be the head of a table
+        cols = edges([x for r in g for c in r for x in (c[0], c[2])], 3, max(2, len(g) // 2) if len(g) > 1 else 1)
         tops = edges([y for r in g for c in r for y in (c[1], c[3])], 1.5, 1)[::-1]
-        if len(cols) >= 3 and len(tops) >= 3:
-            regions.append(fill(page, cols, tops, used))
+        if len(cols) >= 3:
+            out.append((cols, tops))
+    return out
+
+
+def band_grids(cells: list[tuple], down: list[tuple]) -> list[tuple[list[float], list[float]]]:
+    """Grids of full-width bands that lie on each other, parted by thin upright rectangles (left, right)."""
+    bands = sorted((c for c in cells if c[2] - c[0] > BAND_WIDTH and c[3] - c[1] <= BAND_HEIGHT), key=lambda c: (-c[1], c[0]))
+    stacks: list[list[tuple]] = []
+    for c in bands:
+        if stacks:
+            first, last = stacks[-1][0], stacks[-1][-1]
+            touches = c[1] < last[1] - 1 and abs(c[3] - last[1]) < 0.6 * (c[3] - c[1])
+            if touches and c[0] >= first[0] - 2 and c[2] <= first[2] + 2:
+                stacks[-1].append(c)
+                continue
+        stacks.append([c])
+    out = []
+    for stack in (x for x in stacks if len(x) >= BANDS):
+        left, right = stack[0][0], stack[0][2]
+        cols = sorted([left, *(a for a, b in down if a > left + 2 and b < right - 2), right])
+        if len(cols) >= 3:
+            out.append((cols, edges([y for c in stack for y in (c[1], c[3])], 1.5, 1)[::-1]))
+    return out
+
+
+def extended(items: list[Item], cols: list[float], rows: list[float]) -> list[float]:
+    """rows (from the top down) with those of the bands of items below that fill two columns or more."""
+    below = [i for i in items if i.item_type == "text" and rows[-1] - BELOW < i.y + i.height / 2 < rows[-1] and cols[0] <= i.x + i.width / 2 <= cols[-1]]
+    bands: list[list[Item]] = []
+    for i in sorted(below, key=lambda i: -i.y):
+        if bands and abs(bands[-1][0].y - i.y) <= max(3.0, 0.5 * abs(i.font_size)):
+            bands[-1].append(i)
+        else:
+            bands.append([i])
+    width = (cols[-1] - cols[0]) / (len(cols) - 1)
+    out, before = list(rows), None
+    for band in bands:
+        filled = {n for i in band for n in range(len(cols) - 1) if cols[n] <= i.x + i.width / 2 < cols[n + 1]}
+        if len(filled) < 2 or len(band) > 2 * len(cols) or any(i.width > TOO_WIDE * width and i.x >= cols[1] for i in band):
+            break
+        top, bottom = max(i.y + i.height for i in band), min(i.y for i in band)
+        if before is not None and before - bottom > 3 * band[0].height:
+            break
+        out += [top, bottom]
+        before = top
+    return edges(out, 1.5, 1)[::-1]
+
+
+def tables(page: Page) -> tuple[list[Region], list[Item]]:
+    """Grids of stacked cell rectangles or bands, or of ruling lines, and the items outside of them."""
+    cells = [(x, y, x + w, y + h) for x, y, w, h in page.rects if w > 3 and h > 3 and h < 0.5 * page.height]
+    grids = cell_grids([c for c in cells if c[2] - c[0] < 0.95 * page.width])
+    for cols, rows in band_grids(cells, [(x, x + w) for x, y, w, h in page.rects if w <= 3 and h > 3]):
+        if not any(c[0] - 2 <= cols[0] and cols[-1] <= c[-1] + 2 and r[-1] - 2 <= rows[-1] and rows[0] <= r[0] + 2 for c, r in grids):
+            grids.append((cols, rows))
+    regions, used = [], set()
+    for cols, rows in ((cols, extended(page.items, cols, rows)) for cols, rows in grids):
+        if len(rows) >= 3:
+            regions.append(fill(page, cols, rows, used))
     if not regions:
         across = [(min(a, c), b, max(a, c)) for a, b, c, d in page.lines if abs(b - d) < 0.5 and abs(a - c) > 20]
         down = [(a, min(b, d), max(b, d)) for a, b, c, d in page.lines if abs(a - c) < 0.5 and abs(b - d) > 5]
@@ -200,7 +261,7 @@ def fill(page: Page, cols: list[float], tops: list[float], used: set[int]) -> Re
     for k, i in enumerate(page.items):
         if i.item_type != "text" or k in used:
             continue
-        cx, cy = i.x + i.width / 2, i.y + i.height * 0.3
+        cx, cy = i.x + i.width / 2, i.y + i.height / 2
         c = next((n for n in range(len(cols) - 1) if cols[n] <= cx < cols[n + 1]), None)
         r = next((n for n in range(len(tops) - 1) if tops[n + 1] <= cy < tops[n]), None)
         if c is not None and r is not None:

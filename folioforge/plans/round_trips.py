@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from folioforge.operators import convert, metrics
 from folioforge.plans.native_queries import counted, views
 from folioforge.session import prepare
-from folioforge.sources import fixtures, opc
+from folioforge.sources import fixtures, fixtures_rich, opc
 
 #: Letters and single spaces only, so that neither escaping nor fonts come in.
 PLAIN = "trim(regexp_replace(regexp_replace({t}, '[^A-Za-z ]', ' '), ' +', ' '))"
@@ -164,7 +164,23 @@ def convert_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("conv_id"), "markdown", F.col("error.code").alias("error"))
 
 
+def _rich(kind: str):
+    make = getattr(fixtures_rich, kind)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir, "conversations", "customer")
+        if kind == "xlsx":
+            rows = spark.sql("SELECT c_nationkey AS doc_id, array_sort(collect_list(struct(c_custkey AS key, c_name AS name, c_acctbal AS balance))) AS parts FROM customer GROUP BY c_nationkey")
+        else:
+            rows = spark.sql(f"SELECT conv_id AS doc_id, array_sort(collect_list(struct(turn, role, split_part(t, ' ', 1) AS w))) AS parts FROM (SELECT conv_id, turn, role, {PLAIN.format(t='text')} AS t FROM conversations) WHERE t <> '' GROUP BY conv_id")
+        return convert.decode(made(rows, make, kind)).select(F.col("doc_id").cast("long").alias("id"), F.md5("markdown").alias("md"))
+
+    run.__doc__ = f"Files with the constructs that plain {kind} files lack, converted."
+    return run
+
+
 QUERIES = {
+    **{f"rich_{kind}": _rich(kind) for kind in ("docx", "xlsx", "pptx", "pdf")},
     "convert_pdf_ocr": convert_pdf_ocr,
     "convert_office": convert_office,
     "convert_errors": convert_errors,
@@ -187,7 +203,104 @@ _page = f"'# Turn ' || p || chr(10) || chr(10) || {_para('First')} || chr(10) ||
 _paged = """WITH c AS (SELECT *, (conv_id + p) % 4 = 2 AS scan FROM (SELECT conv_id, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS INT) AS p FROM conversations)),
 d AS (SELECT conv_id, count(*) AS n, min(p) FILTER (WHERE scan) AS asked FROM c GROUP BY conv_id)"""
 
+def _sql(text: str) -> str:
+    """SQL for a text with {columns} and line breaks."""
+    parts = []
+    for k, piece in enumerate(text.replace("}", "{").split("{")):
+        if k % 2:
+            parts.append(piece)
+        else:
+            parts += [x for n, line in enumerate(piece.split("\n")) for x in (["chr(10)"] if n else []) + (["'" + line.replace("'", "''") + "'"] if line else [])]
+    return " || ".join(parts)
+
+
+_docx = """## {role} {turn}
+
+**{w}** said *{role}*
+
+{w} **cancels**
+
+[{w}](https://e.test/{turn}) and [{role}](https://f.test/{turn})
+
+{2 * k - 1}. first {w}
+
+{i1}- a. inner one
+{i1}- b. inner two
+
+{2 * k}. second {role}
+
+> {w}
+>
+> {role}
+
+```
+x {w}
+y {role}
+```
+
+| Both |  | One |
+| --- | --- | --- |
+| {w} | {role} | a<br>b |
+|  | {turn} | c\\|d |
+
+Noted[^{k}]
+
+added {w}
+
+held {role}
+
+chosen
+
+fallen back
+
+a\\
+b-c
+
+$$
+\\frac{chr(123) || left(w, 1) || chr(125) || chr(123)}2{chr(125)}
+$$""".replace("\\\\", "\\")
+_pptx = """## Slide {turn}
+
+- bullet {w}
+- **{role}** and *{w}*
+
+1. one
+
+   - a. inner
+
+2. two
+
+grouped {w}
+
+[out](https://g.test/{turn})
+
+| Wide |  | Last |
+| --- | --- | --- |
+| {w} | {role} | {turn} |
+
+> Said by {role}"""
+_pdf = """# Turn {turn}
+
+{w} said by {role} and so on for a while and so on for a while and so on for a while
+
+[link {turn} goes out to {w}](https://h.test/{turn})
+
+|Key|Value|
+|---|---|
+|{w}|{role}|
+|More|{turn}|"""
+_words = f"SELECT conv_id, turn, role, split_part(t, ' ', 1) AS w, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, t) AS INT) AS k FROM ({_rows})"
+_words = f"SELECT *, repeat(' ', length((2 * k - 1) || '. ')) AS i1 FROM ({_words})"
+_riches = lambda text, more="''": f"SELECT conv_id AS id, md5(string_agg({_sql(text)}, chr(10) || chr(10) ORDER BY k) || {more} || chr(10)) AS md FROM ({_words}) GROUP BY conv_id"
+
 ORACLE = {
+    "rich_docx": _riches(_docx, "chr(10) || chr(10) || string_agg('[^' || k || ']: Note by **' || role || '**', chr(10) || chr(10) ORDER BY k)"),
+    "rich_pptx": _riches(_pptx),
+    "rich_pdf": _riches(_pdf),
+    "rich_xlsx": """SELECT CAST(c_nationkey AS BIGINT) AS id, md5('## Kept' || chr(10) || chr(10) || '| Key | Name | Balance | Share | Day | Flag | Both |' || chr(10) || '| --- | --- | --- | --- | --- | --- | --- |' || chr(10) || string_agg(
+ '| ' || c_custkey || ' | Mr ' || c_name || ' | ' || CASE WHEN c_acctbal = 0 THEN 'nil' ELSE format('{:,.2f}', c_acctbal) END || ' | ' || format('{:.1f}', (c_custkey % 1000)::DECIMAL(9, 1) / 10) || '% | ' ||
+ strftime(DATE '1899-12-30' + CAST(40000 + c_custkey % 20000 AS INTEGER), '%Y-%m-%d') || ' | ' || CASE WHEN c_custkey % 2 = 1 THEN 'TRUE' ELSE 'FALSE' END || ' | ' || c_custkey || 'x |' || chr(10) ||
+ '| #DIV/0! | ' || c_name || ' |  |  |  |  |  |', chr(10) ORDER BY c_custkey) || chr(10)) AS md FROM customer GROUP BY c_nationkey""",
     "convert_pdf_ocr": f"""{_paged}
 SELECT conv_id, 'pdf' AS format, CAST(any_value(n) AS INTEGER) AS page_count, string_agg(p::VARCHAR, ',' ORDER BY p) FILTER (WHERE scan) AS needing, string_agg('scanned', ',') FILTER (WHERE scan) AS reasons,
  coalesce(string_agg(p::VARCHAR, ',' ORDER BY p) FILTER (WHERE scan AND (p <> asked OR asked = 5 OR asked % 3 = 0)), '') AS review,

@@ -74,10 +74,12 @@ class Slide:
             note = root.at("cSld", "spTree") if root is not None else None
             if note is not None:
                 inner = []
-                for s in note.children("sp"):
+                page = Slide(self.deck, p, root)
+                page.layout = page.master = None  # notes inherit nothing from slides
+                for s in note.descendants("sp"):
                     ph = placeholder(s)
                     if ph is None or ph[0] not in SKIPPED:
-                        inner += self.body(s, s.child("txBody"))
+                        inner += page.body(s, s.child("txBody"))
                 if inner:
                     out.append({"k": "quote", "blocks": inner})
         return out

@@ -6,7 +6,7 @@ from folioforge.operators.convert import Options, decode_one
 from folioforge.sources import fixtures, opc, xml
 from folioforge.sources.errors import DocumentError
 from folioforge.sources.pdf_objects import Pdf
-from folioforge.sources.pdf_text import glyph, read_pages
+from folioforge.sources.pdf_text import Item, Page, glyph, read_pages
 
 
 def shown(data, **more):
@@ -110,3 +110,50 @@ def test_items(spark):
 def test_reads_pages_of_many_streams():
     pages = read_pages(Pdf(fixtures.pdf([[("a", 11.0)], [("b", 11.0)]])))
     assert [p.items[0].text for p in pages] == ["a", "b"]
+
+
+def test_rich_files():
+    from folioforge.sources import fixtures_rich
+
+    turns = [{"turn": n, "role": "user", "w": f"Word{'abc'[n]}"} for n in range(3)]
+    docx = shown(fixtures_rich.docx(turns))
+    assert "## user 0\n\n**Worda** said *user*\n\nWorda **cancels**" in docx and "gone" not in docx and "removed" not in docx and "unknown" not in docx
+    assert "3. first Wordb\n\n   - a. inner one" in docx and "[^3]: Note by **user**" in docx
+    pdf = shown(fixtures_rich.pdf(turns))
+    assert pdf.count("|Key|Value|\n|---|---|\n") == 3 and "|More|2|" in pdf and "[link 1 goes out to Wordb](https://h.test/1)" in pdf
+    assert shown(fixtures_rich.pptx(turns)).count("> Said by user") == 3
+
+
+def test_pdf_table_grids():
+    text = lambda x, y, t: Item(t, 1, x, y, 30.0, 10.0, font_size=10.0)
+    row = lambda y, *cells: [text(60 + 100 * n, y, c) for n, c in enumerate(cells)]
+    page = lambda rects, items: pdf_layout.tables(Page(1, 612, 792, items=items, rects=rects))
+    head = [(50 + 100 * n, 690, 100, 20) for n in range(3)]
+    regions, rest = page(head, row(695, "a", "b", "c") + row(670, "1", "2", "3") + row(650, "4", "", "6") + row(600, "far", "down", "") + [text(60, 400, "prose")])
+    assert [r for r in regions[0].cells if any(r)] == [["a", "b", "c"], ["1", "2", "3"], ["4", "", "6"]] and [i.text for i in rest] == ["far", "down", "", "prose"]
+    bands = [(50, 700 - 20 * n, 300, 20) for n in range(4)]
+    regions, _ = page([*bands, (150, 640, 1, 80)], [i for n in range(4) for i in row(705 - 20 * n, f"k{n}", f"v{n}")])
+    assert regions[0].cells == [[f"k{n}", f"v{n}"] for n in range(4)]
+    assert not page(bands, [])[0] and not page([*bands[:2], (150, 640, 1, 80)], row(705, "a", "b"))[0]
+    both = [(50 + 100 * n, 700 - 20 * m, 100, 20) for n in range(3) for m in range(4)]
+    assert len(page([*both, *bands, (150, 640, 1, 80)], [i for n in range(4) for i in row(705 - 20 * n, f"k{n}", f"v{n}", "z")])[0]) == 1
+
+
+def test_budget_gives_failed_pages_back(spark):
+    from folioforge.operators import ocr
+
+    class Provider:
+        name, page_cost = "p", 0.0
+
+        def recognize(self, content, pages):
+            if content == b"bad":
+                raise ocr.OcrError("ocrRateLimited", "not now")
+            return [{"page": p, "markdown": f"page {p}", "confidence": 1.0} for p in pages]
+
+    pages = spark.createDataFrame([("run", f"d{k}", f"d{k}", p) for k in range(5) for p in (1, 2)], "run_id string, ord string, doc_id string, page int")
+    contents = spark.createDataFrame([(f"d{k}", b"bad" if k in (0, 2) else b"good") for k in range(5)], "doc_id string, content binary")
+    billed, read = ocr.recognize_within(pages, contents, Provider, per_run=4)
+    got = read.collect()
+    assert {r.doc_id: r.error.code for r in got if r.error} == {"d0": "ocrRateLimited", "d2": "ocrRateLimited"}
+    assert sorted((r.doc_id, r.page) for r in got if not r.error) == [("d1", 1), ("d1", 2), ("d3", 1), ("d3", 2)]
+    assert {r.doc_id for r in billed.where("billed").collect()} == {"d0", "d1", "d2", "d3"}
