@@ -266,7 +266,7 @@ def whole_groups(batches, names: list[str], keys: int, least: int):
         n = batch.num_rows
         if not n:
             continue
-        columns = [batch.column(c).to_numpy() for c in names]
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
         if size + n >= least:
             new = np.zeros(n, bool)
             for c in range(keys):

@@ -12,11 +12,14 @@ shingles are joined exactly instead: shingles are put in an order, rare ones fir
 of n shingles shows its first n - ceil(s n) + 1; two texts at similarity s share one of these
 (prefix filter), and at the first they share enough must be left of both (positional filter).
 
-Groups of near copies don't give all their pairs. Texts that are equal in a segment or share
-a shingle of their prefixes are first compared with the least and the largest node there;
-what these verified pairs tie together is one component, and the joins then leave out pairs
-within a component, whole trie nodes at a time. Texts with equal sets are one node from the
-start. A trie or a shingle with more rows than a task should hold is joined in blocks.
+Groups of near copies don't give all their pairs. First each text is compared with one
+neighbour alone, that with the most neighbours in a trie (or the least and the largest node
+that show a shingle); what these verified pairs tie together is one component, and the joins
+then leave out pairs within a component, whole trie nodes at a time. Crowded texts, those
+with many neighbours, bring the parities of their shingles' hashes along, whose differences are
+at most those of the sets: pairs for which these are too many are left out where they are met.
+Texts with equal sets are one node from the start. A trie or a shingle with more rows than a task should
+hold is joined in blocks.
 """
 
 from __future__ import annotations
@@ -41,6 +44,10 @@ SEEDS = np.array([(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(SEGMEN
 MOST_BITS = 134
 #: Shingles of a text that is joined by them.
 SHORT = 32
+#: Neighbours in a trie from which on a text is crowded; pairs of a trie that are kept in hand while neighbours are counted.
+CROWDED, HELD_PAIRS = 16, 1_000_000
+#: Bits of a crowded text's parities.
+PARITIES = 1024
 #: Pairs that are made at once; nodes that a task remembers.
 PAIRS, SEEN = 100_000, 50_000
 
@@ -96,15 +103,8 @@ def _codes(part: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint32).reshape(part.num_rows, SEGMENTS).astype(np.uint64)
 
 
-def _whole_segments(batches):
-    """Rows (node, fp) -> a row for each segment: (key, node); the key is the segment's number and bits."""
-    for batch in batches:
-        keys = _codes(batch) | np.arange(SEGMENTS, dtype=np.uint64) << np.uint64(SEGMENT)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), SEGMENTS)))], names=["key", "node"])
-
-
 def _tries(batches):
-    """Rows (node, comp, fp) -> a row for each segment and block: (tree, trie, code, node, comp).
+    """Rows (node, comp, size, odd, fp) -> a row for each segment and block: (tree, trie, code, node, comp, size, odd).
 
     The code is the segment, turned so that the block comes first, and then the next segment.
     """
@@ -117,17 +117,20 @@ def _tries(batches):
         turned = turned << np.uint64(SEGMENT) | np.roll(codes, -1, axis=1)[:, :, None]
         at = pa.array(np.repeat(np.arange(n), each))
         tree = np.tile(np.arange(each, dtype=np.int32), n)
-        yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(tries.reshape(-1).astype(np.int32)), pa.array(turned.reshape(-1).view(np.int64)), batch.column("node").take(at), batch.column("comp").take(at)], names=["tree", "trie", "code", "node", "comp"])
+        yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(tries.reshape(-1).astype(np.int32)), pa.array(turned.reshape(-1).view(np.int64)), *(batch.column(c).take(at) for c in ("node", "comp", "size", "odd"))], names=["tree", "trie", "code", "node", "comp", "size", "odd"])
 
 
 def _pair_batch(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["u", "v"])
 
 
-def _trie_links(batches):
-    """Rows by (tree, trie, block, code) -> pairs of nodes of different components within SEGMENT_BITS."""
-    names = ["tree", "trie", "block_a", "block_b", "code", "node", "comp"]
-    for tree, trie, a, b, code, node, comp in whole_groups(batches, names, 4, CHUNK):
+TRIE_ROW = "tree int, trie int, code long, node long, comp long, size int, odd binary"
+
+
+def _near_in_tries(batches):
+    """Rows by (tree, trie, block, code) -> for some whole tries the columns node, size and odd, and a function that yields their pairs (i, j) of different components."""
+    names = ["tree", "trie", "block_a", "block_b", "code", "node", "comp", "size", "odd"]
+    for tree, trie, a, b, code, node, comp, size, odd in whole_groups(batches, names, 4, CHUNK):
         codes = code.view(np.uint64)
         edges = np.flatnonzero(np.concatenate(([True], (tree[1:] != tree[:-1]) | (trie[1:] != trie[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True])))
         some = np.flatnonzero(np.diff(edges) > 1)
@@ -135,11 +138,61 @@ def _trie_links(batches):
         for fixed in sorted(set(FIXED)):
             mine = some[np.array(FIXED)[tree[edges[some]] % len(BLOCKS)] == fixed]
             at = ranges(edges[mine], edges[mine + 1] - edges[mine])
-            own, nodes = codes[at], node[at]
-            for i, j in trie_pairs(own, number[at], fixed, SEGMENT_BITS, SEGMENT, comp[at]):
-                near = np.bitwise_count((own[i] ^ own[j]) & np.uint64((1 << SEGMENT) - 1)) <= NEXT_BITS
-                if near.any():
-                    yield _pair_batch(nodes, i[near], j[near])
+            own, group, tied = codes[at], number[at], comp[at]
+
+            def pairs(own=own, group=group, tied=tied, fixed=fixed):
+                for i, j in trie_pairs(own, group, fixed, SEGMENT_BITS, SEGMENT, tied):
+                    near = np.bitwise_count((own[i] ^ own[j]) & np.uint64((1 << SEGMENT) - 1)) <= NEXT_BITS
+                    if near.any():
+                        yield i[near], j[near]
+
+            yield node[at], size[at], odd[at], pairs
+
+
+def _neighbours(batches):
+    """For each node with neighbours in a trie: (node, best, degree, own): the neighbour that has the most neighbours itself, how many, and the node's own."""
+    for node, _, _, pairs in _near_in_tries(batches):
+        degree, held, kept = np.zeros(len(node), np.int64), [], 0
+        for i, j in pairs():
+            degree += np.bincount(i, minlength=len(node)) + np.bincount(j, minlength=len(node))
+            kept += len(i)
+            if kept <= HELD_PAIRS:
+                held.append((i, j))
+        score = degree << 32 | np.arange(len(node))
+        best = np.full(len(node), -1, np.int64)
+        for i, j in held if kept <= HELD_PAIRS else pairs():
+            np.maximum.at(best, i, score[j])
+            np.maximum.at(best, j, score[i])
+        some = np.flatnonzero(best >= 0)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[best[some] & 0xFFFFFFFF]), pa.array(best[some] >> 32), pa.array(degree[some])], names=["node", "best", "degree", "own"])
+
+
+def parities(own: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes: whether an odd number of shingles has it. Two sets differ in as many shingles as these in bits, or more."""
+    return np.packbits(np.bincount((own & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+
+
+def _trie_links(similarity: float):
+    """Pairs of nodes of different components within SEGMENT_BITS whose sizes, and parities if both are crowded, allow the similarity."""
+
+    def run(batches):
+        for node, size, odd, pairs in _near_in_tries(batches):
+            crowded = np.array([x is not None for x in odd], bool)
+            rows = np.frombuffer(b"".join(x for x in odd if x is not None), np.uint64).reshape(-1, PARITIES // 64)
+            place = np.cumsum(crowded) - 1
+            for whole_i, whole_j in pairs():
+                for k in range(0, len(whole_i), PAIRS // 2):
+                    i, j = whole_i[k : k + PAIRS // 2], whole_j[k : k + PAIRS // 2]
+                    both = size[i].astype(np.int64) + size[j]
+                    free = alike(np.minimum(size[i], size[j]), both, similarity)
+                    known = np.flatnonzero(crowded[i] & crowded[j])
+                    apart = np.bitwise_count(rows[place[i[known]]] ^ rows[place[j[known]]]).sum(1).astype(np.int64)
+                    free[known] &= alike((both[known] - apart) / 2, both[known], similarity)
+                    if free.any():
+                        yield _pair_batch(node, i[free], j[free])
+
+    return run
 
 
 def _token_links(similarity: float):
@@ -216,24 +269,39 @@ def _verified(words: int, similarity: float):
     return run
 
 
-def _links(pairs: DataFrame, told: DataFrame, rows: DataFrame, slim: DataFrame, words: int, similarity: float, most_bits: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets have the similarity.
+def _texts_of(asked: DataFrame, rows: DataFrame, slim: DataFrame, words: int) -> DataFrame:
+    """Rows (node, text), one for each asked node, as a table.
 
-    Only texts of pairs that can have it are moved: of each node that is asked for one row's
-    id is put into a bitmap, which leaves out nearly all other texts before the shuffle.
+    Of each node one row's id is put into a bitmap, which leaves out nearly all other texts
+    before the shuffle.
     """
-    kinds = told.select("node", "size", "fp")
-    both = pairs.join(kinds.toDF("u", "n", "a"), "u").join(kinds.toDF("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b")
-    possible = cut(both.mapInArrow(_possible(similarity, most_bits), "u long, v long"))
-    asked = cut(possible.select("u").union(possible.select("v")).distinct().toDF("node"))
     maybe = maybe_in(rows.select("id", "node").join(asked, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id"))
     named = slim.select("id", "text").mapInArrow(_named(words, maybe), "node long, text string").join(asked, "node", "left_semi").dropDuplicates(["node"])
     path = new_table(slim.sparkSession, "texts")
     named.write.parquet(path)
-    texts = slim.sparkSession.read.schema("node long, text string").parquet(path)
+    return slim.sparkSession.read.schema("node long, text string").parquet(path)
+
+
+def _links(pairs: DataFrame, told: DataFrame, rows: DataFrame, slim: DataFrame, words: int, similarity: float, most_bits: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets have the similarity; only texts of pairs that can have it are moved."""
+    kinds = told.select("node", "size", "fp")
+    both = pairs.join(kinds.toDF("u", "n", "a"), "u").join(kinds.toDF("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b")
+    possible = cut(both.mapInArrow(_possible(similarity, most_bits), "u long, v long"))
+    texts = _texts_of(cut(possible.select("u").union(possible.select("v")).distinct().toDF("node")), rows, slim, words)
     return cut(possible.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_verified(words, similarity), "u long, v long"))
 
 
+def _odd(crowded: DataFrame, rows: DataFrame, slim: DataFrame, words: int) -> DataFrame:
+    """Rows (node, odd): the parities of each crowded node."""
+
+    def run(batches):
+        for batch in batches:
+            odd = [parities(own) for own in shingle_sets(texts_of(batch.column("text")), words)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(odd, pa.binary())], names=["node", "odd"])
+
+    return _texts_of(crowded, rows, slim, words).mapInArrow(run, "node long, odd binary")
+
+
 def _prefixes(told: DataFrame, similarity: float) -> DataFrame:
     """Rows (token, place, size, node): the prefixes of short texts, by how many of these texts have a shingle, rare ones first."""
     tokens = told.where("short IS NOT NULL").select("node", "size", F.explode("short").alias("token"))
@@ -266,17 +334,27 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     rows = cut(slim.mapInArrow(_rows(words, _most_short(similarity)), "id long, mark long, node long, size int, fp binary, short array<long>"))
     told = cut(rows.where("fp IS NOT NULL").select("node", "size", "fp", "short").dropDuplicates(["node"]))
-    long = told.where(F.col("size") > SHORT)
     tokens = cut(_prefixes(told, similarity))
-    keys = long.select("node", "fp").mapInArrow(_whole_segments, "key long, node long").union(tokens.select("token", "node"))
-    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    stars = keys.join(ends, "key").select(F.explode(F.array(F.struct(F.least("node", "low").alias("u"), F.greatest("node", "low").alias("v")), F.struct(F.least("node", "high").alias("u"), F.greatest("node", "high").alias("v")))).alias("p")).select("p.*")
-    near = connected(_links(stars.where("u < v").distinct(), told, rows, slim, words, similarity, MOST_BITS))
-    comps = cut(told.select("node", "size", "fp").join(near.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    tries = comps.where(F.col("size") > SHORT).select("node", "comp", "fp").mapInArrow(_tries, "tree int, trie int, code long, node long, comp long")
-    by_trie = in_blocks(tries, ["tree", "trie"], task_rows).repartition("tree", "trie", "block_a", "block_b").sortWithinPartitions("tree", "trie", "block_a", "block_b", "code")
+    keys, blocked = ["tree", "trie"], ["tree", "trie", "block_a", "block_b"]
+
+    def tries(nodes: DataFrame) -> DataFrame:
+        spread = nodes.where(F.col("size") > SHORT).select("node", "comp", "size", "odd", "fp").mapInArrow(_tries, TRIE_ROW)
+        return in_blocks(spread, keys, task_rows).repartition(*blocked).sortWithinPartitions(*blocked, "code")
+
+    single = told.select("node", F.col("node").alias("comp"), "size", F.lit(None).cast("binary").alias("odd"), "fp")
+    met = tries(single).mapInArrow(_neighbours, "node long, best long, degree long, own long")
+    met = cut(met.groupBy("node").agg(F.max_by("best", F.struct("degree", "best")).alias("best"), F.max("own").alias("own")))
+    ends = tokens.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    shown = tokens.select("token", "node").join(ends, "token")
+    stars = met.select("node", F.col("best").alias("other")).union(shown.select("node", "low")).union(shown.select("node", "high"))
+    stars = stars.where("node <> other").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+    near = connected(_links(stars, told, rows, slim, words, similarity, MOST_BITS))
+    crowd = cut(met.where(F.col("own") >= CROWDED).select("node"))
+    comps = told.select("node", "size", "fp").join(near.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    comps = cut(comps.join(_odd(crowd, rows, slim, words), "node", "left"))
+    by_trie = tries(comps.join(met.select("node"), "node", "left_semi"))  # others have no neighbours
     by_token = in_blocks(tokens.join(comps.select("node", "comp"), "node"), ["token"], task_rows).repartition("token", "block_a", "block_b").sortWithinPartitions("token", "block_a", "block_b", "comp")
-    pairs = by_trie.mapInArrow(_trie_links, "u long, v long").union(by_token.mapInArrow(_token_links(similarity), "u long, v long")).distinct()
+    pairs = by_trie.mapInArrow(_trie_links(similarity), "u long, v long").union(by_token.mapInArrow(_token_links(similarity), "u long, v long")).distinct()
     links = _links(pairs, told, rows, slim, words, similarity, MOST_BITS)
     roots = connected(near.toDF("u", "v").union(links))
     classes = rows.groupBy("node").agg(F.min("id").alias("least"))
