@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.session import spread
+
 WORD = r"[\p{L}\p{N}_]+"
 HEADING = r"^#{1,6}[ \t]+[^ \t]"
 ROW = r"^[ \t]*\|.*\|[ \t]*$"
@@ -47,7 +50,7 @@ def structural_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def trigrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, gram, n): word trigrams and how often they stand; a text of one or two words is one gram."""
-    w = docs.select(id_col, words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    w = spread(docs.select(id_col, text_col)).select(id_col, words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     grams = F.when(F.size("w") < 3, F.array(F.array_join("w", " "))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))
     return w.select(id_col, F.explode(grams).alias("gram")).groupBy(id_col, "gram").agg(F.count("*").alias("n"))
 
@@ -61,7 +64,7 @@ def containment(ours: DataFrame, theirs: DataFrame, id_col: str = "doc_id") -> D
 
 def word_f1(pairs: DataFrame, id_col: str = "doc_id", predicted: str = "predicted", reference: str = "reference") -> DataFrame:
     """Rows (id, f1): F1 of the two texts' bags of words; two texts without words are alike."""
-    bag = lambda c: pairs.select(id_col, F.explode(words(F.col(c))).alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("n"))
+    bag = lambda c: spread(pairs.select(id_col, c)).select(id_col, F.explode(words(F.col(c))).alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("n"))
     a, b = bag(predicted).withColumnRenamed("n", "a"), bag(reference).withColumnRenamed("n", "b")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     sums = a.join(b, [id_col, "w"], "full").groupBy(id_col).agg(F.sum(F.least(zero("a"), zero("b"))).alias("both"), F.sum(zero("a")).alias("p"), F.sum(zero("b")).alias("r"))
@@ -105,15 +108,64 @@ def routing_summary(rows: DataFrame) -> DataFrame:
 def first_fit(rows: DataFrame, budget: int) -> DataFrame:
     """Rows (plan, ord, need) with taken: whether the row still fits the plan's budget, in order, skipping those that don't.
 
-    Not a running sum: what is skipped takes nothing. Each plan's rows are folded in one array.
+    Not a running sum: what is skipped takes nothing, so that each row depends on all before
+    it. A plan's rows are folded in one task, in order.
+    """
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("ord", "ascending"), ("need", "ascending")])
+        left, taken = budget, []
+        for need in table["need"].to_pylist():
+            taken.append(need <= left)
+            left -= need if taken[-1] else 0
+        return table.append_column("taken", pa.array(taken, pa.bool_()))
+
+    slim = rows.select("plan", F.col("ord").cast("long").alias("ord"), F.col("need").cast("long").alias("need"))
+    plan = slim.schema["plan"].dataType.simpleString()
+    return slim.groupBy("plan").applyInArrow(fold, f"plan {plan}, ord long, need long, taken boolean")
+
+
+def local_runs(rows: DataFrame, page_limit: int) -> DataFrame:
+    """One row for each (model, backend) of rows (model, backend, ord, pages, billed, seconds, f1, error): documents, pages, seconds, pages_per_sec, text_f1, errors.
+
+    Documents are read in order until page_limit pages are read; one that doesn't fit what is
+    left is skipped, and one that fails takes nothing. f1 is that of the read text against the
+    document's own. Null errors are none; without documents the mean F1 is null.
+    """
+    schema = "model string, backend string, documents long, pages long, seconds double, pages_per_sec double, text_f1 double, errors long"
+
+    def fold(key: tuple, table: pa.Table) -> pa.Table:
+        pages, seconds, scores, errors = 0, 0.0, [], 0
+        for r in table.sort_by("ord").to_pylist():
+            if pages + r["pages"] > page_limit:
+                continue
+            if r["error"] is not None:
+                errors += 1
+                continue
+            pages, seconds = pages + r["billed"], seconds + r["seconds"]
+            scores.append(r["f1"])
+        out = [key[0].as_py(), key[1].as_py(), len(scores), pages, seconds, pages / seconds if seconds else 0.0, sum(scores) / len(scores) if scores else None, errors]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+        return pa.table([pa.array([x], k) for x, k in zip(out, kinds, strict=True)], names=["model", "backend", "documents", "pages", "seconds", "pages_per_sec", "text_f1", "errors"])
+
+    return rows.groupBy("model", "backend").applyInArrow(fold, schema)
+
+
+def format_summary(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """One row for each (format, engine): documents, bytes, status (how many documents have each), sums of the structural counts, and contained.
+
+    rows: (format, doc_id, engine, bytes, status, headings, table_rows, list_items, links,
+    footnotes); grams: (format, engine, doc_id, shared, total), the engine's trigrams and those
+    that the other engine's text of the document has as well. contained is weighted by trigrams:
+    the sum of the shared ones by that of all; null where there are none. Documents that the
+    other engine couldn't convert have no row in grams.
     """
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<struct<ord:bigint,need:bigint,taken:boolean>>").alias("rows"))
-    fold = F.aggregate(
-        "rows", start,
-        lambda s, r: F.struct(F.when(r["need"] <= s["left"], s["left"] - r["need"]).otherwise(s["left"]).alias("left"), F.concat(s["rows"], F.array(F.struct(r["ord"].alias("ord"), r["need"].alias("need"), (r["need"] <= s["left"]).alias("taken")))).alias("rows")),
-    )
-    lists = rows.groupBy("plan").agg(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("long").alias("ord"), F.col("need").cast("long").alias("need")))).alias("rows"))
-    return lists.select("plan", F.inline(fold["rows"]))
+    counts = ("headings", "table_rows", "list_items", "links", "footnotes")
+    status = rows.groupBy("format", "engine", "status").agg(F.count("*").alias("n"))
+    status = status.groupBy("format", "engine").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status"))
+    sums = rows.groupBy("format", "engine").agg(F.count("*").alias("documents"), F.sum("bytes").alias("bytes"), *(F.sum(c).alias(c) for c in counts))
+    weighted = grams.groupBy("format", "engine").agg((F.sum("shared") / F.sum("total")).alias("contained"))
+    return sums.join(status, ["format", "engine"]).join(weighted, ["format", "engine"], "left")
 
 
 def timed_rounds(runs: DataFrame, warm_up: int = 1) -> DataFrame:
@@ -126,8 +178,6 @@ def quality_delta(scores: DataFrame) -> DataFrame:
     return scores.groupBy("doc_id").pivot("engine", ["auto", "force"]).agg(F.max("score")).where("auto is not null and force is not null").select("doc_id", (F.col("auto") - F.col("force")).alias("delta"))
 
 
-
-
 def routing_gate(rows: DataFrame, least_and_most: DataFrame) -> DataFrame:
     """Rows (document, failure) of (document, pages, routed) whose share is outside of (document, least, most); a document that is missing fails."""
     share = F.when(F.col("pages") > 0, F.col("routed") / F.col("pages")).otherwise(0.0)

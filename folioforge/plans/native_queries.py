@@ -780,6 +780,45 @@ def _first_fit(spark):
     return metrics.first_fit(spark.sql("SELECT o_custkey AS plan, o_orderkey AS ord, o_orderkey % 13 + 1 AS need FROM orders"), 25)
 
 
+LOCAL = """SELECT o_orderpriority AS model, CASE WHEN o_custkey % 2 = 0 THEN 'go' ELSE 'onnx' END AS backend, o_orderkey AS ord, o_orderkey % 23 + 1 AS pages, o_orderkey % 23 + 1 - CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS billed,
+ CAST(o_orderkey % 50 + 1 AS DOUBLE) AS seconds, CAST(o_orderkey % 17 AS DOUBLE) / 16 AS f1, CASE WHEN o_orderkey % 19 = 0 THEN 'failed' END AS error FROM orders"""
+
+
+@query(
+    "local_run_accounting",
+    f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY model, backend ORDER BY ord) AS i FROM ({LOCAL})),
+f AS (SELECT model, backend, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS pages, CAST(0 AS BIGINT) AS documents, 0.0::DOUBLE AS seconds, 0.0::DOUBLE AS f1, CAST(0 AS BIGINT) AS errors FROM r GROUP BY ALL
+ UNION ALL SELECT f.model, f.backend, r.i, f.pages + CASE WHEN f.pages + r.pages <= 2000 AND r.error IS NULL THEN r.billed ELSE 0 END, f.documents + CASE WHEN f.pages + r.pages <= 2000 AND r.error IS NULL THEN 1 ELSE 0 END,
+  f.seconds + CASE WHEN f.pages + r.pages <= 2000 AND r.error IS NULL THEN r.seconds ELSE 0 END, f.f1 + CASE WHEN f.pages + r.pages <= 2000 AND r.error IS NULL THEN r.f1 ELSE 0 END, f.errors + CASE WHEN f.pages + r.pages <= 2000 AND r.error IS NOT NULL THEN 1 ELSE 0 END
+ FROM f JOIN r ON r.model = f.model AND r.backend = f.backend AND r.i = f.i + 1)
+SELECT model, backend, documents, pages, seconds, round(CASE WHEN seconds > 0 THEN pages / seconds ELSE 0 END, 9) AS pages_per_sec, round(CASE WHEN documents > 0 THEN f1 / documents END, 9) AS text_f1, errors FROM f QUALIFY row_number() OVER (PARTITION BY model, backend ORDER BY i DESC) = 1""",
+    "orders",
+)
+def _local_runs(spark):
+    out = metrics.local_runs(spark.sql(LOCAL), 2000)
+    return out.withColumns({"pages_per_sec": F.round("pages_per_sec", 9), "text_f1": F.round("text_f1", 9)})
+
+
+CONVERTED = """SELECT l_returnflag AS format, l_orderkey * 10 + l_linenumber AS doc_id, e.engine, CAST(l_quantity AS BIGINT) AS bytes,
+ CASE WHEN l_partkey % 11 = 0 THEN 'failed' WHEN l_partkey % 13 = 0 AND e.engine = 'theirs' THEN 'missing' ELSE 'ok' END AS status,
+ l_partkey % 5 AS headings, l_suppkey % 3 AS table_rows, l_partkey % 7 AS list_items, l_suppkey % 2 AS links, l_partkey % 2 AS footnotes, l_partkey % 40 AS shared, l_partkey % 40 + l_suppkey % 9 AS total
+ FROM lineitem JOIN (SELECT 'ours' AS engine UNION ALL SELECT 'theirs') e ON true"""
+
+
+@query(
+    "format_summary",
+    f"""SELECT format, engine, count(*) AS documents, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'missing') AS missing,
+ CAST(sum(headings) AS BIGINT) AS headings, CAST(sum(table_rows) AS BIGINT) AS table_rows, CAST(sum(list_items) AS BIGINT) AS list_items, CAST(sum(links) AS BIGINT) AS links, CAST(sum(footnotes) AS BIGINT) AS footnotes,
+ round(sum(shared) FILTER (WHERE status = 'ok') / sum(total) FILTER (WHERE status = 'ok'), 9) AS contained FROM ({CONVERTED}) GROUP BY ALL""",
+    "lineitem",
+)
+def _format_summary(spark):
+    rows = spark.sql(CONVERTED)
+    out = metrics.format_summary(rows, rows.where("status = 'ok'").select("format", "engine", "doc_id", "shared", "total"))
+    some = lambda k: F.coalesce(F.try_element_at("status", F.lit(k)), F.lit(0)).alias(k)
+    return out.select("format", "engine", "documents", "bytes", some("ok"), some("failed"), some("missing"), "headings", "table_rows", "list_items", "links", "footnotes", F.round("contained", 9).alias("contained"))
+
+
 QUALITY = "SELECT o_custkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'auto' ELSE 'force' END AS engine, CAST(o_orderkey % 91 AS DOUBLE) / 100 AS score FROM orders"
 
 
