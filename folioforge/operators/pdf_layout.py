@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, replace
@@ -42,36 +43,126 @@ class Line:
 # --- items -------------------------------------------------------------------------
 
 
+#: Parts of the font size: how much sizes of one run differ, how far its parts may be apart, and what gap is a space, before
+#: joining punctuation, between small letters and else.
+SIZE_BAND, RUN_GAP, PUNCTUATION_GAP, SMALL_GAP, SPACE_GAP = 0.2, 0.5, 0.25, 0.13, 0.08
+JOINING = frozenset(".,;)]}")
+
+
+def spaceless(c: str) -> bool:
+    """Whether words of the character's script aren't parted by spaces: Han and Kana."""
+    return "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff" or "\U00020000" <= c <= "\U0003ffff"
+
+
+def passes_of(band: list[Item]) -> list[list[Item]]:
+    """The band from left to right; two strings that were painted over each other a glyph at a time are two parts.
+
+    In the order of painting, each of the two goes from left to right, and they cover each other by half at least.
+    """
+    if band[0].rotation:
+        return [band]
+    if len(band) >= 6 and all(len(i.text.strip()) == 1 and not spaceless(i.text.strip()) for i in band):
+        parts = [[band[0]]]
+        for before, i in zip(band, band[1:], strict=False):
+            if i.x < before.x - 0.25 * abs(i.font_size):
+                parts.append([])
+            parts[-1].append(i)
+        if len(parts) == 2:
+            (a, b), (c, d) = ((min(i.x for i in p), max(i.x + i.width for i in p)) for p in parts)
+            if 2 * (min(b, d) - max(a, c)) >= min(b - a, d - c):
+                return parts
+    return [sorted(band, key=lambda i: i.x)]
+
+
+def same_look(a: Item, b: Item) -> bool:
+    return abs(a.font_size - b.font_size) <= SIZE_BAND * a.font_size and (a.is_italic, a.is_underline, a.is_strikeout, a.known) == (b.is_italic, b.is_underline, b.is_strikeout, b.known) and not a.rotation and not b.rotation
+
+
+def run_end(i: Item) -> float:
+    """Where a run ends; a run with spaces that is far too wide for its characters ends where they would."""
+    n = len(i.text)
+    if i.known and i.width > 0 and i.font_size > 0 and " " in i.text and not any(map(spaceless, i.text)) and i.width / n > 0.85 * i.font_size:
+        return i.x + min(i.width, 0.6 * n * i.font_size)
+    return i.x + i.width
+
+
+def tracked(items: list[Item], start: int) -> tuple[int, float]:
+    """Up to which item single glyphs from `start` on are spaced out, and what gap is a space there; (start, 0) if they aren't.
+
+    Capitals and figures that are set apart evenly have spaces only where gaps jump to a larger kind;
+    glyphs of spaceless scripts have none.
+    """
+    size, gaps, end = items[start].font_size, [], start
+    if size <= 0 or len(items[start].text.strip()) != 1:
+        return start, 0.0
+    for k in range(start + 1, len(items)):
+        before, i = items[k - 1], items[k]
+        gap = i.x - run_end(before)
+        if len(i.text.strip()) != 1 or not same_look(items[start], i) or i.is_bold != items[start].is_bold or abs(gap) > RUN_GAP * size:
+            break
+        gaps.append(gap / size)
+        end = k
+    if len(gaps) < 2:
+        return start, 0.0
+    gaps.sort()
+    text = "".join(i.text.strip() for i in items[start : end + 1])
+    plain = [c for c in text if c.isalnum() and not spaceless(c)]
+    han = not plain and any(map(spaceless, text))
+    if not han and any(c.isalpha() and not c.isupper() for c in plain):
+        return start, 0.0
+    middle = gaps[len(gaps) // 2]
+    if middle <= 0.075 if len(gaps) >= 4 else middle < 0.09 or gaps[-1] > 1.4 * max(gaps[0], 0.01):
+        return start, 0.0
+    if han:
+        return end, math.inf
+    steps = [(max(b, 0.01) / max(a, 0.01), math.sqrt(max(a, 0.01) * max(b, 0.01))) for a, b in zip(gaps, gaps[1:], strict=False)]
+    jump, floor = max(steps, key=lambda x: x[0])
+    return end, floor * size if jump >= 1.4 else math.inf
+
+
 def merged(items: list[Item]) -> list[Item]:
-    """Runs of one line and style put together; a space where the gap is a word's."""
+    """Runs of one line and look put together; a space where the gap is a word's."""
     words = [i for i in items if i.item_type == "text" and i.text]
     bands: list[tuple[float, list[Item]]] = []
     for i in words:
-        band = next((b for b in bands if abs(b[0] - i.y) <= 5 and abs(i.font_size - b[1][0].font_size) < max(i.font_size, b[1][0].font_size)), None)
+        band = next((b for y, b in bands if abs(y - i.y) < 5), None)
         if band is None:
             bands.append((i.y, [i]))
         else:
-            band[1].append(i)
-    out = []
-    for _, band in bands:
-        band.sort(key=lambda i: i.x)
-        run: Item | None = None
-        for i in band:
-            size = max(i.font_size, 1.0)
-            if run is not None and same_style(run, i) and abs(run.y - i.y) < 0.1 * size and i.rotation == run.rotation:
-                gap = i.x - (run.x + run.width)
-                if -0.5 * size < gap < 1.2 * size:
-                    space = " " if gap > 0.15 * size and not run.text.endswith(" ") and not i.text.startswith(" ") else ""
-                    run = replace(run, text=run.text + space + i.text, width=i.x + i.width - run.x)
-                    out[-1] = run
-                    continue
-            run = i
-            out.append(run)
+            band.append(i)
+    out: list[Item] = []
+    for _, band in sorted(bands, key=lambda b: -b[0]):
+        for part in passes_of(band):
+            out += runs_of(part)
     return scripts(out) + [i for i in items if i.item_type != "text"]
 
 
-def same_style(a: Item, b: Item) -> bool:
-    return a.font == b.font and abs(a.font_size - b.font_size) < 0.1 and a.is_bold == b.is_bold and a.is_italic == b.is_italic
+def runs_of(items: list[Item]) -> list[Item]:
+    out: list[Item] = []
+    k = 0
+    while k < len(items):
+        run, size = items[k], items[k].font_size
+        until, floor = tracked(items, k)
+        end, k = run_end(run), k + 1
+        while k < len(items):
+            i = items[k]
+            gap = i.x - end
+            if not same_look(run, i) or abs(gap) > RUN_GAP * size or abs(run.y - i.y) >= 0.1 * max(size, 1.0):
+                break
+            last, first = run.text.rstrip()[-1:], i.text.lstrip()[:1]
+            least = floor if k <= until else size * (PUNCTUATION_GAP if first in JOINING else SMALL_GAP if last.islower() and first.islower() else SPACE_GAP)
+            turn = i.is_bold != run.is_bold
+            figures = turn and last.isdigit() and first.isdigit()
+            spaced = run.text[-1:].isspace() or turn and i.text[:1].isspace()
+            if gap > least and not figures and not spaced:
+                run = replace(run, text=run.text + " ")
+            if turn:
+                break
+            end = run_end(i)
+            run = replace(run, text=run.text + i.text, width=max(run.x + run.width, i.x + i.width) - run.x)
+            k += 1
+        out.append(run)
+    return out
 
 
 def scripts(items: list[Item]) -> list[Item]:

@@ -17,6 +17,9 @@ TEMPLATE_PIXELS, TOTAL_PIXELS = 500_000, 2_000_000
 #: Widths of the base fonts' printable ASCII characters, from the space on (fixed values).
 HELVETICA = [278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, *[556] * 10, 278, 278, 584, 584, 584, 556, 1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556, 333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584]
 TIMES = [250, 333, 408, 500, 500, 833, 778, 180, 333, 333, 500, 564, 250, 333, 250, 278, *[500] * 10, 278, 278, 564, 564, 564, 444, 921, 722, 667, 667, 722, 611, 556, 722, 722, 333, 389, 722, 611, 889, 722, 722, 556, 722, 667, 556, 611, 722, 722, 944, 722, 722, 611, 333, 278, 333, 469, 500, 333, 444, 500, 444, 500, 444, 333, 500, 500, 278, 278, 500, 278, 778, 500, 500, 500, 500, 333, 389, 278, 500, 500, 722, 500, 500, 444, 480, 200, 480, 541]
+HELVETICA_BOLD = [278, 333, 474, 556, 556, 889, 722, 238, 333, 333, 389, 584, 278, 333, 278, 278, *[556] * 10, 333, 333, 584, 584, 584, 611, 975, 722, 722, 722, 722, 667, 611, 778, 722, 278, 556, 722, 611, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 333, 278, 333, 584, 556, 333, 556, 611, 556, 611, 556, 333, 611, 611, 278, 278, 556, 278, 889, 611, 611, 611, 611, 389, 556, 333, 611, 556, 778, 556, 556, 500, 389, 280, 389, 584]
+TIMES_BOLD = [250, 333, 555, 500, 500, 1000, 833, 278, 333, 333, 500, 570, 250, 333, 250, 278, *[500] * 10, 333, 333, 570, 570, 570, 500, 930, 722, 667, 722, 722, 667, 611, 778, 778, 389, 500, 778, 667, 944, 722, 778, 611, 778, 722, 556, 667, 722, 722, 1000, 722, 722, 667, 333, 278, 333, 581, 500, 333, 500, 556, 444, 556, 444, 333, 500, 556, 278, 333, 556, 278, 833, 556, 500, 556, 556, 444, 389, 333, 556, 500, 722, 500, 500, 444, 394, 220, 394, 520]
+TIMES_ITALIC = [250, 333, 420, 500, 500, 833, 778, 214, 333, 333, 500, 675, 250, 333, 250, 278, *[500] * 10, 333, 333, 675, 675, 675, 500, 920, 611, 611, 667, 722, 611, 611, 722, 722, 333, 444, 667, 556, 833, 667, 722, 611, 722, 611, 500, 556, 722, 611, 833, 611, 556, 556, 389, 278, 389, 422, 500, 333, 500, 500, 444, 500, 444, 278, 500, 500, 278, 278, 444, 278, 722, 500, 500, 500, 500, 389, 389, 278, 500, 444, 667, 444, 444, 389, 400, 275, 400, 541]
 #: Glyph names of ASCII that aren't the character itself (fixed values).
 ASCII_NAMES = dict(zip("space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash zero one two three four five six seven eight nine colon semicolon less equal greater question at bracketleft backslash bracketright asciicircum underscore grave braceleft bar braceright asciitilde".split(), " !\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~", strict=True))
 #: Other glyph names in common use (fixed values).
@@ -25,6 +28,22 @@ ACCENTS = {"acute": "ACUTE", "grave": "GRAVE", "circumflex": "CIRCUMFLEX", "dier
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 
 
+def _numbered(base: str) -> str | None:
+    """Names by the numbers of old registries: afii10017 and on are Cyrillic letters in their order, afii57664 and on Hebrew ones."""
+    m = re.fullmatch(r"afii(\d{5})", base)
+    n = int(m[1]) if m else 0
+    for first, letters in ((10017, 0x410), (10065, 0x430)):
+        if first <= n <= first + 32:
+            k = n - first
+            return chr(letters + (0x401 - 0x410 if letters == 0x410 else 0x451 - 0x430)) if k == 6 else chr(letters + k - (k > 6))
+    if 57664 <= n <= 57690:
+        return chr(0x5D0 + n - 57664)
+    return {61352: "№", 8364: "€"}.get(n)
+
+
+PLACED = {"superior": "SUPERSCRIPT", "inferior": "SUBSCRIPT"}
+
+
 @lru_cache(maxsize=8192)
 def glyph(name: str) -> str | None:
     """The text of a glyph name: by rule for accented and uniXXXX names."""
@@ -46,6 +65,14 @@ def glyph(name: str) -> str | None:
                 return unicodedata.lookup(f"LATIN {size} LETTER {m[1].upper()} WITH {ACCENTS[m[2]]}")
             except KeyError:
                 pass
+    if (numbered := _numbered(base)) is not None:
+        return numbered
+    if m := re.fullmatch(r"([a-z]+?)(superior|inferior|oldstyle)", base):
+        if m[1] in ASCII_NAMES:
+            try:
+                return unicodedata.lookup(f"{PLACED[m[2]]} {m[1].upper()}") if m[2] in PLACED else ASCII_NAMES[m[1]]
+            except KeyError:
+                return ASCII_NAMES[m[1]]
     code = html.entities.name2codepoint.get(base)
     if code is not None:
         return chr(code)
@@ -111,7 +138,7 @@ class Font:
             first = int(pdf.number(d.get("FirstChar")))
             self.widths = {first + i: pdf.number(w) for i, w in enumerate(pdf.array(d.get("Widths"))[:65536])}
         else:
-            base = HELVETICA if re.search("helvetica|arial", low) else TIMES if "times" in low else None
+            base = (HELVETICA_BOLD if self.bold else HELVETICA) if re.search("helvetica|arial", low) else (TIMES_BOLD if self.bold else TIMES_ITALIC if self.italic else TIMES) if "times" in low else None
             self.widths = {i: 600.0 for i in range(256)} if "courier" in low else {32 + i: float(w) for i, w in enumerate(base or HELVETICA)}
             self.default, self.known = (600.0 if "courier" in low else 500.0), base is not None or "courier" in low
         matrix = pdf.array(d.get("FontMatrix"))

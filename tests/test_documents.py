@@ -124,6 +124,37 @@ def test_rich_files():
     assert shown(fixtures_rich.pptx(turns)).count("> Said by user") == 3
 
 
+def test_glyph_names_by_rule():
+    assert "".join(glyph(f"afii{n}") for n in range(10017, 10050)) == "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"
+    assert glyph("afii10071") == "ё" and glyph("afii10097") == "я" and glyph("afii57664") == "א" and glyph("afii61352") == "№"
+    assert [glyph(x) for x in ("twosuperior", "fourinferior", "threeoldstyle", "Omega", "f_f_i", "uni04100411", "A.sc")] == ["²", "₄", "3", "Ω", "ffi", "АБ", "A"]
+
+
+def test_runs_of_one_line():
+    def spread_out(text, x=0.0, step=8.0, y=100.0, **more):
+        return [Item(c, 1, x + step * k, y, 5.0, 10.0, font_size=10.0, **more) for k, c in enumerate(text) if c != " "]
+
+    shown_ = lambda items: [i.text for i in pdf_layout.merged(items)]
+    word = lambda t, x, **more: Item(t, 1, x, 100.0, 5.0 * len(t), 10.0, font_size=10.0, **more)
+    assert shown_([word("one", 0), word("two", 16.0), word("three", 33.0)]) == ["onetwo three"]  # gaps of 0.1 and 0.2 of the size
+    assert shown_([word("One", 0), word("Two", 16.0), word(",", 33.0)]) == ["One Two,"]
+    assert shown_([word("a", 0), word("b", 40)]) == ["a", "b"]
+    assert shown_([word("see", 0), word("bold", 17, is_bold=True)]) == ["see ", "bold"]
+    assert shown_([word("12", 0), word("34", 13, is_bold=True)]) == ["12", "34"]
+    # capitals set apart by 0.3 of the size are one word; a gap that jumps parts them
+    assert shown_(spread_out("TRACKED")) == ["TRACKED"]
+    assert shown_(spread_out("TWO", step=7.0) + spread_out("WORDS", x=23.5, step=7.0)) == ["TWO WORDS"]
+    assert shown_(spread_out("漢字かな", step=7.0)) == ["漢字かな"]
+    # two strings painted over each other, a glyph at a time
+    assert sorted(shown_(spread_out("abcdef", step=6.0) + spread_out("uvwxyz", x=3.0, step=6.0))) == ["abcdef", "uvwxyz"]
+
+
+def test_widths_of_bold_base_fonts():
+    from folioforge.sources.pdf_text import HELVETICA, HELVETICA_BOLD, TIMES, TIMES_BOLD, TIMES_ITALIC
+
+    assert {len(x) for x in (HELVETICA, HELVETICA_BOLD, TIMES, TIMES_BOLD, TIMES_ITALIC)} == {95}
+
+
 def test_pdf_table_grids():
     text = lambda x, y, t: Item(t, 1, x, y, 30.0, 10.0, font_size=10.0)
     row = lambda y, *cells: [text(60 + 100 * n, y, c) for n, c in enumerate(cells)]
