@@ -40,9 +40,23 @@ def parser() -> argparse.ArgumentParser:
     m = sub.add_parser("models", help="OCR models of a catalogue")
     m.add_argument("catalog")
     m.add_argument("--language")
+    o = sub.add_parser("ocr", help="list models, or check a catalogue; installing them is left to the OCR program")
+    o.add_argument("action", choices=("list", "install", "check-catalog"))
+    o.add_argument("catalog")
+    o.add_argument("--language")
     return p
 
 
+def parsed(p: argparse.ArgumentParser, argv: list[str]) -> argparse.Namespace:
+    """The arguments of argv; options may stand anywhere after the command, between inputs too."""
+    commands = next(a.choices for a in p._actions if isinstance(a, argparse._SubParsersAction))
+    if argv and argv[0] in commands:
+        args = commands[argv[0]].parse_intermixed_args(argv[1:])
+        args.command = argv[0]
+        return args
+    return p.parse_args(argv)
+
+
 def out_names(inputs: list[str], folder: str, as_json: bool) -> dict[str, str]:
     """Output path of each input; two inputs with one output are a usage error."""
     names: dict[str, str] = {}
@@ -74,32 +88,37 @@ def providers(path: str | None) -> dict:
 
 
 def provider(name: str | None, config: dict):
-    """A factory for the chosen provider: flag, then the file's default; None without either."""
+    """A factory for the chosen provider: the flag's, then the file's default, then the hosted one if its key is set, then the local one.
+
+    The hosted and the local one aren't part of this library: where one of them would be chosen
+    that is a usage error, which tells to name another.
+    """
     from folioforge.operators.ocr import FakeProvider, ProcessProvider
 
-    name = name or config.get("default")
-    if name is None:
-        return None
+    name = name or config.get("default") or ("mistral" if os.environ.get("MISTRAL_API_KEY") else "local")
     if name == "fake":
         return FakeProvider
+    if name in ("mistral", "local"):
+        raise Usage(f"OCR provider {name} isn't part of this library; name one of a provider file")
     if name not in config.get("providers", {}):
         raise Usage(f"no provider {name}")
-    command = config["providers"][name]["command"]
-    return lambda: ProcessProvider(command)
+    own = config["providers"][name]
+    env = [f"{k}={v}" for k, v in sorted((own.get("env") or {}).items())]
+    return lambda: ProcessProvider(own["command"], env=env)
 
 
 def run(argv: list[str], spark=None, out=None) -> int:
     out = out or sys.stdout
     p = parser()
     try:
-        args = p.parse_args(argv)
+        args = parsed(p, argv)
     except SystemExit as e:
         return 1 if e.code else 0
     if args.command is None:
         p.print_help(out)
         return 1
     try:
-        return {"convert": _convert, "detect": _detect, "items": _items, "models": _models}[args.command](args, spark, out)
+        return {"convert": _convert, "detect": _detect, "items": _items, "models": _models, "ocr": _ocr}[args.command](args, spark, out)
     except Usage as e:
         print(json.dumps({"error": {"code": "usage", "message": str(e)}}), file=sys.stderr)
         return EXIT_CODES["usage"]
@@ -121,12 +140,11 @@ def _files(spark, inputs: list[str]):
     for x in inputs:
         if not os.path.isfile(x):
             raise OSError(f"no file {x}")
-    from functools import reduce
-
     from pyspark.sql import functions as F
 
-    frames = [spark.read.format("binaryFile").load(os.path.abspath(x)).select(F.lit(f"{n:06d}").alias("doc_id"), "path", "content") for n, x in enumerate(inputs)]
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    order = spark.createDataFrame([(f"{n:09d}", "file:" + os.path.abspath(x)) for n, x in enumerate(inputs)], "doc_id string, at string")
+    found = spark.read.format("binaryFile").load(sorted({os.path.abspath(x) for x in inputs})).select("path", "content")
+    return found.join(F.broadcast(order), F.regexp_replace("path", "^file:/+", "file:/") == F.col("at")).select("doc_id", "path", "content")
 
 
 def _convert(args, spark, out) -> int:
@@ -136,13 +154,12 @@ def _convert(args, spark, out) -> int:
     names = out_names(args.inputs, args.out_dir, args.json) if args.out_dir else {}
     md = Markdown(not args.no_headings, not args.no_lists, not args.no_code, not args.no_page_numbers, not args.no_furniture, not args.no_hyphens, not args.no_links, args.compat)
     opts = convert.Options(args.format, md, args.ocr, args.ocr_max_pages_per_doc, args.ocr_max_pages, args.ocr_dry_run)
-    make = provider(args.ocr_provider, providers(args.ocr_config))
-    if args.ocr != "off" and make is None:
-        raise Usage("OCR needs a provider")
+    make = provider(args.ocr_provider, providers(args.ocr_config)) if args.ocr != "off" else None
     spark = _session(spark)
-    rows = sorted(convert.convert(_files(spark, args.inputs), opts, make).collect(), key=lambda r: r.doc_id)
+    rows = convert.convert(_files(spark, args.inputs), opts, make).orderBy("doc_id").toLocalIterator()  # a partition at a time
     code = 0
-    for source, row in zip(args.inputs, rows, strict=True):
+    for row in rows:
+        source = args.inputs[int(row.doc_id)]
         told = row.asDict(recursive=True)
         if told["error"]:
             print(json.dumps({"error": {k: v for k, v in told["error"].items() if v}}, ensure_ascii=False), file=sys.stderr)
@@ -185,5 +202,24 @@ def _models(args, spark, out) -> int:
     return 0
 
 
+def _ocr(args, spark, out) -> int:
+    from folioforge.sources import catalog
+    from folioforge.sources.errors import DocumentError
+
+    if args.action == "install":
+        print(json.dumps({"error": {"code": "ocrUnavailable", "message": "models are installed by the OCR program"}}), file=sys.stderr)
+        return EXIT_CODES["ocrUnavailable"]
+    try:
+        models = catalog.load(args.catalog, args.language)
+    except DocumentError as e:
+        print(json.dumps({"error": {"code": e.code, "message": e.message}}), file=sys.stderr)
+        return EXIT_CODES.get(e.code, 4)
+    for m in models if args.action == "list" else []:
+        print(json.dumps(m, ensure_ascii=False), file=out)
+    if args.action == "check-catalog":
+        print(f"{len(models)} models", file=out)
+    return 0
+
+
 if __name__ == "__main__":
     sys.exit(run(sys.argv[1:]))

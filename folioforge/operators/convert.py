@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import MEDIA_TYPES
 from folioforge.operators import gfm, ocr, pdf_layout, quality, routing
 from folioforge.session import new_table, prepare
 from folioforge.sources import docx, opc, pptx, xlsx
@@ -224,6 +225,51 @@ def convert(files: DataFrame, opts: Options | None = None, make_provider=None) -
     return out.select("doc_id", md.alias("markdown"), "format", "page_count", "pages_needing_ocr", "ocr_reasons_by_page", "layout", "has_encoding_issues", "lost_content_pages", "needs_review", "pages_billed", error.alias("error"))
 
 
+#: Bytes of embedded pictures that one document gives at most.
+ASSET_BYTES = 128 << 20
+
+
+def assets(files: DataFrame) -> DataFrame:
+    """Rows (doc_id, ord, part, media_type, content): the pictures that text documents and presentations embed, each part once, in order.
+
+    A document gives ASSET_BYTES at most: a picture beyond is left out. Other formats, and files that
+    can't be read, give no rows.
+    """
+    prepare(files.sparkSession)
+    schema = "doc_id string, ord int, part string, media_type string, content binary"
+    arrow = _arrow_schema(schema)
+
+    def pictures(data: bytes):
+        package = opc.Package(data)
+        main = package.main_part()
+        holders = [main, *package.related(main, "footnotes"), *package.related(main, "endnotes")]
+        holders += [p for p in package.related(main, "slide")]
+        seen, left = set(), ASSET_BYTES
+        for holder in holders:
+            for rel in package.relationships(holder).values():
+                if rel.type != "image" or rel.external or rel.target in seen or not package.has(rel.target):
+                    continue
+                seen.add(rel.target)
+                content = package.read(rel.target)
+                if len(content) <= left:
+                    left -= len(content)
+                    yield rel.target, content
+
+    def run(batches):
+        for b in batches:
+            for doc, path, data in zip(b.column("doc_id").to_pylist(), b.column("path").to_pylist(), b.column("content"), strict=True):
+                raw = data.as_py() or b""
+                try:
+                    found = list(pictures(raw)) if opc.detect(raw, path or "") in ("docx", "pptx") else []
+                except DocumentError:
+                    found = []
+                rows = [{"doc_id": doc, "ord": n, "part": part, "media_type": MEDIA_TYPES.get(part.rpartition(".")[2].lower(), "application/octet-stream"), "content": content} for n, (part, content) in enumerate(found)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return files.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("path").cast("string").alias("path"), "content").mapInArrow(run, schema)
+
+
 def extract_items(files: DataFrame) -> DataFrame:
     """One row for each item of PDFs: doc_id, ord and ITEM's fields. Other formats give none."""
     schema = f"doc_id string, items array<{ITEM}>"

@@ -476,3 +476,31 @@ def plain_blocks(blocks: list[dict]) -> str:
 
 def render(doc: dict) -> str:
     return Renderer(doc).render()
+
+
+def is_empty(inlines: list[dict]) -> bool:
+    """Whether nothing of the inlines would show: blank text and math, anchors, breaks, and links to nothing around such. Pictures, notes and boxes show."""
+    for x in inlines:
+        kind = x["k"]
+        if kind in ("image", "note", "check"):
+            return False
+        if kind == "text" and x["t"].strip() or kind == "math" and x["tex"].strip():
+            return False
+        if kind == "link" and (x["ref"] or not is_empty(x["inl"])):
+            return False
+    return True
+
+
+def empty_blocks(blocks: list[dict]) -> bool:
+    """Whether nothing of the blocks would show."""
+    for b in blocks:
+        if b["k"] in ("para", "heading") and is_empty(b["inl"]):
+            continue
+        if b["k"] == "quote" and empty_blocks(b["blocks"]):
+            continue
+        if b["k"] == "code" and not b["text"].strip():
+            continue
+        if b["k"] == "table" and all(empty_blocks(c["blocks"]) for row in b["grid"] for c in row):
+            continue
+        return False
+    return True

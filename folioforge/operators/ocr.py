@@ -124,12 +124,14 @@ class FakeProvider:
 class ProcessProvider:
     """An external program that speaks JSON lines: hello, then one result or error for each request."""
 
-    def __init__(self, command: list[str], timeout: float = 600):
+    def __init__(self, command: list[str], timeout: float = 600, env: list[str] | None = None):
+        import os
         import select
 
         self.select = select.select
         self.timeout = timeout
-        self.process = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+        own = os.environ | dict(x.split("=", 1) for x in env or [])
+        self.process = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, env=own)
         self.send({"type": "hello", "protocol": 1})
         hello = self.receive()
         if hello.get("type") != "hello":

@@ -188,3 +188,82 @@ def test_budget_gives_failed_pages_back(spark):
     assert {r.doc_id: r.error.code for r in got if r.error} == {"d0": "ocrRateLimited", "d2": "ocrRateLimited"}
     assert sorted((r.doc_id, r.page) for r in got if not r.error) == [("d1", 1), ("d1", 2), ("d3", 1), ("d3", 2)]
     assert {r.doc_id for r in billed.where("billed").collect()} == {"d0", "d1", "d2", "d3"}
+
+
+def test_emptiness():
+    from folioforge.operators import gfm
+
+    nothing = [gfm.text(" \t"), {"k": "br"}, {"k": "anchor", "id": "a"}, {"k": "link", "kind": "anchor", "ref": "", "inl": [gfm.text("")]}, {"k": "math", "tex": " "}]
+    assert gfm.is_empty(nothing) and gfm.is_empty([])
+    for x in (gfm.text("x"), {"k": "image", "alt": "", "url": None}, {"k": "note", "id": "f1"}, {"k": "check", "on": False}, {"k": "link", "kind": "external", "ref": "https://e.test", "inl": []}, {"k": "math", "tex": "x"}):
+        assert not gfm.is_empty([*nothing, x])
+    assert gfm.empty_blocks([{"k": "para", "inl": nothing}, {"k": "quote", "blocks": [{"k": "heading", "level": 1, "inl": []}]}]) and not gfm.empty_blocks([{"k": "math", "tex": "x"}])
+
+
+def test_assets(spark):
+    turns = [{"turn": 0, "role": "user", "w": "Word"}]
+    import io
+    import zipfile
+
+    def with_pictures(data, rels, pictures):
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w") as o:
+            for i in z.infolist():
+                body = z.read(i)
+                if i.filename == rels:
+                    extra = "".join(f'<Relationship Id="p{n}" Type="{fixtures.REL}/image" Target="{t}"/>' for n, t in enumerate(("media/a.png", "media/b.jpeg", "media/a.png")))
+                    body = body.replace(b"</Relationships>", extra.encode() + b"</Relationships>")
+                o.writestr(i.filename, body)
+            for name, body in pictures.items():
+                o.writestr(name, body)
+        return out.getvalue()
+
+    from folioforge.sources import fixtures_rich
+
+    data = with_pictures(fixtures_rich.docx(turns), "word/_rels/document.xml.rels", {"word/media/a.png": b"PNG", "word/media/b.jpeg": b"JPEG"})
+    files = spark.createDataFrame([("a", "a.docx", data), ("b", "b.docx", b"junk"), ("c", "c.docx", None)], "doc_id string, path string, content binary")
+    got = [(r.doc_id, r.ord, r.part, r.media_type, bytes(r.content)) for r in convert.assets(files).orderBy("doc_id", "ord").collect()]
+    assert got == [("a", 0, "word/media/a.png", "image/png", b"PNG"), ("a", 1, "word/media/b.jpeg", "image/jpeg", b"JPEG")]
+
+
+def test_corpus_of_three_sizes(spark):
+    from folioforge.sources import corpus
+
+    for kind in ("docx", "xlsx", "pptx"):
+        sizes = []
+        for size in corpus.SIZES:
+            rows = convert.decode(corpus.files(spark, kind, size, 2)).select("doc_id", "markdown", "error").collect()
+            assert len(rows) == 2 and not any(r.error for r in rows)
+            sizes.append(min(len(r.markdown) for r in rows))
+            assert corpus.made(kind, size, 1) == corpus.made(kind, size, 1) != corpus.made(kind, size, 2)
+        assert sizes == sorted(sizes) and sizes[2] > 5 * sizes[1]
+    with pytest.raises(ValueError):
+        corpus.files(spark, "pdf", "small", 1)
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from folioforge import cli
+
+    a, b, c = tmp_path / "a.docx", tmp_path / "b with space.docx", tmp_path / "c.bin"
+    a.write_bytes(fixtures.docx([("p", "Alpha")]))
+    b.write_bytes(fixtures.docx([("p", "Beta")]))
+    c.write_bytes(b"{\\rtf1 x}")
+    out = io.StringIO()
+    assert cli.run(["convert", str(b), "--no-links", str(a)], spark, out) == 0 and out.getvalue() == "Beta\n\nAlpha\n\n"
+    to = tmp_path / "out"
+    assert cli.run(["convert", str(a), str(c), "--out-dir", str(to)], spark) == 2
+    assert (to / "a.md").read_text() == "Alpha\n" and '"unsupported"' in capsys.readouterr().err
+    monkeypatch.delenv("MISTRAL_API_KEY", raising=False)
+    assert cli.run(["convert", "--ocr", "auto", str(a)], spark) == 1 and "provider local" in capsys.readouterr().err
+    config = tmp_path / "p.json"
+    config.write_text('{"version": 1, "default": "own", "providers": {"own": {"command": ["./run"], "env": {"B": "2", "A": "1"}}}}')
+    made = cli.providers(str(config))
+    assert made["providers"]["own"]["command"] == [str(tmp_path / "run")] and cli.provider(None, made) and cli.provider("fake", made)
+    catalog = tmp_path / "c.json"
+    catalog.write_text('{"version": 1, "models": [{"id": "m", "languages": ["en"], "license": "MIT", "files": []}]}')
+    out = io.StringIO()
+    assert cli.run(["ocr", "check-catalog", str(catalog)], spark, out) == 0 and out.getvalue() == "1 models\n"
+    catalog.write_text('{"version": 1, "models": [{"id": "m", "languages": ["en"], "license": "own", "files": []}]}')
+    assert cli.run(["ocr", "check-catalog", str(catalog)], spark) == 4 and cli.run(["ocr", "install", str(catalog)], spark) == 5
