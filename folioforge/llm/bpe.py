@@ -10,6 +10,7 @@ length of the piece, so that a piece of a million bytes without a space takes li
 from __future__ import annotations
 
 import base64
+import hashlib
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -224,9 +225,21 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line.strip())}
 
 
+#: The encoder that a worker used last, by its vocabulary and pattern: the next task's pieces are often the same.
+_LAST: dict[tuple, BytePairs] = {}
+
+
+def _encoder(data: bytes, pattern: str) -> BytePairs:
+    key = (hashlib.sha256(data).digest(), pattern)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = BytePairs(load_ranks(data), pattern)
+    return _LAST[key]
+
+
 def _mapped(run, shared, pattern: str):
     def batches_of(batches):
-        pairs = BytePairs(load_ranks(shared.value), pattern)
+        pairs = _encoder(shared.value, pattern)
         for batch in batches:
             yield run(pairs, batch)
 
