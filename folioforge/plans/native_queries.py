@@ -103,44 +103,12 @@ def _media(spark):
     return spark.sql(NAMES).select("p_partkey", "name", text.media_type(F.col("name")).alias("media_type"))
 
 
-FIRST_LINES = "SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents"
-SLUG = r"lower(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), ' ', '-', 'g'))"
-
-
-@query(
-    "gfm_slug_unique",
-    rf"""WITH h AS (SELECT source AS grp, doc_id, CASE doc_id % 3 WHEN 0 THEN 'Summary of results' ELSE split_part(text, chr(10), 1) END AS line FROM documents),
-s AS (SELECT grp, doc_id, regexp_replace(translate(lower(trim(line)), ' ', '-'), '[^\-\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]', '', 'g') AS k FROM h),
-t AS (SELECT grp, doc_id, CASE WHEN k = '' THEN 'section' ELSE k END AS slug FROM s)
-SELECT grp, doc_id AS ord, slug, CASE WHEN n = 0 THEN slug ELSE slug || '-' || n END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY grp, slug ORDER BY doc_id) - 1 AS n FROM t)""",
-    "documents",
-)
-def _slugs(spark):
-    h = spark.sql("SELECT source AS doc_id, doc_id AS ord, CASE doc_id % 3 WHEN 0 THEN 'Summary of results' ELSE split_part(text, chr(10), 1) END AS line FROM documents")
-    return layout.unique_slugs(h.select("doc_id", "ord", text.slug(F.col("line")).alias("slug"))).withColumnRenamed("doc_id", "grp")
-
-
-MARKED = "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '• ' WHEN 1 THEN '12. ' WHEN 2 THEN '  3) ' WHEN 3 THEN '- ' WHEN 4 THEN '1234. ' ELSE '' END || split_part(text, chr(10), 1) AS line FROM documents"
-
-
-@query(
-    "list_markers",
-    rf"""WITH l AS (SELECT doc_id, regexp_replace(line, '^ +', '') AS t FROM ({MARKED})),
-m AS (SELECT doc_id, t, regexp_extract(t, '^([•·◦○●\-*])(?: |$)', 1) AS b, regexp_extract(t, '^([0-9]{{1,3}})(?:\. |\) | )', 1) AS n FROM l)
-SELECT doc_id, CASE WHEN b <> '' THEN '-' WHEN n <> '' THEN n || '.' END AS marker,
- CASE WHEN b <> '' THEN regexp_replace(regexp_replace(t, '^[•·◦○●\-*]', ''), '^ +', '') WHEN n <> '' THEN regexp_replace(regexp_replace(t, '^[0-9]{{1,3}}(?:\. |\) | )', ''), '^ +', '') END AS rest FROM m""",
-    "documents",
-)
-def _markers(spark):
-    return spark.sql(MARKED).select("doc_id", text.list_marker(F.col("line")).alias("m")).select("doc_id", "m.marker", "m.rest")
-
-
 ALL_LINES = "SELECT doc_id, CAST(ord AS BIGINT) AS ord, line FROM (SELECT doc_id, posexplode(split(text, '\\n', -1)) AS (ord, line) FROM documents)"
 SQL_LINES = "SELECT doc_id, CAST(unnest(range(len(parts))) AS BIGINT) AS ord, unnest(parts) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)"
 
 
 @query(
-    "gfm_slug_unique_lines",
+    "gfm_slug_unique",
     rf"""WITH s AS (SELECT doc_id, ord, regexp_replace(translate(lower(trim(line)), ' ', '-'), '[^\-\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]', '', 'g') AS k FROM ({SQL_LINES})),
 t AS (SELECT doc_id, ord, CASE WHEN k = '' THEN 'section' ELSE k END AS slug FROM s)
 SELECT doc_id, ord, slug, CASE WHEN n = 0 THEN slug ELSE slug || '-' || n END AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY ord) - 1 AS n FROM t)""",
@@ -155,7 +123,7 @@ MARKS = "CASE (doc_id + ord) % 6 WHEN 0 THEN '• ' WHEN 1 THEN '12. ' WHEN 2 TH
 
 
 @query(
-    "list_markers_lines",
+    "list_markers",
     rf"""WITH l AS (SELECT doc_id, ord, regexp_replace(line, '^ +', '') AS t FROM (SELECT doc_id, ord, {MARKS} FROM ({SQL_LINES}))),
 m AS (SELECT doc_id, ord, t, regexp_extract(t, '^([•·◦○●\-*])(?: |$)', 1) AS b, regexp_extract(t, '^([0-9]{{1,3}})(?:\. |\) | )', 1) AS n FROM l)
 SELECT doc_id, ord, CASE WHEN b <> '' THEN '-' WHEN n <> '' THEN n || '.' END AS marker,

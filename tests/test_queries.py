@@ -6,7 +6,7 @@ import pytest
 from folioforge.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["clean_text", "classify_pdf", "page_reasons", "ocr_run_budget", "quality_span_kind", "header_row_detect", "paragraph_islands", "round_trip_xlsx", "round_trip_pdf"]
+SOME = ["clean_text", "classify_pdf", "page_reasons", "ocr_run_budget", "quality_span_kind", "header_row_detect", "paragraph_islands", "round_trip_xlsx", "round_trip_pdf", "rich_docx", "rich_xlsx", "rich_pptx", "rich_pdf", "convert_pdf_ocr", "convert_errors", "ocr_health_documents", "ocr_fusion_documents", "format_summary", "local_run_accounting", "live_plan_first_fit"]
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,7 @@ def test_every_oracle_has_its_query():
     assert set(registry.ORACLE) <= set(registry.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["gfm_slug_unique_lines", "list_markers_lines"])
+@pytest.mark.parametrize("name", ["gfm_slug_unique", "list_markers"])
 def test_queries_of_all_lines(spark, duck, name):
     test_query(spark, duck, name)
     lines = duck.execute("SELECT sum(len(string_split(text, chr(10)))) FROM documents").fetchone()[0]
