@@ -152,10 +152,32 @@ class Workbook:
         merges = [g for m in root.descendants("mergeCell") if (g := region(m.attr("ref") or ""))]
         return out, merges, hidden_rows, hidden_cols
 
-    def table(self, root: xml.Element) -> list[list[dict]]:
+    def boxes(self, part: str) -> dict[tuple[int, int], list[tuple[bool, str]]]:
+        """By cell, the form control boxes whose anchors begin there: whether they are ticked, and their captions."""
+        out: dict[tuple[int, int], list[tuple[bool, str]]] = {}
+        drawings = {r.target for r in self.package.relationships(part).values() if r.type == "vmlDrawing" and not r.external}
+        for drawing in sorted(drawings):
+            root = self.package.optional(drawing)
+            for shape in root.descendants("shape") if root is not None else []:
+                data = shape.child("ClientData")
+                if data is None or data.attr("ObjectType") != "Checkbox" or "visibility:hidden" in (shape.attr("style") or "").replace(" ", ""):
+                    continue
+                anchor = data.child("Anchor")
+                places = [x.strip() for x in anchor.text().split(",")] if anchor is not None else []
+                ticked = data.child("Checked")
+                state = ticked.text().strip() if ticked is not None else "0"
+                if len(places) < 3 or not all(x.isdigit() for x in places[:3]) or state not in ("0", "1"):
+                    continue
+                caption = shape.child("textbox")
+                words = " ".join(opc.clean(caption.text()).split()) if caption is not None else ""
+                out.setdefault((int(places[2]), int(places[0])), []).append((state == "1", words))
+        return out
+
+    def table(self, root: xml.Element, part: str) -> list[list[dict]]:
         cells, merges, hidden_rows, hidden_cols = self.cells(root)
+        boxes = self.boxes(part)
         hidden = lambda c: any(a <= c <= b for a, b in hidden_cols)
-        seen = [(r, c) for r, c in cells if r not in hidden_rows and not hidden(c)]
+        seen = [(r, c) for r, c in {*cells, *boxes} if r not in hidden_rows and not hidden(c)]
         if not seen:
             return []
         r0, r1 = min(r for r, _ in seen), max(r for r, _ in seen)
@@ -191,7 +213,12 @@ class Workbook:
                     for n, x in enumerate(lines):
                         inl += [{"k": "br"}] if n else []
                         inl.append(text(x))
-                    line.append({"blocks": [para(*inl)] if t else [], "span": 2 if (r, c) in spans else 1})
+                    inl = inl if t else []
+                    for ticked, caption in boxes.get((r, c), ()):
+                        inl += [text(" ")] if inl else []
+                        inl.append({"k": "check", "on": ticked})
+                        inl += [text(" " + caption)] if caption else []
+                    line.append({"blocks": [para(*inl)] if inl else [], "span": 2 if (r, c) in spans else 1})
             grid.append(line)
         return grid
 
@@ -203,7 +230,7 @@ def parse(data: bytes) -> dict:
     for name, part in book.sheets():
         tried += 1
         try:
-            grid = book.table(book.package.tree(part))
+            grid = book.table(book.package.tree(part), part)
         except DocumentError as e:
             if e.code == "resourceLimit":
                 raise

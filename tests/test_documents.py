@@ -267,3 +267,55 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.run(["ocr", "check-catalog", str(catalog)], spark, out) == 0 and out.getvalue() == "1 models\n"
     catalog.write_text('{"version": 1, "models": [{"id": "m", "languages": ["en"], "license": "own", "files": []}]}')
     assert cli.run(["ocr", "check-catalog", str(catalog)], spark) == 4 and cli.run(["ocr", "install", str(catalog)], spark) == 5
+
+
+def test_form_boxes_of_a_workbook():
+    import io
+    import zipfile
+
+    shape = lambda col, row, body, style="": f'<v:shape style="{style}"><x:ClientData ObjectType="Checkbox"><x:Anchor>{col}, 15, {row}, 2, 3, 4, 5, 6</x:Anchor>{body}</x:ClientData><v:textbox><div>Tick  me</div></v:textbox></v:shape>'
+    vml = f'<xml xmlns:v="urn:schemas-microsoft-com:vml" xmlns:x="urn:schemas-microsoft-com:office:excel">{shape(1, 1, "<x:Checked>1</x:Checked>")}{shape(2, 2, "")}{shape(0, 1, "", "visibility: hidden")}{shape("x", 1, "")}</xml>'
+    data, out = fixtures.xlsx([("S", [["Key", "Done"], ["a", "yes"], ["b", "no"]])]), io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(out, "w") as o:
+        for i in z.infolist():
+            o.writestr(i.filename, z.read(i))
+        o.writestr("xl/drawings/d.vml", vml)
+        o.writestr("xl/worksheets/_rels/sheet1.xml.rels", fixtures.rels(("r1", "vmlDrawing", "../drawings/d.vml")))
+    rows = shown(out.getvalue()).split("\n")
+    assert "| a | yes [x] Tick me |  |" in rows and "| b | no | [ ] Tick me |" in rows and sum("Tick me" in r for r in rows) == 2
+
+
+def test_charsets_and_manifests():
+    from folioforge.sources import catalog
+
+    assert catalog.charset("a\r\nb\n \n") == ["a", "b", " "] and catalog.charset('["x", "yz"]') == ["x", "yz"]
+    assert catalog.charset('{"vocab": "abc"}') == ["a", "b", "c"] and catalog.charset('{"own": "d"}', "json", "own") == ["d"]
+    assert catalog.charset("PostProcess:\n  character_dict:\n  - a\n  - '\\''\n  - \"\\u00e9\"\n  - ' '\nmore: 1\n".replace("'\\''", "\'\'\'\'"), "yaml") == ["a", "'", "é", " "]
+    for text, kind in (('{"vocab": ""}', "json"), ("other:\n- a\n", "yaml")):
+        with pytest.raises(DocumentError):
+            catalog.charset(text, kind)
+    given = {"scale": 1, "mean": [0, 0, 0], "std": [1, 1, 1]}
+    good = {"schema": 1, "id": "m", "detector": {"model": "d", "input": given, "limit_side": 960, "postprocess": {"type": "db"}}, "recognizer": {"model": "r", "input": given, "height": 48, "decoder": {"type": "ctc"}, "charset": {"file": "c"}}}
+    assert catalog.check_manifest(good) == []
+    bad = [("schema", {"schema": 2}), ("id", {"id": ""}), ("output_order", {"output_order": "odd"}), ("detector.limit_side", {"detector": {**good["detector"], "limit_side": 0}}), ("recognizer.charset", {"recognizer": {**good["recognizer"], "charset": {"file": "c", "yaml": "y"}}})]
+    bad += [("detector.input", {"detector": {**good["detector"], "input": {**given, "std": [1, 0, 1]}}}), ("recognizer.widths", {"recognizer": {**good["recognizer"], "widths": [320, 160]}}), ("detector.buckets", {"detector": {**good["detector"], "buckets": [[0, 5]]}})]
+    bad += [("classifier", {"classifier": {"model": "c", "input": given, "height": 48, "width": 192, "angles": [0, 90]}}), ("recognizer.batches", {"recognizer": {**good["recognizer"], "batches": [0]}}), ("recognizer.decoder.type", {"recognizer": {**good["recognizer"], "decoder": {"type": "x"}}})]
+    for what, change in bad:
+        assert catalog.check_manifest(good | change) == [what]
+    assert "detector.model" in catalog.check_manifest({})
+
+
+def test_adapter_template_as_a_provider():
+    import os
+    import sys
+
+    from folioforge.operators import ocr
+
+    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "examples", "ocr_adapter.py")
+    p = ocr.ProcessProvider([sys.executable, path], timeout=30, env=["OWN=1"])
+    assert p.name == "template" and p.page_cost == 0
+    assert [r["markdown"] for r in p.recognize(b"abc", [2, 5])] == ["Page 2 of 3 bytes.", "Page 5 of 3 bytes."]
+    p.close()
+    with pytest.raises(ocr.OcrError) as e:
+        ocr.ProcessProvider([sys.executable, "-c", "print('no json', flush=True); input(); input()"], timeout=30)
+    assert e.value.code == "ocrProtocol"
