@@ -269,29 +269,29 @@ def _verified(words: int, similarity: float):
     return run
 
 
-def _texts_of(asked: DataFrame, rows: DataFrame, slim: DataFrame, words: int) -> DataFrame:
-    """Rows (node, text), one for each asked node, as a table.
+def _texts_of(asked: DataFrame, classes: DataFrame, slim: DataFrame, words: int) -> DataFrame:
+    """Rows (node, text), one for each asked node, as a table; classes: (node, least), the smallest id of each node's rows.
 
     Of each node one row's id is put into a bitmap, which leaves out nearly all other texts
     before the shuffle.
     """
-    maybe = maybe_in(rows.select("id", "node").join(asked, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id"))
+    maybe = maybe_in(classes.join(asked, "node", "left_semi").select("least"))
     named = slim.select("id", "text").mapInArrow(_named(words, maybe), "node long, text string").join(asked, "node", "left_semi").dropDuplicates(["node"])
     path = new_table(slim.sparkSession, "texts")
     named.write.parquet(path)
     return slim.sparkSession.read.schema("node long, text string").parquet(path)
 
 
-def _links(pairs: DataFrame, told: DataFrame, rows: DataFrame, slim: DataFrame, words: int, similarity: float, most_bits: int) -> DataFrame:
+def _links(pairs: DataFrame, told: DataFrame, classes: DataFrame, slim: DataFrame, words: int, similarity: float, most_bits: int) -> DataFrame:
     """The pairs (u, v) of nodes whose sets have the similarity; only texts of pairs that can have it are moved."""
     kinds = told.select("node", "size", "fp")
     both = pairs.join(kinds.toDF("u", "n", "a"), "u").join(kinds.toDF("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b")
     possible = cut(both.mapInArrow(_possible(similarity, most_bits), "u long, v long"))
-    texts = _texts_of(cut(possible.select("u").union(possible.select("v")).distinct().toDF("node")), rows, slim, words)
+    texts = _texts_of(cut(possible.select("u").union(possible.select("v")).distinct().toDF("node")), classes, slim, words)
     return cut(possible.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_verified(words, similarity), "u long, v long"))
 
 
-def _odd(crowded: DataFrame, rows: DataFrame, slim: DataFrame, words: int) -> DataFrame:
+def _odd(crowded: DataFrame, classes: DataFrame, slim: DataFrame, words: int) -> DataFrame:
     """Rows (node, odd): the parities of each crowded node."""
 
     def run(batches):
@@ -299,7 +299,7 @@ def _odd(crowded: DataFrame, rows: DataFrame, slim: DataFrame, words: int) -> Da
             odd = [parities(own) for own in shingle_sets(texts_of(batch.column("text")), words)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(odd, pa.binary())], names=["node", "odd"])
 
-    return _texts_of(crowded, rows, slim, words).mapInArrow(run, "node long, odd binary")
+    return _texts_of(crowded, classes, slim, words).mapInArrow(run, "node long, odd binary")
 
 
 def _prefixes(told: DataFrame, similarity: float) -> DataFrame:
@@ -333,6 +333,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     rows = cut(slim.mapInArrow(_rows(words, _most_short(similarity)), "id long, mark long, node long, size int, fp binary, short array<long>"))
+    classes = cut(rows.groupBy("node").agg(F.min("id").alias("least")))
     told = cut(rows.where("fp IS NOT NULL").select("node", "size", "fp", "short").dropDuplicates(["node"]))
     tokens = cut(_prefixes(told, similarity))
     keys, blocked = ["tree", "trie"], ["tree", "trie", "block_a", "block_b"]
@@ -348,16 +349,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shown = tokens.select("token", "node").join(ends, "token")
     stars = met.select("node", F.col("best").alias("other")).union(shown.select("node", "low")).union(shown.select("node", "high"))
     stars = stars.where("node <> other").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
-    near = connected(_links(stars, told, rows, slim, words, similarity, MOST_BITS))
+    near = connected(_links(stars, told, classes, slim, words, similarity, MOST_BITS))
     crowd = cut(met.where(F.col("own") >= CROWDED).select("node"))
     comps = told.select("node", "size", "fp").join(near.toDF("node", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    comps = cut(comps.join(_odd(crowd, rows, slim, words), "node", "left"))
+    comps = cut(comps.join(_odd(crowd, classes, slim, words), "node", "left"))
     by_trie = tries(comps.join(met.select("node"), "node", "left_semi"))  # others have no neighbours
     by_token = in_blocks(tokens.join(comps.select("node", "comp"), "node"), ["token"], task_rows).repartition("token", "block_a", "block_b").sortWithinPartitions("token", "block_a", "block_b", "comp")
     pairs = by_trie.mapInArrow(_trie_links(similarity), "u long, v long").union(by_token.mapInArrow(_token_links(similarity), "u long, v long")).distinct()
-    links = _links(pairs, told, rows, slim, words, similarity, MOST_BITS)
+    links = _links(pairs, told, classes, slim, words, similarity, MOST_BITS)
     roots = connected(near.toDF("u", "v").union(links))
-    classes = rows.groupBy("node").agg(F.min("id").alias("least"))
     tied = roots.select(F.col("u").alias("node"), "root").union(roots.select("root", "root").distinct())
     rooted = classes.join(tied, "node").groupBy("root").agg(F.min("least").alias("component_id"))
     labels = classes.join(tied, "node", "left").join(rooted, "root", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
