@@ -43,18 +43,18 @@ ENDS_END_P = ("div", "article", "section", "body", "main", "td", "li")
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog search".split())
 BOILERPLATE_ROLES = frozenset("navigation contentinfo complementary search dialog alert alertdialog menu menubar".split())
 NEGATIVE = re.compile(
-    r"(?:^|[\s_-])(?:nav\w*|menus?|side-?bars?|foot(?:er)?|masthead|bread-?crumbs?|ads?|adverts?|advertisements?|advertising|banners?|promos?|promotions?|sponsor\w*|cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modals?|overlay|news-?letters?|subscri\w+|sign-?up|social|share|sharing|comments?|commentlist|disqus|widgets?|pagination|pager|tool-?bars?|log-?in|tag-?cloud)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:nav\w*|menus?|side-?bars?|foot(?:er)?|masthead|bread-?crumbs?|ads?|adverts?|advertisements?|advertising|banners?|promos?|promotions?|sponsor\w*|cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modals?|overlay|news-?letters?|subscri\w+|sign-?up|social|share|sharing|comments?|commentlist|disqus|widgets?|pagination|pager|tool-?bars?|log-?in|tag-?cloud|related[_-]?(?:posts?|articles?|links?|stories|content|news|items|reading|topics)|recommend\w*|popular|trending|reply|replies|respond)(?=$|[\s_-])",
     re.I,
 )
 #: Names that parts of an article have as well.
-DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:related|recommend\w*|popular|trending|reply|replies|respond|legal|copyright|search\w*|skip\w*|toc)(?=$|[\s_-])", re.I)
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:related|legal|copyright|search\w*|skip\w*|toc)(?=$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])(?:headers?|top-?bar)(?=$|[\s_-])", re.I)
 POSITIVE = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text|prose)(?=$|[\s_-])", re.I)
 ENDINGS = tuple(".!?…。:;\"'”»)")
 NOTICE_TEXT = re.compile(r"^\s*(?:©|\(c\)\s|copyright\b|all rights reserved)|\b(?:we use cookies|accept (?:all )?cookies|subscribe to|sign up for|privacy policy|terms of (?:use|service))\b", re.I)
 #: Of a block, in this order: whether it lies in a boilerplate element; in one by its name; in a header outside an article; in
-#: an element with a doubtful name; in an article; in an element with a content name; the share of its text in links, and that
-#: in a list; its length; whether it ends like a sentence; is a heading; is worded as a notice.
+#: an element with a doubtful name; in an article; in an element with a content name; the share of its text in links, and that in a
+#: list; its length; whether it ends like a sentence; is a heading; is worded as a notice.
 FEATURES = ("constant", "element", "name", "header", "doubtful", "article", "content", "links", "listed_links", "length", "ending", "heading", "notice")
 
 
@@ -265,18 +265,24 @@ def _apart(a: Open, b: Open) -> int:
     return steps
 
 
+#: What is left of an edge between a block that is marked as boilerplate by an element or a name and one that is marked as content.
+CROSSING = 0.1
+
+
 def edges_of(blocks: list[Block], near: float, akin: float) -> list[tuple[int, int, float]]:
     """Smoothness edges: between neighbours, the weaker the further apart in the tree, and between a parent's successive blocks."""
+    marks = [-1 if b.at.element or b.at.name or b.at.header else 1 if b.at.in_article or b.at.content else 0 for b in blocks]
+    across = lambda i, j: CROSSING if marks[i] * marks[j] < 0 else 1.0
     out = []
     last_in: dict[int, int] = {}
     own = [b.at.block for b in blocks]
     for j, at in enumerate(own):
         if j:
-            out.append((j - 1, j, near / (1 + 0.5 * max(0, _apart(own[j - 1], at) - 2))))
+            out.append((j - 1, j, near * across(j - 1, j) / (1 + 0.5 * max(0, _apart(own[j - 1], at) - 2))))
         parent = id(_parent(at))
         i = last_in.get(parent)
         if i is not None and i < j - 1:
-            out.append((i, j, akin))
+            out.append((i, j, akin * across(i, j)))
         last_in[parent] = j
     return [e for e in out if e[2] > 0]
 

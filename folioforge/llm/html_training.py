@@ -17,16 +17,16 @@ from folioforge.llm import html_text
 from folioforge.llm.html_text import FEATURES, Weights
 
 #: Made pages for the classifier and for the edges' capacities, and the seeds of their random numbers.
-COST_PAGES, EDGE_PAGES, SEEDS = 400, 150, (11, 12)
-CAPACITIES = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0)
+COST_PAGES, EDGE_PAGES, SEEDS = 400, 250, (11, 12)
+CAPACITIES = (0.0, 0.5, 1.0, 1.5, 2.0)
 #: Strength of the pull of weights to zero.
 RIDGE = 1.0
 SYLLABLES = [a + b for a in "b d f g k l m n p r s t v z".split() for b in "a e i o u an er il or".split()]
 
 NAMES = {
     "menu": ("nav", "main-menu", "site-nav", "c-menu", "navbar"), "crumbs": ("breadcrumb", "bread-crumbs"), "side": ("sidebar", "side-bar", "widget", "left sidebar"), "ad": ("ad", "advert", "ads top", "sponsor", "promo"),
-    "notice": ("cookie-notice", "consent", "alert", "banner"), "form": ("newsletter", "login", "signup", "subscribe"), "share": ("share", "social", "sharing-links"), "footer": ("footer", "foot", "site-footer"),
-    "comments": ("comments", "comment-list", "disqus"), "related": ("related", "recommended", "popular"), "header": ("header", "masthead", "top-bar"),
+    "notice": ("cookie-notice", "consent", "alert", "banner"), "form": ("newsletter", "login", "signup", "subscribe", "search"), "share": ("share", "social", "sharing-links"), "footer": ("footer", "foot", "site-footer", "legal", "copyright"),
+    "comments": ("comments", "comment-list", "disqus"), "related": ("related", "recommended", "popular", "related-posts"), "header": ("header", "masthead", "top-bar"),
 }
 TAGS = {"menu": "nav", "side": "aside", "footer": "footer", "header": "header", "form": "form", "related": "aside"}
 ROLES = {"menu": "navigation", "side": "complementary", "footer": "contentinfo", "header": "banner", "notice": "alert"}
@@ -111,7 +111,7 @@ class Page:
     def piece(self) -> None:
         """A block of the article."""
         rng = self.rng
-        kind = rng.choices(("p", "short", "h2", "list", "links", "quote", "pre", "table"), (10, 3, 2, 2, 1.5, 1, 0.7, 0.7))[0]
+        kind = rng.choices(("p", "short", "h2", "list", "links", "references", "quote", "pre", "table"), (10, 3, 2, 2, 1.5, 0.7, 1, 0.7, 0.7))[0]
         if kind == "p":
             self.put("p", self.prose(), True)
         elif kind == "short":
@@ -126,6 +126,12 @@ class Page:
         elif kind == "links":
             a, b, c = self.words(rng.randint(1, 8)), self.words(rng.randint(1, 8)), self.sentence(rng.randint(2, 9))
             self.put("p", f"{a.capitalize()} {self.link(b)} {c}", True, f"{a.capitalize()} {b} {c}")
+        elif kind == "references":
+            self.parts.append("<ul>")
+            for _ in range(rng.randint(1, 5)):
+                t = self.words(rng.randint(1, 9))
+                self.put("li", self.link(t), True, t)
+            self.parts.append("</ul>")
         elif kind == "quote":
             self.put("blockquote", self.prose(), True)
         elif kind == "pre":
