@@ -159,14 +159,44 @@ def distinct_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes[keep], counted[ends] - counted[ends - sizes]
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Edges whose components one task finds (16 MB); more are joined over all tasks.
+TASK_EDGES = 1_000_000
+
+
+def _roots_of(batches):
+    """Edges (u, v), all of them -> (u, root) of all nodes that aren't roots."""
+    columns: tuple[list, list] = ([], [])
+    for batch in batches:
+        columns[0].append(batch.column("u").to_numpy())
+        columns[1].append(batch.column("v").to_numpy())
+    u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in columns)
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    label = np.arange(len(nodes))
+    a, b = at[: len(u)], at[len(u) :]
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while not np.array_equal(up := label[label], label):
+            label = up
+        if np.array_equal(before, label):
+            break
+    some = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[label[some]])], names=["u", "root"])
+
+
+def connected(edges: DataFrame, most_rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """Connected components of edges (u, v): rows (u, root), root the smallest id reachable.
 
-    Large-star and small-star steps in turn. Minima are aggregated before any row moves
-    and are joined back, so that a hub's edges may lie in many tasks (a skewed join is
-    split at run time). Each round is cut, so that a lost executor costs one round.
+    At most task_edges edges are one task's. More go through large-star and small-star steps
+    in turn: minima are aggregated before any row moves and are joined back, so that a hub's
+    edges may lie in many tasks (a skewed join is split at run time). Each round is cut, so that
+    a lost executor costs one round.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if now.count() <= task_edges:
+        return cut(now.coalesce(1).mapInArrow(_roots_of, "u long, root long"))
     seen = None
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u"))

@@ -39,6 +39,11 @@ SEGMENTS, SEGMENT, SEGMENT_BITS = 20, 32, 3
 NEXT_BITS = 11
 #: Where a segment's blocks start; a forest has tries of codes with one block equal.
 BLOCKS, FIXED = (0, 11, 22), (11, 11, 10)
+#: By block, in its turned code: the bits of each block before it; 0 where there is none.
+EARLIER = np.zeros((len(BLOCKS), len(BLOCKS) - 1), np.uint64)
+for _b in range(len(BLOCKS)):
+    for _k in range(_b):
+        EARLIER[_b, _k] = (1 << FIXED[_k]) - 1 << 2 * SEGMENT - (BLOCKS[_k] - BLOCKS[_b]) % SEGMENT - FIXED[_k]
 SEEDS = np.array([(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for i in range(SEGMENTS // 2)], np.uint64)
 #: Differing bits of all segments beyond which a pair isn't verified: those of a pair at similarity 0.8, 97, and four standard deviations.
 MOST_BITS = 134
@@ -138,11 +143,15 @@ def _near_in_tries(batches):
         for fixed in sorted(set(FIXED)):
             mine = some[np.array(FIXED)[tree[edges[some]] % len(BLOCKS)] == fixed]
             at = ranges(edges[mine], edges[mine + 1] - edges[mine])
-            own, group, tied = codes[at], number[at], comp[at]
+            own, group, tied, block = codes[at], number[at], comp[at], tree[at] % len(BLOCKS)
 
-            def pairs(own=own, group=group, tied=tied, fixed=fixed):
+            def pairs(own=own, group=group, tied=tied, block=block, fixed=fixed):
                 for i, j in trie_pairs(own, group, fixed, SEGMENT_BITS, SEGMENT, tied):
-                    near = np.bitwise_count((own[i] ^ own[j]) & np.uint64((1 << SEGMENT) - 1)) <= NEXT_BITS
+                    apart = own[i] ^ own[j]
+                    near = np.bitwise_count(apart & np.uint64((1 << SEGMENT) - 1)) <= NEXT_BITS
+                    for earlier in EARLIER.T:  # the trie of an earlier equal block has the pair as well
+                        bits = earlier[block[i]]
+                        near &= (bits == 0) | (apart & bits != 0)
                     if near.any():
                         yield i[near], j[near]
 

@@ -535,6 +535,15 @@ def test_rows_that_share_an_id_go_by_their_own_components(spark, words):
         assert drop(df.limit(0)).count() == 0
 
 
+def test_components_in_one_task_and_in_many(spark):
+    rng = random.Random(31)
+    edges = [(rng.randrange(900), rng.randrange(900)) for _ in range(500)] + [(2000, 2000 + k) for k in range(1, 80)] + [(5000 + k, 5001 + k) for k in range(60)] + [(7, 7), (-3, 900_000_000_000)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    one, many = (sorted(map(tuple, common.connected(df, task_edges=n).collect())) for n in (10_000, 0))
+    assert one == many and (5060, 5000) in one and (900_000_000_000, -3) in one
+    assert common.connected(df.limit(0)).count() == 0 == common.connected(df.limit(0), task_edges=-1).count()
+
+
 def test_whole_groups():
     import pyarrow as pa
 
