@@ -89,11 +89,12 @@ def spread_numbers(row: Column) -> Column:
 def cells_of_items(items: DataFrame, grid: DataFrame) -> DataFrame:
     """Joins items (doc_id, page, ord, x, y, width, height, text) to grid cells (doc_id, page, table_id, r, c, x0, y0, x1, y1) by their centres.
 
-    A range join with the page as its equal key: Spark hashes pages and tests the inequality.
+    A range join with the page as its equal key, by merging: rows made by explode() are far more than
+    Spark estimates, and a broadcast of either side would be held whole in the driver.
     """
     cx, cy = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2
     inside = (cx >= F.col("x0")) & (cx < F.col("x1")) & (cy >= F.col("y0")) & (cy < F.col("y1"))
-    hit = items.join(grid, ["doc_id", "page"]).where(inside)
+    hit = items.join(grid.hint("merge"), ["doc_id", "page"]).where(inside)
     return hit.groupBy("doc_id", "page", "table_id", "r", "c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("text"))
 
 

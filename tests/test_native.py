@@ -80,6 +80,15 @@ def test_headers(spark):
     assert {r.table_id: r.header_rows for r in got} == {1: 1, 2: 0, 3: 0}
 
 
+def test_cells_of_items_broadcast_nothing(spark):
+    """A grid that explode() makes of a few rows is larger than any estimate of it."""
+    items = spark.sql("SELECT 1 AS doc_id, 1 AS page, ord, 5D + ord AS x, 5D AS y, 2D AS width, 2D AS height, ord || '' AS text FROM VALUES 2, 1, 30 AS t(ord)")
+    grid = spark.sql("SELECT id AS doc_id, 1 AS page, 0 AS table_id, 0 AS r, j AS c, j * 10D AS x0, 0D AS y0, j * 10D + 10 AS x1, 10D AS y1 FROM range(1, 3) LATERAL VIEW explode(sequence(0, 5)) AS j")
+    cells = tables.cells_of_items(items, grid)
+    assert "Broadcast" not in cells._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.c, r.text) for r in cells.collect()) == [(1, 0, "1 2"), (1, 3, "30")]
+
+
 def test_spread_and_slug(spark):
     assert one(spark, tables.spread_numbers(F.array(F.lit("a"), F.lit("1 $2"), F.lit(""), F.lit("z")))) == ["a", "1", "$2", "z"]
     assert one(spark, text.slug(F.lit(" A b-c_d! é "))) == "a-b-c_d-é"
