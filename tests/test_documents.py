@@ -42,6 +42,15 @@ def test_pdf_furniture_and_page_numbers():
     assert "Running head" in shown(fixtures.pdf(pages), markdown=pdf_layout.Options(compat=True))
 
 
+def test_headings_over_single_lines():
+    """As many headings as lines of text: the text's size is the base; footnotes below lines of text are no text."""
+    data = fixtures.pdf([[("Turn 0", 20.0), ("Some words of one line", 11.0)], [("Turn 1", 20.0), ("Hi", 11.0)]])
+    assert shown(data) == "# Turn 0\n\nSome words of one line\n\n# Turn 1\n\nHi\n"
+    notes = fixtures.pdf([[("First line of text", 12.0), ("Second line of text", 12.0), ("One note", 9.0), ("Two notes", 9.0)]])
+    assert "#" not in shown(notes)
+    assert "#" not in pdf_layout.to_markdown(read_pages(Pdf(data)), pdf_layout.Options(compat=True))[0]
+
+
 def test_pdf_repair_and_hostile_input():
     good = fixtures.pdf([[("Hello there friend", 11.0)]])
     assert "Hello there friend" in shown(good.replace(b"startxref", b"startxxxx"))
