@@ -285,7 +285,7 @@ def extract_items(files: DataFrame) -> DataFrame:
                     try:
                         for p in read_pages(Pdf(data)):
                             pdf_layout.decorate(p)
-                            p.items = pdf_layout.merged(p.items)
+                            p.items = pdf_layout.merged(p.items, pdf_layout.cell_starts(p))
                             items += [{**{k: v for k, v in asdict(i).items() if k != "known"}, "advance_known": i.known} for i in p.items]
                     except DocumentError:
                         items = []

@@ -133,6 +133,15 @@ def test_rich_files():
     assert shown(fixtures_rich.pptx(turns)).count("> Said by user") == 3
 
 
+@pytest.mark.parametrize("word", ["Menttrementauxanaux", "Menttrementauxana", "Menttrementauxanauxmm", "iiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiiii", "Menttrementauxanauxmente"])
+def test_words_as_wide_as_their_cells(word):
+    """A word that reaches up to its neighbour cell's text, or over it, is no part of that text."""
+    from folioforge.sources import fixtures_rich
+
+    md = shown(fixtures_rich.pdf([{"turn": n, "role": "user", "w": word} for n in (4, 5)]))
+    assert md.count(f"|{word}|user|\n") == 2
+
+
 def test_glyph_names_by_rule():
     assert "".join(glyph(f"afii{n}") for n in range(10017, 10050)) == "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"
     assert glyph("afii10071") == "ё" and glyph("afii10097") == "я" and glyph("afii57664") == "א" and glyph("afii61352") == "№"
